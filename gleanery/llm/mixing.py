@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm._shared import cut, words
+from gleanery.llm._shared import KEYS, cut, row_keys, words
 
 CELL_BITS = 12
 #: Weights of the sources in order, repeating, and how far each class's weight
@@ -69,15 +69,16 @@ def position_at(share: Column, slope: Column) -> Column:
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, n_takes, taken, positions (one a take)."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+    """One row a document: doc_id, row keys, source, sk (source, never null), size, source_size, target, n_takes, taken, positions (one a take)."""
+    keys = [c.alias(k) for k, c in row_keys(id_col, text_col).items()]
+    sized = docs.select(F.col(id_col).alias("doc_id"), *keys, F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|mix"))), 1, 15), 16, 10).cast("long")
     sized = cut(sized.withColumns({"sk": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "h": bits, "cell": F.shiftright(bits, 60 - CELL_BITS).cast("int")}), "sizes")
     cells = sized.groupBy("sk", "cell").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("cell_size")
     cells = cells.join(source_targets(sized, weights, slopes, max_repeats), "sk")
-    within = Window.partitionBy("sk", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sk", "cell").orderBy("h", "doc_id", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.join(cells, ["sk", "cell"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("whole", whole)
@@ -87,17 +88,20 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     takes = F.sequence(F.lit(0), F.col("n_takes") - 1)
     shares = F.transform(takes, lambda k: position_at(F.least((k * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target"), F.lit(1.0)), F.col("slope")))
     return out.select(
-        "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "n_takes", (F.col("size") * F.col("n_takes")).alias("taken"),
+        "doc_id", *KEYS, "source", "sk", "size", "source_size", F.col("target").cast("double").alias("target"), "n_takes", (F.col("size") * F.col("n_takes")).alias("taken"),
         F.when(F.col("n_takes") > 0, shares).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
 
 
-def in_training_order(docs: DataFrame, assigned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def in_training_order(docs: DataFrame, assigned: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns of ``docs``, a row for each take, range-sorted by position.
 
-    ``docs`` with repeated ids are matched copy by copy only if the copies are
-    equal; ids are expected to be unique otherwise.
+    Rows that agree in id, text and source are copies: the takes of all of
+    them go to one of the rows.
     """
-    takes = assigned.where("n_takes > 0").select(F.col("doc_id").alias("__id"), F.explode("positions").alias("__at")).dropDuplicates(["__id", "__at"])
-    out = docs.join(takes, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.repartitionByRange(F.col("__at"), F.col(id_col)).sortWithinPartitions("__at", id_col).select(*docs.columns)
+    keys = [*KEYS, "__source"]
+    named = docs.withColumns({**row_keys(id_col, text_col), "__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))})
+    if not assigned.groupBy(*KEYS, "sk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        named = named.dropDuplicates(keys)
+    takes = assigned.where("n_takes > 0").select(*KEYS, F.col("sk").alias("__source"), F.explode("positions").alias("__at"))
+    return named.join(takes, keys).repartitionByRange("__at", *KEYS).sortWithinPartitions("__at", *KEYS).select(*docs.columns)

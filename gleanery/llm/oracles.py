@@ -2,4 +2,73 @@
 
 from __future__ import annotations
 
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACE = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 SQL: dict[str, str] = {}
+
+SQL["op3_positional_index"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format(_LOW.format("text"))} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_ALNUM.format(_LOW.format("text"))} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k + 1 : k + least(10, len(w))], ' ') AS g
+       FROM (SELECT item, w, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item, dw.n, k FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+SQL["op6_curriculum"] = f"""
+WITH s AS (SELECT doc_id, source, len({_SPACE.format("coalesce(text, '')")})::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR || '|mix'), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1),
+r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM p),
+c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS ratio FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM c WINDOW b AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, (SELECT coalesce(first(level ORDER BY ratio, rank), 0) FROM l WHERE level <= ratio) * weight)::DOUBLE AS target FROM l),
+o AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+e AS (SELECT o.doc_id, o.size, t.source_size, t.target, o.before, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size > 0 THEN size * least(whole + (before + size / 2 <= target - whole * source_size)::BIGINT, 3) ELSE 0 END::BIGINT AS taken
+FROM e
+"""
+
+SQL["op7_line_bitmaps"] = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, k, lines[k] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM t)),
+y AS (SELECT *, {_LOW.format(f"trim(line, {_WHITE})")} AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM y WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+z AS (SELECT doc_id, k, line, coalesce(doc_id <> owner, false) AS gone FROM y LEFT JOIN o USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM z GROUP BY 1
+"""
+
+SQL["op8_one_permutation"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACE.format(_LOW.format("text"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, least(len(w), 1)))) AS k FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+_ESCAPED = "regexp_replace({}, '<(\\\\*)\\|', '<\\1\\\\|', 'g')"
+SQL["op9_chat_templates"] = f"""
+WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(length('<|im_start|>') + length(replace(replace({_ESCAPED.format("role")}, '%', '%25'), chr(10), '%0A')) + 1 + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1) AS chars
+      FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
+"""
