@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Character classes fixed by the query contracts.
@@ -60,6 +60,12 @@ def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_with(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and figures over the rows that were counted while they were written."""
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name), dict(seen.get)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` alone would change É as well)."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -7,12 +7,15 @@ bins in two texts have the probability of their Jaccard similarity. ``BANDS``
 bands of ``BINS / BANDS`` bins are the buckets; at similarity 0.75 two texts
 miss all buckets with a probability of about 5 in a million.
 
-Texts with equal shingle sets are one class first. In each bucket all classes
-are compared with the first: a star, not all pairs. Links are confirmed on the
-full sets. A bucket whose members end in more than one component is opened
-again with further centres, four times as many each round, for the pairs that
-are in different components still, until all of these have been compared: no
-cap decides, and in a bucket of near copies the first star is all there is.
+Texts with equal shingle sets are one class first. The first member of a bucket
+is its centre, and each text is compared with the first of its centres: a
+star, not all pairs. Links are confirmed on the full sets. Buckets whose
+members are in more than one component then are opened: up to ``SMALL``
+members are compared pair by pair, and in larger ones each member outside the
+largest component with ``CENTRES`` others, other ones each round, until a round
+finds no link. So the number of pairs grows with the number of members only,
+and a pair in a crowd is found in the many buckets that it shares with no
+crowd.
 
 Edge cases: null texts and those without words have an empty set, a component
 of their own and stay; texts under ``SHINGLE`` words have one shingle, the
@@ -27,14 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
-from gleanery.llm._shared import KEYS, NULL_ID, cut, join_few, key_of, row_keys, without
+from gleanery.llm._shared import KEYS, NULL_ID, cut, cut_with, join_few, key_of, row_keys, without
 
 SHINGLE, BINS, BANDS, PERCENT = 5, 128, 32, 75
-FANOUT = 4
+#: Buckets up to SMALL members are compared pair by pair when they are opened; in
+#: larger ones members outside the largest component meet CENTRES others a round.
+SMALL, CENTRES = 8, 4
 U = np.uint64
 
 
@@ -124,24 +129,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """id, root: the least id reachable over links (a, b), for each id in one.
 
-    Alternating large-star and small-star rounds; each writes at most as many
-    rows as there are links and needs two shuffles.
+    Alternating large-star and small-star rounds: the number of rows never
+    grows, and hubs are reduced by partial aggregation.
     """
-    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    now, before = cut(now, "links"), None
-    while True:
+    now, state = cut_with(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", n=F.count(F.lit(1)), hash=F.bit_xor(F.xxhash64("u", "v")))
+    while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large, "large")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        small = cut(small, "small")
-        state = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        before = state
+        now, state = cut_with(small, "stars", n=F.count(F.lit(1)), hash=F.bit_xor(F.xxhash64("u", "v")))
         if state == before:
-            return small.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        now, before = small, state
+            break
+    return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,30 +157,43 @@ def _fits(n: str, m: str) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def _rooted(ids: DataFrame, id_col: str, links: DataFrame | None) -> DataFrame:
-    """Adds root, the component of ``id_col`` by ``links``."""
-    if links is None:
-        return ids.withColumn("root", F.col(id_col))
-    return ids.join(components(links).withColumnRenamed("id", id_col), id_col, "left").withColumn("root", F.coalesce("root", id_col))
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) with the components merged that ``links`` join; only the roots are walked."""
+    at = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    named = links.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    over = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnsRenamed({"id": "root", "root": "to"})
+    all_ = roots.unionByName(named.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ra").alias("root")), F.struct(F.col("b").alias("id"), F.col("rb").alias("root")))).alias("e")).select("e.*")).distinct()
+    return cut(all_.join(over, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
 
 
-def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) that decide the components, from buckets (key, id, n, centre, centre_n)."""
-    tried = cut(buckets.where((F.col("id") != F.col("centre")) & _fits("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = cut(_confirm(tried, sets).distinct(), "links")
-    done = 1
+def _roots(buckets: DataFrame, sets: DataFrame, given: DataFrame) -> DataFrame:
+    """id, root over all links found in buckets (key, id, n, centre, centre_n), and those ``given``."""
+    star = buckets.where((F.col("id") != F.col("centre")) & _fits("n", "centre_n")).groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a"))
+    tried = cut(star.select("a", "b"), "pairs")
+    links = _confirm(tried, sets)
+    roots = cut(components(links.unionByName(given)), "roots")
+    turn = 0
     while True:
-        rows = _rooted(buckets.select("key", "id", "n"), "id", links)
-        open_ = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where((F.col("r0") != F.col("r1")) & (F.col("m") > done + 1))
-        rows = rows.join(open_.select("key"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        rows = cut(rows.select("key", "id", "n", "root", "rank"), "open")
-        if rows.isEmpty():
-            return links
-        centres = rows.where((F.col("rank") > done) & (F.col("rank") <= done * FANOUT + FANOUT)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("rank").alias("ka"))
-        pairs = rows.join(centres, "key").where((F.col("rank") > F.col("ka")) & (F.col("root") != F.col("ra")) & _fits("n", "na"))
-        pairs = cut(pairs.select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = cut(links.unionByName(_confirm(pairs, sets)).distinct(), "links")
-        tried, done = tried.unionByName(pairs), done * FANOUT + FANOUT
+        turn += 1
+        rows = buckets.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        centres = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "key", "id"), "id", "n", "root")).alias(f"c{k}") for k in range(CENTRES)]
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), *centres)
+        whole = parts.groupBy("key").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("big"), *[F.min(f"c{k}").alias(f"c{k}") for k in range(CENTRES)])
+        whole = whole.where("roots > 1").select("key", "m", F.col("big.root").alias("big"), F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(f"{x}_a") for x in ("id", "n", "root")]) for k in range(CENTRES)]).alias("centres"))
+        rows = cut(rows.join(whole, "key"), "open")
+        few = rows.where(F.col("m") <= SMALL).select("key", "id", "n", "root")
+        other = few.select("key", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+        pairs = few.join(other, "key").where("id_a < id").drop("key")
+        many = rows.where((F.col("m") > SMALL) & (F.col("root") != F.col("big"))).select("id", "n", "root", F.inline("centres"))
+        pairs = pairs.unionByName(many).where((F.col("root") != F.col("root_a")) & _fits("n", "n_a"))
+        pairs = pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs, seen = cut_with(pairs, "pairs", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return roots
+        links, seen = cut_with(_confirm(pairs, sets), "links", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return roots
+        roots, tried = _joined(roots, links), tried.unionByName(pairs)
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,12 +211,12 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = cut(rows.join(stars, "key").distinct(), "buckets")
     seen = buckets.select(F.col("id").alias("__id")).distinct().withColumn("seen", F.lit(True))
     sets = join_few(texts, seen, ["__id"]).where("seen").select(F.col("__id").alias("id"), "text").mapInArrow(_sets, "id long, set binary")
-    links = _links(buckets, cut(sets, "sets"))
     named = full.select("id", "row", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "row", "n", "rep")
     # an id with several texts joins their components
     split = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("id", "a")
-    links = links.unionByName(named.join(split, "id").where("rep != a").select("a", F.col("rep").alias("b")))
-    out = _rooted(named, "rep", links).select("id", "row", "n", "root")
+    given = named.join(split, "id").where("rep != a").select("a", F.col("rep").alias("b"))
+    roots = _roots(buckets, cut(sets, "sets"), given).withColumnRenamed("id", "rep")
+    out = named.join(roots, "rep", "left").select("id", "row", "n", F.coalesce("root", "rep").alias("root"))
     out = out.unionByName(sketch.where("n = 0").select("id", "row", "n", F.col("id").alias("root")))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(
