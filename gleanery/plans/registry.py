@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -26,14 +23,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from gleanery.plans import queries  # noqa: F401 - registers itself
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("text")).alias("total_bytes"))
+    """The corpus health summary."""
+    _load()
+    return _QUERIES["corpus_summary"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
