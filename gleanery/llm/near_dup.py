@@ -161,7 +161,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots (id, root) with the components merged that ``links`` join; only the roots are walked."""
     at = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
     named = links.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    over = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnsRenamed({"id": "root", "root": "to"})
+    over = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("to"))
     all_ = roots.unionByName(named.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ra").alias("root")), F.struct(F.col("b").alias("id"), F.col("rb").alias("root")))).alias("e")).select("e.*")).distinct()
     return cut(all_.join(over, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
 
