@@ -176,6 +176,21 @@ def test_spans(spark, empty, odd):
     assert out.count() == odd.count()
 
 
+def chosen(word):
+    import numpy as np
+    import pyarrow as pa
+
+    from gleanery.llm import _bytes as B
+
+    if word not in _chosen:
+        h = B.tokens(*B.buffer(pa.array([word])), B.BY_SPACE)[2]
+        _chosen[word] = bool((h[0] & np.uint64(7)) == 0)
+    return _chosen[word]
+
+
+_chosen = {}
+
+
 def brute_spans(docs):
     """Removed sentences by document, with sentences found by plain string work."""
     import re
@@ -192,7 +207,15 @@ def brute_spans(docs):
                     own = []
             if own:
                 sentences.append(own)
-        cut[doc] = sentences
+        pieces = []
+        for own in sentences:
+            pieces.append([])
+            for w in own:
+                pieces[-1].append(w)
+                if len(own) > spans.LONG and chosen(w) and w is not own[-1]:
+                    pieces.append([])
+        pieces = [p for p in pieces if p]
+        cut[doc] = sentences = [q for p in pieces for q in ([p[k : k + spans.STEP] for k in range(0, len(p), spans.STEP)] if len(p) > spans.LONG else [p])]
         for i in range(len(sentences)):
             j, n = i, len(sentences[i])
             while j < len(sentences) and (j - i + 1 < spans.MIN_SENTENCES or n < spans.MIN_WORDS):
