@@ -119,7 +119,7 @@ def test_extraction():
     one = file_source.extract_one
     assert one(make_docx("First", "Second"), file_source.OFFICE[0])["text"] == "First\nSecond\ncell"
     assert one(make_docx("x"), file_source.OFFICE[0])["title"] == "Doc title"
-    pdf = one(make_pdf("Hello (x", "two"), "application/pdf") if False else one(make_pdf("Hello", "two"), "application/pdf")
+    pdf = one(make_pdf("Hello", "two"), "application/pdf")
     assert pdf["text"] == "Hello\ntwo" and pdf["page_count"] == 2 and pdf["title"] == "T" and pdf["native_pages"] == 2
     sheet = zipped(**{"xl__sharedStrings_XML": "<s><si><t>a</t></si></s>", "xl__worksheets__sheet1_XML": '<w><row><c t="s"><v>0</v></c><c><v>2</v></c></row><row><c/></row><row><c t="inlineStr"><is><t>z</t></is></c></row></w>'})
     assert one(sheet, file_source.OFFICE[1])["text"] == "a\t2\nz"
