@@ -83,13 +83,13 @@ def key_of(doc_id: Column) -> Column:
 
 
 def row_keys(id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
-    """__id (never null) and __row, a hash of the text: what tells rows apart that share an id."""
-    return {"__id": key_of(F.col(id_col)), "__row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    """__gl_id (never null) and __gl_row, a hash of the text: what tells rows apart that share an id."""
+    return {"__gl_id": key_of(F.col(id_col)), "__gl_row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
 
 
 #: Words of the bitmap in ``join_few``: 2**16 rows of 64 bits, whatever the input.
 BITMAP_WORDS = 2**16
-KEYS = ["__id", "__row"]
+KEYS = ["__gl_id", "__gl_row"]
 
 
 def join_few(rows: DataFrame, few: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -101,16 +101,16 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str] = KEYS) -> DataFra
     that all rows do. ``few`` has each key once.
     """
     bit = F.pmod(F.xxhash64(*keys), F.lit(BITMAP_WORDS * 64))
-    place = {"__word": F.shiftright(bit, 6).cast("int"), "__at": bit.bitwiseAND(F.lit(63)).cast("int")}
-    marks = few.withColumns(place).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __at)")).alias("__mask"))
-    marked = rows.withColumns(place).join(F.broadcast(marks), "__word", "left")
-    hit = F.expr("coalesce(getbit(__mask, __at), 0) = 1")
+    place = {"__gl_word": F.shiftright(bit, 6).cast("int"), "__gl_at": bit.bitwiseAND(F.lit(63)).cast("int")}
+    marks = few.withColumns(place).groupBy("__gl_word").agg(F.bit_or(F.expr("shiftleft(1L, __gl_at)")).alias("__gl_mask"))
+    marked = rows.withColumns(place).join(F.broadcast(marks), "__gl_word", "left")
+    hit = F.expr("coalesce(getbit(__gl_mask, __gl_at), 0) = 1")
     more = {f.name: F.lit(None).cast(f.dataType) for f in few.schema.fields if f.name not in keys}
-    clear = marked.where(~hit).drop("__word", "__at", "__mask").withColumns(more)
-    return clear.unionByName(marked.where(hit).drop("__word", "__at", "__mask").join(few, keys, "left"))
+    clear = marked.where(~hit).drop("__gl_word", "__gl_at", "__gl_mask").withColumns(more)
+    return clear.unionByName(marked.where(hit).drop("__gl_word", "__gl_at", "__gl_mask").join(few, keys, "left"))
 
 
 def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows whose ``row_keys`` are in ``bad``."""
-    gone = bad.select(*KEYS).distinct().withColumn("__gone", F.lit(1))
-    return join_few(docs.withColumns(row_keys(id_col, text_col)), gone).where(F.col("__gone").isNull()).select(*docs.columns)
+    gone = bad.select(*KEYS).distinct().withColumn("__gl_gone", F.lit(1))
+    return join_few(docs.withColumns(row_keys(id_col, text_col)), gone).where(F.col("__gl_gone").isNull()).select(*docs.columns)

@@ -71,7 +71,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of all of ``docs``, stored; one row a segment."""
-    rows = docs.select(*[c.alias(k.strip("_")) for k, c in row_keys(id_col, text_col).items()], F.col(text_col).alias("text"))
+    rows = docs.select(*[c.alias(k.removeprefix("__gl_")) for k, c in row_keys(id_col, text_col).items()], F.col(text_col).alias("text"))
     return cut(rows.mapInArrow(_index, INDEX), "index", **{"parquet.block.size": str(32 << 20)})
 
 
@@ -183,7 +183,7 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, row keys, n_words, n_hit, items, near of every document of ``docs``."""
     found = search(build_index(docs, id_col, text_col), benchmark, slop=slop)
     return found.select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), F.col("id").alias("__id"), F.col("row").alias("__row"), "n_words",
+        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row"), "n_words",
         (F.octet_length("hits") / 4).cast("long").alias("n_hit"), "items", "near",
     )
 

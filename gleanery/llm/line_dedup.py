@@ -43,9 +43,9 @@ def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def shared_keys(lines: DataFrame) -> DataFrame:
     """h1, h2, owner: the hashes that two ids or more hold, and the smallest of them."""
-    salt = F.pmod(F.xxhash64("__id"), F.lit(N_SALTS))
-    firsts = lines.groupBy("h1", "h2", salt.alias("salt")).agg(F.min(F.struct("__id", "pos")).alias("first"), F.max("__id").alias("last"))
-    firsts = firsts.select("h1", "h2", F.col("first.__id").alias("id"), F.col("first.pos").alias("pos"), "last")
+    salt = F.pmod(F.xxhash64("__gl_id"), F.lit(N_SALTS))
+    firsts = lines.groupBy("h1", "h2", salt.alias("salt")).agg(F.min(F.struct("__gl_id", "pos")).alias("first"), F.max("__gl_id").alias("last"))
+    firsts = firsts.select("h1", "h2", F.col("first.__gl_id").alias("id"), F.col("first.pos").alias("pos"), "last")
     ranged = firsts.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "id", "pos")
     stream = Window.partitionBy("h1", "h2").orderBy("id", "pos")
     ranged = ranged.withColumns({"n": F.row_number().over(stream), "next": F.lead("id").over(stream)})
@@ -63,7 +63,7 @@ def keep_runs(dropped: Column, n: Column) -> Column:
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The row keys and dropped (sorted positions) of the texts that lose a line."""
     lines = cut(hashed_lines(docs, id_col, text_col, min_chars), "lines")
-    hits = lines.join(shared_keys(lines), ["h1", "h2"]).where(F.col("__id") != F.col("owner"))
+    hits = lines.join(shared_keys(lines), ["h1", "h2"]).where(F.col("__gl_id") != F.col("owner"))
     return hits.groupBy(*KEYS).agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 

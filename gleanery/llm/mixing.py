@@ -78,7 +78,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     before = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("cell_size")
     cells = cells.join(source_targets(sized, weights, slopes, max_repeats), "sk")
-    within = Window.partitionBy("sk", "cell").orderBy("h", "doc_id", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sk", "cell").orderBy("h", "doc_id", "size", "__gl_row").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.join(cells, ["sk", "cell"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("whole", whole)
@@ -99,9 +99,9 @@ def in_training_order(docs: DataFrame, assigned: DataFrame, id_col: str = "doc_i
     Rows that agree in id, text and source are copies: the takes of all of
     them go to one of the rows.
     """
-    keys = [*KEYS, "__source"]
-    named = docs.withColumns({**row_keys(id_col, text_col), "__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))})
+    keys = [*KEYS, "__gl_source"]
+    named = docs.withColumns({**row_keys(id_col, text_col), "__gl_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))})
     if not assigned.groupBy(*KEYS, "sk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         named = named.dropDuplicates(keys)
-    takes = assigned.where("n_takes > 0").select(*KEYS, F.col("sk").alias("__source"), F.explode("positions").alias("__at"))
-    return named.join(takes, keys).repartitionByRange("__at", *KEYS).sortWithinPartitions("__at", *KEYS).select(*docs.columns)
+    takes = assigned.where("n_takes > 0").select(*KEYS, F.col("sk").alias("__gl_source"), F.explode("positions").alias("__gl_at"))
+    return named.join(takes, keys).repartitionByRange("__gl_at", *KEYS).sortWithinPartitions("__gl_at", *KEYS).select(*docs.columns)

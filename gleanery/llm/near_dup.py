@@ -200,7 +200,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, row keys, n_shingles, root, component_id, kept of every row."""
     keys = [c.alias(k) for k, c in row_keys(id_col, text_col).items()]
     texts = docs.select(*keys, F.col(text_col).alias("text"))
-    sketch = texts.withColumnsRenamed({"__id": "id", "__row": "row"}).mapInArrow(_sketch, "id long, row long, n long, f1 long, f2 long, bands array<long>")
+    sketch = texts.withColumnsRenamed({"__gl_id": "id", "__gl_row": "row"}).mapInArrow(_sketch, "id long, row long, n long, f1 long, f2 long, bands array<long>")
     sketch = cut(sketch, "sketch")
     full = sketch.where("n > 0")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
@@ -209,8 +209,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stars = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("last")).where(F.col("c.id") != F.col("last"))
     stars = stars.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"))
     buckets = cut(rows.join(stars, "key").distinct(), "buckets")
-    seen = buckets.select(F.col("id").alias("__id")).distinct().withColumn("seen", F.lit(True))
-    sets = join_few(texts, seen, ["__id"]).where("seen").select(F.col("__id").alias("id"), "text").mapInArrow(_sets, "id long, set binary")
+    seen = buckets.select(F.col("id").alias("__gl_id")).distinct().withColumn("seen", F.lit(True))
+    sets = join_few(texts, seen, ["__gl_id"]).where("seen").select(F.col("__gl_id").alias("id"), "text").mapInArrow(_sets, "id long, set binary")
     named = full.select("id", "row", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "row", "n", "rep")
     # an id with several texts joins their components
     split = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("id", "a")
@@ -220,7 +220,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = out.unionByName(sketch.where("n = 0").select("id", "row", "n", F.col("id").alias("root")))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(
-        shown("id").alias("doc_id"), F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("n").alias("n_shingles"), F.col("root").alias("__root"),
+        shown("id").alias("doc_id"), F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row"), F.col("n").alias("n_shingles"), F.col("root").alias("__root"),
         shown("root").alias("component_id"), (F.col("id") == F.col("root")).alias("kept"),
     )
 
@@ -229,8 +229,8 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that ``cluster`` keeps; of rows that repeat a kept id, one."""
     found = cut(cluster(docs, id_col, text_col).select(*KEYS, "kept"), "clusters")
     rest = without(docs, found.where("not kept"), id_col, text_col)
-    twice = cut(found.where("kept").groupBy("__id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twice")
+    twice = cut(found.where("kept").groupBy("__gl_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twice")
     if twice.isEmpty():
         return rest
-    marked = join_few(rest.withColumn("__id", key_of(F.col(id_col))), twice, ["__id"])
-    return marked.where(F.col("copies").isNull()).unionByName(marked.where("copies > 1").dropDuplicates(["__id"])).select(*docs.columns)
+    marked = join_few(rest.withColumn("__gl_id", key_of(F.col(id_col))), twice, ["__gl_id"])
+    return marked.where(F.col("copies").isNull()).unionByName(marked.where("copies > 1").dropDuplicates(["__gl_id"])).select(*docs.columns)

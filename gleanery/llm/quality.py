@@ -184,4 +184,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps."""
     judged = judge(docs, id_col, text_col, lang_col, source_col)
-    return without(docs, cut(judged.where(~F.col("kept")).select("__id", "__row"), "rejected"), id_col, text_col)
+    return without(docs, cut(judged.where(~F.col("kept")).select("__gl_id", "__gl_row"), "rejected"), id_col, text_col)

@@ -73,7 +73,7 @@ def rebalance(old: Sequence[int], load: Mapping[int, int], n_shards: int, tolera
             total[k] += load.get(slot, 0)
             held[k].append(slot)
     for k in range(n_shards):
-        for slot in sorted(held[k], key=lambda s: (load.get(s, 0), s)):
+        for slot in sorted(held[k], key=lambda s: (-load.get(s, 0), s)):  # few and heavy ones first
             if total[k] <= fair * (1 + tolerance):
                 break
             if load.get(slot, 0) <= total[k] - fair:
