@@ -14,7 +14,8 @@ prefix within a budget, without encoding anything again.
 Pieces that normalization changes in length (marks to be composed and the
 like) or that hold a special token's string are counted prefix by prefix with
 the library; of those over ``LONG`` characters only the whole is counted, at
-their last character.
+their last character. All other texts go word by word through one table, which
+is filled for all new words of a batch together.
 
 Edge cases: null or empty text has no bytes and no tokens; a null id is kept;
 repeated rows get equal results; an empty table gives an empty result; extra
@@ -40,6 +41,12 @@ from gleanery.llm import _bytes as B
 CACHE, LONG = 400_000, 512
 #: A piece with the one white space character after it, or white space alone.
 _PIECES = re.compile("[^\x09-\x0d ]+[\x09-\x0d ]?|[\x09-\x0d ]+")
+#: Texts of other characters than these (up to U+024F, which normalization keeps,
+#: less three whose lower case is longer) are counted piece by piece.
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0"
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[{_WHITE}]+|[^{_WHITE}{_LETTER}{_NUMBER}]+")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+", re.ASCII)
 
 
@@ -101,6 +108,152 @@ class WordTable:
         return out
 
 
+class WordBatch:
+    """``WordTable.counts`` for many words at once, with numpy.
+
+    Tokens get numbers in the order in which merging makes them: bytes, bytes
+    that end a word, then merges by rank. Whether two tokens stay apart is
+    found by undoing merges at their border, latest first: a pair of pieces
+    that meet there would have been merged if the vocabulary merges them
+    earlier than the merge that was undone last (or as early, if that lies to
+    the right, since equal merges go from left to right).
+    """
+
+    MAX = 64
+    P = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, table: WordTable, letters: list[str]):
+        end = table.end
+        number = {c: k for k, c in enumerate(letters)} | {c + end: 256 + k for k, c in enumerate(letters)}
+        left, right = list(range(512)), list(range(512))
+        pairs = []
+        for (a, b), rank in table.rank.items():
+            if a in number and b in number and a + b not in number:
+                number[a + b] = 512 + len(pairs)
+                left.append(number[a])
+                right.append(number[b])
+                pairs.append(rank)
+        self.sound = pairs == sorted(pairs) and len(pairs) == len(table.rank)
+        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        made = np.arange(512, len(left))
+        self.merged = _Lookup(((self.left[512:] << 20) | self.right[512:]).astype(np.uint64), made)
+        byte_of = {c: k for k, c in enumerate(letters)}
+        alone = np.ones(len(left), bool)
+        alone[512:] = self.apart(self.left[512:], self.right[512:], made)
+        tokens: tuple[list, list] = ([], [])
+        self.longest = 1
+        for text, k in number.items():
+            if alone[k]:
+                body = text.removesuffix(end) if end and text.endswith(end) and text != end else text
+                raw = [byte_of[c] for c in body]
+                self.longest = max(self.longest, len(raw))
+                h = 0
+                for b in raw:
+                    h = (h * int(self.P) + b + 1) & (2**64 - 1)
+                tokens[body is not text and body != text].append((h, k))
+        self.tokens = [_Lookup(np.array([h for h, _ in t], np.uint64), np.array([k for _, k in t], np.int64)) for t in tokens]
+        self.longest = min(self.longest, self.MAX)
+
+    def apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether tokens a and b stay two; ``limit`` at first: merges from this number on do not count."""
+        out = np.ones(len(a), bool)
+        rows = np.arange(len(a))
+        limit = np.full(len(a), 1 << 40) if limit is None else limit
+        while len(rows):
+            m = self.merged.get(((a << 20) | b).astype(np.uint64))
+            joined = (m >= 0) & (m < limit)
+            out[rows[joined]] = False
+            go = ~joined & ((a >= 512) | (b >= 512))
+            rows, a, b, limit = rows[go], a[go], b[go], limit[go]
+            undo = a > b
+            limit = np.where(undo, a, b + 1)
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+        return out
+
+    def steps(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word (1 to MAX bytes): the change at each byte of the count of tokens up to there, as a word that ends there."""
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        sizes = np.array([len(words[k]) for k in order])
+        longest = int(sizes[0])
+        flat = np.frombuffer(b"".join(words[k].ljust(longest, b"\0") for k in order), np.uint8).reshape(len(words), longest)
+        n = len(words)
+        h = np.zeros((longest + 1, n), np.uint64)
+        power = [np.uint64(1)]
+        last = np.full((longest + 1, n), -1, np.int64)
+        number = np.zeros((longest + 1, n), np.int16)
+        ended = np.zeros((longest + 1, n), np.int16)
+        with np.errstate(over="ignore"):
+            for i in range(1, longest + 1):
+                h[i] = h[i - 1] * self.P + flat[:, i - 1] + np.uint64(1)
+                power.append(power[-1] * self.P)
+            for i in range(1, longest + 1):
+                m = int(np.searchsorted(-sizes, -i, "right"))
+                for tokens, store in ((self.tokens[0], last), (self.tokens[1], None)):
+                    todo = np.arange(m)
+                    for k in range(1, min(i, self.longest) + 1):
+                        j = i - k
+                        token = tokens.get(h[i, todo] - h[j, todo] * power[k])
+                        some = token >= 0 if j == 0 else (token >= 0) & (last[j, todo] >= 0)
+                        at, token = todo[some], token[some]
+                        if j:
+                            ok = self.apart(last[j, at], token)
+                            at, token = at[ok], token[ok]
+                        if store is not None:
+                            last[i, at], number[i, at] = token, number[j, at] + 1
+                        else:
+                            ended[i, at] = number[j, at] + 1
+                        if len(at):
+                            taken = np.zeros(m, bool)
+                            taken[at] = True
+                            todo = todo[~taken[todo]]
+                        if not len(todo):
+                            break
+        steps = np.empty((n, longest), np.int8)
+        steps[order] = np.diff(ended, axis=0).T
+        return steps
+
+
+class _Lookup:
+    """Values by 64-bit key in an open hash table, for arrays of keys; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys) * 4).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        self.steps = 1
+        left = np.arange(len(keys))
+        at = self._first(keys)
+        step = 1
+        while len(left):
+            free = self.values[at[left]] < 0
+            put = left[free]
+            _, one = np.unique(at[put], return_index=True)
+            put = put[one]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            left = np.setdiff1d(left, put)
+            at[left] = (at[left] + 1) & self.mask
+            self.steps = max(self.steps, step)
+            step += 1
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0xBF58476D1CE4E5B9) ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        value = self.values[at]
+        out = np.where(self.keys[at] == keys, value, -1)
+        open_ = np.flatnonzero((out < 0) & (value >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            spot = at[open_]
+            value = self.values[spot]
+            hit = (value >= 0) & (self.keys[spot] == keys[open_])
+            out[open_[hit]] = value[hit]
+            open_ = open_[~hit & (value >= 0)]
+        return out
+
+
 class PrefixCounter:
     """Prefix counts of texts under a byte-level word-end BPE in a tokenizers file."""
 
@@ -115,11 +268,59 @@ class PrefixCounter:
         model = spec["model"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.table = WordTable(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
-        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self.letters = byte_letters()
+        self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.batch = WordBatch(self.table, self.letters)
         self.words: dict[str, list[int]] = {}
         self.pieces: dict[str, bytes] = {}
+        self.steps: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Fills ``steps``: the change of the count at each character of a word."""
+        if len(self.steps) > CACHE:
+            self.steps.clear()
+        new = [w for w in words if w not in self.steps]
+        short, rest = [], []
+        for w in new:
+            if w[0] in _WHITE:
+                self.steps[w] = bytes(len(w))
+            elif len(w) <= WordBatch.MAX // 4 and self.batch.sound and (w[0] != "'" or len(w) == 1 or not w[1].isalpha()):
+                short.append(w)
+            else:
+                rest.append(w)
+        for lo in range(0, len(short), 1 << 16):
+            part = short[lo : lo + (1 << 16)]
+            raw = [w.encode() for w in part]
+            found = self.batch.steps(raw)
+            flat, width = found.tobytes(), found.shape[1]
+            for k, (w, r) in enumerate(zip(part, raw, strict=True)):
+                own = flat[k * width : k * width + len(r)]
+                self.steps[w] = own if len(r) == len(w) else _by_character(own, r)
+        for w in rest:
+            raw = w.encode()
+            counts = self.table.counts("".join(self.letters[b] for b in raw))
+            counts = [c for k, c in enumerate(counts) if k + 1 == len(raw) or raw[k + 1] & 0xC0 != 0x80]
+            if w[0] == "'" and len(w) > 1 and w[1].isalpha():
+                counts = self._contraction(w, counts)
+            self.steps[w] = _as_bytes(np.diff(counts, prepend=0))
+
+    def _contraction(self, word: str, own: list[int]) -> list[int]:
+        """'re and the like: a prefix of one is a mark, and a letter."""
+        first = self.word("'")[0]
+        return [first, own[1]] if len(word) == 2 else [first, first + self.word(word[1])[0], own[2]]
+
+    def indexes(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """The prefix index and the number of tokens of each text; words new to all of them are counted together."""
+        found = [None if _OTHER.search(t) or any(x in t for x in self.special) else _TOKENS.findall(t.lower()) for t in texts]
+        self.learn(set().union(*[f for f in found if f]))
+        out = []
+        for text, words in zip(texts, found, strict=True):
+            steps = b"".join(map(self.steps.__getitem__, words)) if words is not None else b"".join(map(self.changes, _PIECES.findall(text)))
+            out.append((zlib.compress(steps, 1), int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))))
+        return out
 
     def word(self, letters: str) -> list[int]:
+        """Counts of one word in byte letters, for texts that go piece by piece."""
         if (known := self.words.get(letters)) is None:
             known = self.table.counts(letters)
             if len(letters) <= 64:
@@ -155,10 +356,8 @@ class PrefixCounter:
         for m in _WORDS.finditer(body.lower()):
             word = m[0]
             own = self.word(word)
-            if word[0] == "'" and len(word) == 3:  # 're: its first two characters are two words
-                own = [own[0], own[0] + self.word(word[1])[0], own[2]]
-            elif word[0] == "'" and len(word) == 2 and word[1].isalpha():
-                own = [self.word("'")[0], own[1]]
+            if word[0] == "'" and len(word) > 1 and word[1].isalpha():
+                own = self._contraction(word, own)
             out += [before + c for c in own]
             before += own[-1]
         return out if len(out) == len(body) else None
@@ -180,9 +379,18 @@ class PrefixCounter:
         return out if len(out) == len(body) else None
 
     def index(self, text: str) -> tuple[bytes, int]:
-        """The prefix index of a text and the number of its tokens."""
-        steps = b"".join(map(self.changes, _PIECES.findall(text)))
-        return zlib.compress(steps, 1), int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))
+        return self.indexes([text])[0]
+
+
+def _by_character(steps: bytes, raw: bytes) -> bytes:
+    """Changes at the bytes of a word, summed up by character."""
+    out, total = bytearray(), 0
+    for k, d in enumerate(steps):
+        total += d
+        if k + 1 == len(raw) or raw[k + 1] & 0xC0 != 0x80:
+            out.append(total & 255)
+            total = 0
+    return bytes(out)
 
 
 def _as_bytes(step: np.ndarray) -> bytes:
@@ -237,13 +445,10 @@ def prefix_index(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer_path)
         for whole in batches:
-            for batch in B.pieces(whole, "text"):
-                indexes, numbers, within = [], [], []
-                for text in batch.column("text").to_pylist():
-                    index, n = own.index(text or "")
-                    indexes.append(index)
-                    numbers.append(n)
-                    within.append(len(text or "") if n <= budget else longest_prefix(index, budget))
+            for batch in B.pieces(whole, "text", B.CHUNK):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                indexes, numbers = zip(*own.indexes(texts), strict=True)
+                within = [len(t) if n <= budget else longest_prefix(x, budget) for t, x, n in zip(texts, indexes, numbers, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(numbers, pa.int64()), pa.array(within, pa.int64()), pa.array(indexes, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "budget_chars", "prefix_index"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
