@@ -7,6 +7,9 @@ by weight until none is above. The cumulative demand of a source up to time t,
 inverted at the words that come before a document in the source's own order,
 gives the document's training position - one for each time it is taken.
 
+Documents are taken whole, in the source's order while they fit; one more then
+is the document nearest in size to the words that are missing.
+
 Order within a source is by a hash of the id, so reruns agree. It is cut into
 ``2**CELL_BITS`` cells by the hash's first bits; cell totals are summed first,
 so that no task holds a whole source, however large.
@@ -78,13 +81,19 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     before = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("cell_size")
     cells = cells.join(source_targets(sized, weights, slopes, max_repeats), "sk")
-    within = Window.partitionBy("sk", "cell").orderBy("h", "doc_id", "size", "__gl_row").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.join(cells, ["sk", "cell"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    out = out.withColumn("whole", whole)
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    more = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= rest)
-    out = out.withColumn("n_takes", F.when(F.col("size") > 0, F.least(F.col("whole") + more.cast("long"), F.lit(max_repeats))).otherwise(F.lit(0)).cast("int"))
+    within = Window.partitionBy("sk", "cell").orderBy("h", "doc_id", "size", "__gl_row")
+    out = sized.join(cells, ["sk", "cell"]).withColumns({"at": F.row_number().over(within), "before": F.col("start") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(F.lit(0)).cast("long")
+    out = out.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    out = cut(out.withColumn("fits", (F.col("size") > 0) & (F.col("before") + F.col("size") <= F.col("rest"))), "ordered")
+    # the words still missing, and the one document more that comes nearest to them
+    gaps = out.groupBy("sk").agg((F.max("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("before") + F.col("size"))), F.lit(0))).alias("gap"))
+    gaps = out.select("sk", "cell").distinct().join(gaps, "sk")  # by cell, so that no source is one group
+    spare = out.where(~F.col("fits") & (F.col("size") > 0) & (F.col("whole") < max_repeats)).join(gaps, ["sk", "cell"])
+    miss = F.abs(F.col("size") - F.col("gap"))
+    more = spare.where(miss < F.col("gap")).groupBy("sk").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "cell", "at")).alias("m")).select("sk", "m.cell", "m.at", F.lit(1).alias("more"))
+    out = out.join(more, ["sk", "cell", "at"], "left")
+    out = out.withColumn("n_takes", F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("fits"), 1).otherwise(F.coalesce("more", F.lit(0)))).otherwise(F.lit(0)).cast("int"))
     takes = F.sequence(F.lit(0), F.col("n_takes") - 1)
     shares = F.transform(takes, lambda k: position_at(F.least((k * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target"), F.lit(1.0)), F.col("slope")))
     return out.select(

@@ -33,10 +33,12 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum
       FROM c WINDOW b AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, (SELECT coalesce(first(level ORDER BY ratio, rank), 0) FROM l WHERE level <= ratio) * weight)::DOUBLE AS target FROM l),
 o AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
-e AS (SELECT o.doc_id, o.size, t.source_size, t.target, o.before, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size > 0 THEN size * least(whole + (before + size / 2 <= target - whole * source_size)::BIGINT, 3) ELSE 0 END::BIGINT AS taken
-FROM e
+e AS (SELECT o.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, target - whole * source_size AS rest, size > 0 AND before + size <= target - whole * source_size AS fits FROM e),
+g AS (SELECT *, rest - coalesce(max(CASE WHEN fits THEN before + size END) OVER (PARTITION BY source), 0) AS gap FROM f),
+n AS (SELECT doc_id AS chosen FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), h, doc_id) AS k FROM g WHERE NOT fits AND size > 0 AND whole < 3 AND abs(size - gap) < gap) WHERE k = 1)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN size * (whole + (fits OR chosen IS NOT NULL)::BIGINT) ELSE 0 END::BIGINT AS taken
+FROM g LEFT JOIN n ON doc_id = chosen
 """
 
 SQL["op7_line_bitmaps"] = f"""
