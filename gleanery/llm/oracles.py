@@ -74,3 +74,38 @@ g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) ||
       FROM t GROUP BY 1)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
 """
+
+
+def _licenses() -> str:
+    import re
+
+    from gleanery.llm.licenses import K, MERGE, MIN_SCORE, PHRASES, TEMPLATES
+
+    grams, n = [], 0
+    for label in sorted(TEMPLATES):
+        for text in TEMPLATES[label]:
+            own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+            grams += [f"('{label}', {n}, {k}, {len(own)}, '{' '.join(own[k : k + K])}')" for k in range(len(own) - K + 1)]
+            n += 1
+    places = []
+    for phrase in PHRASES:
+        own = phrase.split(" ")
+        places.append(f"list_filter(range(0, len(w) - {len(own) - 1}), lambda i: w[i + 1 : i + {len(own)}] = {own})")
+    bases = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, label in zip(places, PHRASES.values(), strict=True))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM.format(_LOW.format("text"))} AS w FROM documents),
+b AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, flatten([{', '.join(places)}]) AS places, list_sort(list_filter([{bases}], lambda x: x IS NOT NULL)) AS base FROM d),
+t(label, template, t_pos, t_words, g) AS (VALUES {', '.join(grams)}),
+k AS (SELECT r, p, array_to_string(w[p + 1 : p + {K}], ' ') AS g FROM (SELECT r, w, unnest(range(0, len(w) - {K - 1})) AS p FROM d)),
+h AS (SELECT r, label, template, t_words, p - t_pos AS diagonal, t_pos FROM k JOIN t USING (g)),
+l AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER w > {MERGE}, true)::INTEGER AS new FROM (SELECT DISTINCT r, template, diagonal FROM h) WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)),
+s AS (SELECT r, template, diagonal, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM l),
+c AS (SELECT r, label, template, span, count(DISTINCT p) / max(t_words)::DOUBLE AS score FROM (SELECT h.*, s.span, unnest(range(t_pos, t_pos + {K})) AS p FROM h JOIN s USING (r, template, diagonal)) GROUP BY 1, 2, 3, 4),
+f AS (SELECT r, max(score) AS best, list(DISTINCT label) FILTER (score >= {MIN_SCORE}) AS more FROM c GROUP BY 1)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word, array_to_string(base, ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels, coalesce(best, 0)::DOUBLE AS score
+FROM b LEFT JOIN f USING (r)
+"""
+
+
+SQL["op10_license_diagonals"] = _licenses()
