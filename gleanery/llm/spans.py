@@ -119,23 +119,24 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_words.append(int((b - a).sum()))
                 gone_words.append(int((b - a)[out].sum()))
             values = [pa.array(x, pa.int64()) for x in (n, gone, n_words, gone_words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *values, pa.array(texts, pa.string())], ["id", "n_sentences", "n_removed", "n_words", "n_removed_words", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *values, pa.array(texts, pa.string()), batch.column("first_ids")], ["id", "n_sentences", "n_removed", "n_words", "n_removed_words", "text", "first_ids"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row keys and spans (i, j: first and last sentence) of each text with a run that is not the first of its kind."""
+    """Row keys, spans (i, j: first and last sentence) and first_ids (who has them first) of each text with a run that is not the first of its kind."""
     rows = docs.select(*[c.alias(k.removeprefix("__gl_")) for k, c in row_keys(id_col, text_col).items()], F.col(text_col).alias("text"))
     runs = cut(rows.mapInArrow(_runs, "id long, row long, i int, j int, h1 long, h2 long"), "runs")
     # partial aggregation leaves a row for each hash and task, however frequent a passage is
     firsts = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     again = runs.join(firsts, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("i") != F.col("first.i")))
-    return again.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.collect_set(F.struct("i", "j")).alias("spans"))
+    return again.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.collect_set(F.struct("i", "j")).alias("spans"), F.sort_array(F.collect_set("first.id")).alias("first_ids"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_sentences, n_removed, n_words, n_removed_words, text (what stays) of every row."""
+    """doc_id, n_sentences, n_removed, n_words, n_removed_words, changed, first_ids (the documents that keep what was removed), text (what stays) of every row."""
     spans = cut(repeated_spans(docs, id_col, text_col), "spans")
     rows = docs.select(*[c.alias(k) for k, c in row_keys(id_col, text_col).items()], F.col(text_col).alias("text"))
-    rows = join_few(rows, spans).select(F.col("__gl_id").alias("id"), "text", "spans")
-    out = rows.mapInArrow(_apply, "id long, n_sentences long, n_removed long, n_words long, n_removed_words long, text string")
-    return out.withColumn("doc_id", F.when(F.col("id") != NULL_ID, F.col("id"))).select("doc_id", "n_sentences", "n_removed", "n_words", "n_removed_words", "text")
+    rows = join_few(rows, spans).select(F.col("__gl_id").alias("id"), "text", "spans", F.coalesce("first_ids", F.array().cast("array<long>")).alias("first_ids"))
+    out = rows.mapInArrow(_apply, "id long, n_sentences long, n_removed long, n_words long, n_removed_words long, text string, first_ids array<long>")
+    shown = F.transform("first_ids", lambda x: F.when(x != NULL_ID, x))
+    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_removed_words", (F.col("n_removed") > 0).alias("changed"), shown.alias("first_ids"), "text")

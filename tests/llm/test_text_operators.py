@@ -171,6 +171,7 @@ def test_spans(spark, empty, odd):
     assert got[1]["text"] == texts[0][1] and got[3]["n_removed"] == 0 and got[5]["text"] == ""
     assert got[2]["text"] == "Another text begins in its own way, which is long. Then it goes on."
     assert got[4]["text"] == "line one here\n" and got[4]["n_removed"] == 6
+    assert [got[k]["first_ids"] for k in (1, 2, 3, 4)] == [[], [1], [], [1]] and [got[k]["changed"] for k in (1, 2)] == [False, True]
     assert spans.remove_repeats(empty).count() == 0
     out = spans.remove_repeats(odd)
     assert out.count() == odd.count()
