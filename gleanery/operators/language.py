@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +111,18 @@ def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES) -> D
         .when(F.col("dominant").isin("CJK", "Japanese Kana"), asian).when(F.col("dominant") == "Hangul", "Korean").when(F.col("dominant") == "Latin", latin).otherwise(other)
     )
     shown = F.when((F.length("t") < MIN_CHARS) | (F.col("total") == 0), UNKNOWN).when(F.col("share") < 0.5, MIXED).otherwise(F.col("dominant"))
-    return rows.select("id", language.alias("language"), shown.alias("script"), "latin_votes")
+    # out of a generator, so that filters on the result stay above it (the optimizer would otherwise take the nested cases apart)
+    return rows.select("id", F.inline(F.array(F.struct(language.alias("language"), shown.alias("script"), F.col("latin_votes").alias("latin_votes")))))
+
+
+def refine(detected: DataFrame, corpus: DataFrame, model: Callable[[str], str | None], max_chars: int = LATIN_CHARS) -> DataFrame:
+    """Asks a model (text to name or None) about texts that the profiles leave open: unknown Latin, and scripts shown by their name."""
+    open_ = (F.col("language") == LATIN_UNKNOWN) | ((F.col("language") == F.col("script")) & ~F.col("language").isin(UNKNOWN, MIXED))
+    ask = F.pandas_udf(lambda s: s.map(lambda t: model(t) if t else None), "string")
+    # no filter on the detected columns: the optimizer would derive conditions from all of detect() through it
+    texts = corpus.select("id", F.substring("text", 1, max_chars).alias("__t"))
+    named = detected.join(texts, "id", "left").withColumn("__named", ask(F.when(open_, F.col("__t"))))
+    return named.withColumn("language", F.coalesce("__named", "language")).drop("__named", "__t")
 
 
 def correct_by_prior(detected: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES) -> DataFrame:

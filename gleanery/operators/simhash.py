@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,8 @@ def scaled_threshold(threshold: int, bits: int) -> int:
     return 10 if bits == 128 and threshold == 5 else threshold
 
 
-def bands(fp: Column, threshold: int, bits: int = 64) -> list[Column]:
-    """threshold + 1 pieces; two numbers that differ in ``threshold`` bits at most agree in one piece."""
-    n = threshold + 1
+def bands(fp: Column, n: int, bits: int = 64) -> list[Column]:
+    """``bits`` in n pieces, the last taking the rest; numbers that differ in fewer than n bits agree in one piece."""
     width = bits // n
     out = []
     for k in range(n):
@@ -81,21 +82,60 @@ def bands(fp: Column, threshold: int, bits: int = 64) -> list[Column]:
     return out
 
 
+def hamming(x: str, y: str, parts: list[str]) -> Column:
+    """Bits in which two rows' fingerprints differ, over their 64-bit parts."""
+    out = F.lit(0)
+    for p in parts:
+        out = out + F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")))
+    return out
+
+
 def pairs(prints: DataFrame, threshold: int = 5) -> DataFrame:
     """a, b, distance of distinct fingerprints at most ``threshold`` bits apart (a < b, first ids that have them), and equal ones.
 
     Equal fingerprints are one class first, so a page that thousands copy is
     one row in the join; members of a class are linked to its first id only.
+    Prints have a column fp, or with 128 bits fp and fp_lo. Where threshold + 1
+    bands would be narrower than four bits, rows are compared block by block.
     """
-    classes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    banded = classes.select("rep", "fp", F.posexplode(F.array(*bands(F.col("fp"), threshold))).alias("band", "value"))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")))
-    near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))).alias("distance")).where(F.col("distance") <= threshold).distinct()
-    same = prints.join(classes, "fp").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    parts = [c for c in ("fp", "fp_lo") if c in prints.columns]
+    classes = prints.groupBy(*parts).agg(F.min("id").alias("rep"))
+    if threshold + 1 <= 16 * len(parts):
+        per = -(-(threshold + 1) // len(parts))
+        values = [b for p in parts for b in bands(F.col(p), per)]
+        banded = classes.select("rep", *parts, F.posexplode(F.array(*values)).alias("band", "value"))
+        x, y = banded.alias("x"), banded.alias("y")
+        met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")))
+        near = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), hamming("x", "y", parts).cast("int").alias("distance")).where(F.col("distance") <= threshold).distinct()
+    else:
+        near = blocked_pairs(classes, parts, threshold)
+    same = prints.join(classes, parts).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(same)
 
 
+def blocked_pairs(classes: DataFrame, parts: list[str], threshold: int, block_rows: int = 4096) -> DataFrame:
+    """All pairs within ``threshold`` bits for thresholds too wide for bands: pairs of blocks of bounded size."""
+    n = max(1, -(-classes.count() // block_rows))
+    placed = classes.select("rep", *parts, F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("block"))
+    other = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    met = placed.select("*", F.explode(other).alias("g")).select("rep", *parts, "block", "g.x", "g.y")
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = key
+        left, right = frame[frame["block"] == x], frame[frame["block"] == y]
+        out = []
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            d = sum(np.bitwise_count(some[p].to_numpy()[:, None].view(np.uint64) ^ right[p].to_numpy()[None, :].view(np.uint64)).astype(np.int32) for p in parts)
+            i, j = np.nonzero(d <= threshold)
+            a, b = some["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
+            keep = a < b if x == y else np.ones(len(a), bool)
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[i, j][keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
+
+    return met.groupBy("x", "y").applyInPandas(compare, "a long, b long, distance int")
+
+
 def clusters(links: DataFrame) -> DataFrame:
     """id, cluster_id (its least id) of every row linked to another."""
     return connected_components(links)

@@ -549,6 +549,22 @@ def simhash_pairs(spark, sf_dir):
     return simhash.pairs(prints(spark, sf_dir)).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
+@query("simhash_pairs_wide", f"""{FINGERPRINTS}, c AS (SELECT fp, min(id) AS rep FROM fp GROUP BY 1)
+  SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.fp, y.fp)::BIT)::INTEGER AS distance FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.fp, y.fp)::BIT) <= 17 UNION ALL SELECT rep, id, 0 FROM fp JOIN c USING (fp) WHERE id <> rep""")
+def simhash_pairs_wide(spark, sf_dir):
+    """A threshold for which bands would be too narrow."""
+    return simhash.pairs(prints(spark, sf_dir), 17).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query("simhash128_pairs", f"""{SHINGLES}, k AS (SELECT id, ('0x' || substr(md5(shingle), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(shingle), 17, 16))::UBIGINT AS h2 FROM s), bb AS (SELECT id, {_BITS} AS bits, {_BITS2} AS bits2 FROM k GROUP BY 1),
+  fp AS (SELECT w.id, coalesce(('0b' || bits)::UBIGINT, 0) AS hi, coalesce(('0b' || bits2)::UBIGINT, 1) AS lo FROM w LEFT JOIN bb USING (id)), c AS (SELECT hi, lo, min(id) AS rep FROM fp GROUP BY 1, 2)
+  SELECT x.rep AS a, y.rep AS b, (bit_count(xor(x.hi, y.hi)::BIT) + bit_count(xor(x.lo, y.lo)::BIT))::INTEGER AS distance FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.hi, y.hi)::BIT) + bit_count(xor(x.lo, y.lo)::BIT) <= 10
+  UNION ALL SELECT rep, id, 0 FROM fp JOIN c USING (hi, lo) WHERE id <> rep""")
+def simhash128_pairs(spark, sf_dir):
+    p = simhash.fingerprints(docs(spark, sf_dir), 128)
+    return simhash.pairs(p, simhash.scaled_threshold(5, 128)).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
 CLUSTERS = LINKS.replace("WITH docs", "WITH RECURSIVE docs", 1) + """, u AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), r AS (SELECT DISTINCT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), cl AS (SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY 1)"""
 
 

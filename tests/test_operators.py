@@ -185,6 +185,11 @@ def test_languages(spark):
     assert {names[k]: v for k, v in got.items()} == {n: n for n in names}
 
 
+def test_filter_on_language(spark):
+    frame = language.detect(texts(spark, *SENTENCES.values()))
+    assert frame.where("language = 'German' or language = script").join(frame.where("script = 'Thai'").select("id"), "id").count() == 1
+
+
 def test_mixed_script_and_ties(spark):
     half = "абвгдежзик" + "abcdefghij"
     got = [r["script"] for r in language.detect(texts(spark, half + " !", half[::-1] + " !", "абвгдежз abcdefgh กขฃคฅฆงจฉ")).orderBy("id").collect()]
@@ -265,6 +270,28 @@ def test_bands_find_all_pairs(spark):
     assert got == {i: r for i, r in want.items() if sizes[r] > 1}
 
 
+def test_wide_and_long_fingerprints(spark):
+    rng = random.Random(5)
+    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(12)]
+    rows = base + [tuple(f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 12))) for f in fp) for fp in base for _ in range(5)]
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    frame = spark.createDataFrame([(k, signed(a), signed(b)) for k, (a, b) in enumerate(rows)], "id long, fp long, fp_lo long")
+    dist = lambda i, j, parts: sum((rows[i][p] ^ rows[j][p]).bit_count() for p in parts)
+    for cols, parts, t in ((["id", "fp"], (0,), 17), (["id", "fp", "fp_lo"], (0, 1), 10), (["id", "fp", "fp_lo"], (0, 1), 40)):
+        firsts = {}
+        for k, r in enumerate(rows):
+            firsts.setdefault(tuple(r[p] for p in parts), k)
+        reps = sorted(firsts.values())
+        want = {(i, j, dist(i, j, parts)) for i in reps for j in reps if i < j and dist(i, j, parts) <= t} | {(firsts[tuple(r[p] for p in parts)], k, 0) for k, r in enumerate(rows) if firsts[tuple(r[p] for p in parts)] != k}
+        assert {tuple(r) for r in simhash.pairs(frame.select(*cols), t).collect()} == want
+
+
+def test_language_model_fills_gaps(spark):
+    frame = texts(spark, SENTENCES["Latin (Unknown)"], SENTENCES["Thai"], SENTENCES["English"], "short")
+    got = {r["id"]: r["language"] for r in language.refine(language.detect(frame), frame, lambda t: "Klingon" if t.isascii() else None).collect()}
+    assert got == {0: "Klingon", 1: "Thai", 2: "English", 3: "Unknown"}
+
+
 def test_cluster_similarity_is_the_mean_over_all_pairs(spark):
     prints = spark.createDataFrame([(0, 0b1111), (1, 0b1110), (2, 0b0110)], "id long, fp long")
     members = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "id long, cluster_id long")
