@@ -92,22 +92,34 @@ BITMAP_WORDS = 2**16
 KEYS = ["__gl_id", "__gl_row"]
 
 
-def join_few(rows: DataFrame, few: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """``rows`` left join ``few`` on ``keys``, moving only rows that may have a partner.
+def _marked(rows: DataFrame, few: DataFrame, keys: list[str], words: int) -> DataFrame:
+    """``rows`` with __gl_hit: false where the key is surely not in ``few``.
 
-    A bitmap of hashed keys of ``few`` - of a fixed size, so it can be
-    broadcast - sorts out the rows that surely have none; these get nulls where
-    they are. The rest goes through an ordinary join. A full bitmap only means
-    that all rows do. ``few`` has each key once.
+    By a bitmap of hashed keys of ``few``, of a fixed size, so it can be
+    broadcast. A full bitmap only means that all rows are hits.
     """
-    bit = F.pmod(F.xxhash64(*keys), F.lit(BITMAP_WORDS * 64))
+    bit = F.pmod(F.xxhash64(*keys), F.lit(words * 64))
     place = {"__gl_word": F.shiftright(bit, 6).cast("int"), "__gl_at": bit.bitwiseAND(F.lit(63)).cast("int")}
     marks = few.withColumns(place).groupBy("__gl_word").agg(F.bit_or(F.expr("shiftleft(1L, __gl_at)")).alias("__gl_mask"))
     marked = rows.withColumns(place).join(F.broadcast(marks), "__gl_word", "left")
-    hit = F.expr("coalesce(getbit(__gl_mask, __gl_at), 0) = 1")
+    return marked.withColumn("__gl_hit", F.expr("coalesce(getbit(__gl_mask, __gl_at), 0) = 1")).drop("__gl_word", "__gl_at", "__gl_mask")
+
+
+def maybe_in(rows: DataFrame, few: DataFrame, keys: list[str], words: int = BITMAP_WORDS) -> DataFrame:
+    """The rows whose key is in ``few``, and some others; nothing is moved for it."""
+    return _marked(rows, few, keys, words).where("__gl_hit").drop("__gl_hit")
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``rows`` left join ``few`` on ``keys``, moving only rows that may have a partner.
+
+    Rows that surely have none get nulls where they are; the rest goes through
+    an ordinary join. ``few`` has each key once.
+    """
+    marked = _marked(rows, few, keys, BITMAP_WORDS)
     more = {f.name: F.lit(None).cast(f.dataType) for f in few.schema.fields if f.name not in keys}
-    clear = marked.where(~hit).drop("__gl_word", "__gl_at", "__gl_mask").withColumns(more)
-    return clear.unionByName(marked.where(hit).drop("__gl_word", "__gl_at", "__gl_mask").join(few, keys, "left"))
+    clear = marked.where("not __gl_hit").drop("__gl_hit").withColumns(more)
+    return clear.unionByName(marked.where("__gl_hit").drop("__gl_hit").join(few, keys, "left"))
 
 
 def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
-from gleanery.llm._shared import NULL_ID, cut, join_few, row_keys
+from gleanery.llm._shared import NULL_ID, cut, join_few, maybe_in, row_keys
 
 MIN_SENTENCES, MIN_WORDS, LONG, STEP = 2, 16, 24, 16
+#: Words of the bitmap of hashes that occur more than once: 2 MB.
+FILTER_WORDS = 2**18
 _END, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _END[list(b".!?")] = True
 _CLOSE[list(b"\"')]}")] = True
@@ -84,30 +86,47 @@ class Cut:
         return i, j, *out
 
 
+    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run: text, first and last sentence, hashes, and whether it is the first of its kind in its text."""
+        i, j, h1, h2 = self.runs()
+        doc = np.searchsorted(self.first, i, "right") - 1 if len(i) else i
+        with np.errstate(over="ignore"):
+            own = B.mix(h1.view(U) ^ B.mix(h2.view(U) + B.mix(doc.astype(U)))) if len(i) else i
+        new = np.zeros(len(i), bool)
+        new[np.unique(own, return_index=True)[1]] = True
+        return doc, i, j, h1, h2, new
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text, one of each kind: a text's own repeats need no one else."""
     for whole in batches:
-        for batch in B.pieces(whole, "text"):
+        for batch in B.pieces(whole, "text", B.CHUNK):
             c = Cut(batch.column("text"))
-            i, j, h1, h2 = c.runs()
-            doc = np.searchsorted(c.first, i, "right") - 1 if len(i) else i
-            off = c.first[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(B.ids(batch, "id")[doc]), pa.array(B.ids(batch, "row")[doc]), pa.array((i - off).astype(np.int32)), pa.array((j - off).astype(np.int32)), pa.array(h1), pa.array(h2)], ["id", "row", "i", "j", "h1", "h2"])
+            doc, i, _, h1, h2, new = c.firsts()
+            doc, i = doc[new], i[new]
+            yield pa.RecordBatch.from_arrays([pa.array(B.ids(batch, "id")[doc]), pa.array(B.ids(batch, "row")[doc]), pa.array((i - c.first[doc]).astype(np.int32)), pa.array(h1[new]), pa.array(h2[new])], ["id", "row", "i", "h1", "h2"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in B.pieces(whole, "text"):
+        for batch in B.pieces(whole, "text", B.CHUNK):
             c = Cut(batch.column("text"))
+            _, start, end, _, _, new = c.firsts()
+            last_of = np.zeros(len(c.a) + 1, np.int64)
+            last_of[start] = end
+            drop = np.zeros(len(c.a) + 1, np.int32)
+            np.add.at(drop, start[~new], 1)
+            np.add.at(drop, end[~new] + 1, -1)
+            starts = batch.column("starts")
+            found = np.asarray(starts.flatten()).astype(np.int64) + np.repeat(c.first[:-1], np.asarray(starts.value_lengths().fill_null(0)))
+            np.add.at(drop, found, 1)
+            np.add.at(drop, last_of[found] + 1, -1)
+            removed = np.cumsum(drop[:-1]) > 0
             raw = c.data.tobytes()
             n, gone, n_words, gone_words, texts = [], [], [], [], []
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                a, b = c.a[c.first[k] : c.first[k + 1]], c.b[c.first[k] : c.first[k + 1]]
+            for k in range(batch.num_rows):
+                a, b, out = (x[c.first[k] : c.first[k + 1]] for x in (c.a, c.b, removed))
                 lo, hi = int(c.at[k]), int(c.at[k + 1])
-                drop = np.zeros(len(a) + 1, np.int32)
-                for s in spans or ():
-                    drop[s["i"]] += 1
-                    drop[s["j"] + 1] -= 1
-                out = np.cumsum(drop[:-1]) > 0
                 begins = c.starts[a] if len(a) else a
                 if out.any():
                     cuts = np.concatenate([[lo], begins[1:], [hi]])
@@ -123,20 +142,23 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row keys, spans (i, j: first and last sentence) and first_ids (who has them first) of each text with a run that is not the first of its kind."""
+    """Row keys, starts (first sentences of runs that another text has first) and first_ids (who has them) of each such text."""
     rows = docs.select(*[c.alias(k.removeprefix("__gl_")) for k, c in row_keys(id_col, text_col).items()], F.col(text_col).alias("text"))
-    runs = cut(rows.mapInArrow(_runs, "id long, row long, i int, j int, h1 long, h2 long"), "runs")
+    runs = cut(rows.mapInArrow(_runs, "id long, row long, i int, h1 long, h2 long"), "runs")
+    # most runs are unique: half of the hash tells, and only the others are brought together with their places;
     # partial aggregation leaves a row for each hash and task, however frequent a passage is
+    often = runs.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    runs = cut(maybe_in(runs, often, ["h1"], FILTER_WORDS), "again")
     firsts = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     again = runs.join(firsts, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("i") != F.col("first.i")))
-    return again.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.collect_set(F.struct("i", "j")).alias("spans"), F.sort_array(F.collect_set("first.id")).alias("first_ids"))
+    return again.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.sort_array(F.collect_set("i")).alias("starts"), F.sort_array(F.collect_set("first.id")).alias("first_ids"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_removed, n_words, n_removed_words, changed, first_ids (the documents that keep what was removed), text (what stays) of every row."""
     spans = cut(repeated_spans(docs, id_col, text_col), "spans")
     rows = docs.select(*[c.alias(k) for k, c in row_keys(id_col, text_col).items()], F.col(text_col).alias("text"))
-    rows = join_few(rows, spans).select(F.col("__gl_id").alias("id"), "text", "spans", F.coalesce("first_ids", F.array().cast("array<long>")).alias("first_ids"))
+    rows = join_few(rows, spans).select(F.col("__gl_id").alias("id"), "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("first_ids", F.array().cast("array<long>")).alias("first_ids"))
     out = rows.mapInArrow(_apply, "id long, n_sentences long, n_removed long, n_words long, n_removed_words long, text string, first_ids array<long>")
     shown = F.transform("first_ids", lambda x: F.when(x != NULL_ID, x))
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_sentences", "n_removed", "n_words", "n_removed_words", (F.col("n_removed") > 0).alias("changed"), shown.alias("first_ids"), "text")
