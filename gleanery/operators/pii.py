@@ -54,6 +54,11 @@ PATTERNS = [
     Pattern("btc_address", "Bitcoin Address", r"\b(?:[13][A-HJ-NP-Za-km-z1-9]{25,34}|bc1[a-z0-9]{6,87})\b", 0.20, 0.5, ("wallet", "bitcoin", "btc", "crypto", "address", "transaction", "tx"), ("hash", "commit", "sha", "checksum")),
     Pattern("eth_address", "Ethereum Address", r"\b0x[0-9a-fA-F]{40}\b", 0.10, 0.6, ("wallet", "ethereum", "eth", "crypto", "address", "transaction", "tx", "contract"), ("hash", "commit", "sha", "checksum")),
 ]
+#: What a line must hold for a pattern to match in it; cheap to look for, and most lines have none of it.
+NEEDS = {
+    "email": "@", "credit_card": r"\p{Nd}{3}", "ssn": r"\p{Nd}-\p{Nd}", "phone": r"\p{Nd}{3}", "ip_address": r"\p{Nd}\.[\p{Nd}]", "ipv6_address": "[0-9a-fA-F]*:[0-9a-fA-F]*:",
+    "iban": r"[A-Z]{2}\p{Nd}{2}", "uk_nino": r"[A-Z]{2}\p{Nd}{6}", "de_tax_id": r"[1-9]\p{Nd}{10}", "es_dni": r"\p{Nd}{8}[A-Z]", "btc_address": "[13][A-HJ-NP-Za-km-z1-9]{25}|bc1", "eth_address": "0x[0-9a-fA-F]{40}",
+}
 TEST_SSNS = ("078051120", "219099999")
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 CONTEXT, BOOST, SUPPRESS, LIMIT = 100, 0.15, 0.2, 0.4
@@ -130,7 +135,8 @@ def count_matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> D
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def total(p: Pattern) -> Column:
-        return F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(matches_of(p, x))).cast("long")
+        some = F.filter(lines, lambda x: x.rlike(NEEDS.get(p.name, "")))
+        return F.aggregate(some, F.lit(0), lambda n, x: n + F.size(matches_of(p, x))).cast("long")
 
     per = [F.struct(F.lit(p.name).alias("pattern"), total(p).alias("n")) for p in use]
     return corpus.select("id", F.inline(F.array(*per)).alias("pattern", "n")).where("n > 0")
@@ -145,7 +151,7 @@ def matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> DataFra
         regex = java(p.regex)
         between = F.split("line", regex)
         found = F.regexp_extract_all("line", F.lit(regex), F.lit(0))
-        some = lines.where(F.col("line").rlike(regex)).select("id", "line_no", "line", F.posexplode(found).alias("k", "matched"), between.alias("__b"), found.alias("__f"))
+        some = lines.where(F.col("line").rlike(NEEDS.get(p.name, "")) & F.col("line").rlike(regex)).select("id", "line_no", "line", F.posexplode(found).alias("k", "matched"), between.alias("__b"), found.alias("__f"))
         length = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
         start = length(F.slice("__b", F.lit(1), F.col("k") + 1)) + length(F.slice("__f", F.lit(1), F.col("k")))
         some = some.where(accepted(p.name, F.col("matched"))).select("id", F.lit(p.name).alias("pattern"), (F.col("line_no") + 1).alias("line_no"), start.alias("start"), "matched", "line")
