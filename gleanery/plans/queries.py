@@ -614,6 +614,20 @@ def semantic_pairs(spark, sf_dir):
     return semantic.similar_pairs(table(spark, sf_dir, "embeddings")).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+LOOSE = VECTORS.replace("0.85", "0.35")
+
+
+@query("semantic_pairs_loose", f"{LOOSE} SELECT a, b, round(cosine, 6)::DOUBLE AS cosine FROM lk")
+def semantic_pairs_loose(spark, sf_dir):
+    """The vectors of the table are far apart; at this threshold some pairs are found."""
+    return semantic.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("semantic_components_loose", f"{LOOSE.replace('WITH v', 'WITH RECURSIVE v', 1)}, u AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), r AS (SELECT DISTINCT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY 1")
+def semantic_components_loose(spark, sf_dir):
+    return simhash.clusters(semantic.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35))
+
+
 @query("semantic_components", f"{VECTORS.replace('WITH v', 'WITH RECURSIVE v', 1)}, u AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk), r AS (SELECT DISTINCT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY 1")
 def semantic_components(spark, sf_dir):
     return simhash.clusters(semantic.similar_pairs(table(spark, sf_dir, "embeddings")))
