@@ -13,9 +13,10 @@ star, not all pairs. Links are confirmed on the full sets. Buckets whose
 members are in more than one component then are opened: up to ``SMALL``
 members are compared pair by pair, and in larger ones each member outside the
 largest component with ``CENTRES`` others, other ones each round, until a round
-finds no link. So the number of pairs grows with the number of members only,
-and a pair in a crowd is found in the many buckets that it shares with no
-crowd.
+finds no link. What is in several components then is compared in whole: the
+members of a larger bucket by size in blocks, and all pairs of blocks that sizes
+allow, so that no pair that shares a bucket is left out. This last step grows
+with the square of the crowds that do not come together; its blocks are bounded.
 
 Edge cases: null texts and those without words have an empty set, a component
 of their own and stay; texts under ``SHINGLE`` words have one shingle, the
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
@@ -40,6 +41,8 @@ SHINGLE, BINS, BANDS, PERCENT = 5, 128, 32, 75
 #: Buckets up to SMALL members are compared pair by pair when they are opened; in
 #: larger ones members outside the largest component meet CENTRES others a round.
 SMALL, CENTRES = 8, 4
+#: Weight of a block of a crowd: its shingles, and LEAST more for each member.
+BLOCK, LEAST = 1 << 18, 256
 U = np.uint64
 
 
@@ -126,6 +129,51 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, over the shingles that are in several."""
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    col = (np.cumsum(times > 1) - 1)[place]
+    keep = times[place] > 1
+    at, col = at[keep], col[keep]
+    out = np.zeros((len(sets), int(col.max()) // 64 + 1 if len(col) else 1), U)
+    np.bitwise_or.at(out, (at, col >> 6), U(1) << (col & 63).astype(U))
+    return out
+
+
+def _compare_blocks(group: pa.Table) -> pa.Table:
+    """Links that join the components of two blocks, or of one with itself; all their pairs are compared."""
+    group = group.combine_chunks()
+    ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("set").combine_chunks()]
+    n, bits = np.array([len(s) for s in sets], np.int64), _bits(sets)
+    _, label, times = np.unique(group.column("root").to_numpy(), return_inverse=True, return_counts=True)
+    one = (side == side[0]).all()
+    links = []
+    for x in np.flatnonzero(label != np.argmax(times)):
+        other = (label != label[x]) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
+        to = np.flatnonzero(other if one else other & (side != side[x]))
+        both = np.concatenate([np.bitwise_count(bits[t] & bits[x]).sum(axis=1, dtype=np.int64) for t in np.array_split(to, len(to) * bits.shape[1] // B.CHUNK + 1)])
+        for y in to[100 * both >= PERCENT * (n[to] + n[x] - both)]:
+            if label[y] != label[x]:
+                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                label[label == label[y]] = label[x]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each bucket of rows (key, id, n, root), by comparing all that sizes allow."""
+    weight = F.sum(F.col("n") + LEAST).over(Window.partitionBy("key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = cut(rows.select("key", "id", "n", "root", F.floor(F.coalesce(weight, F.lit(0)) / BLOCK).alias("block")), "blocks")
+    facts = blocks.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    x, y = (facts.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high", "r0", "r1")]) for s in "xy")
+    two = x.join(y, "key").where((F.col("block_x") <= F.col("block_y")) & (100 * F.col("high_x") >= PERCENT * F.col("low_y")))
+    two = two.where(F.least("r0_x", "r0_y") < F.greatest("r1_x", "r1_y")).select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+    sides = two.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    members = blocks.join(sides, ["key", "block"]).select("key", "x", "y", F.col("block").alias("side"), "id", "root")
+    return members.join(sets, "id").groupBy("key", "x", "y").applyInArrow(_compare_blocks, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root: the least id reachable over links (a, b), for each id in one.
 
@@ -188,12 +236,13 @@ def _roots(buckets: DataFrame, sets: DataFrame, given: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(many).where((F.col("root") != F.col("root_a")) & _fits("n", "n_a"))
         pairs = pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs, seen = cut_with(pairs, "pairs", n=F.count(F.lit(1)))
+        if seen["n"]:
+            links, seen = cut_with(_confirm(pairs, sets), "links", n=F.count(F.lit(1)))
         if not seen["n"]:
-            return roots
-        links, seen = cut_with(_confirm(pairs, sets), "links", n=F.count(F.lit(1)))
-        if not seen["n"]:
-            return roots
+            break
         roots, tried = _joined(roots, links), tried.unionByName(pairs)
+    links, seen = cut_with(_crowd_links(rows.where(F.col("m") > SMALL), sets).distinct(), "links", n=F.count(F.lit(1)))
+    return _joined(roots, links) if seen["n"] else roots
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -152,6 +152,38 @@ def test_near_dup_reopens_buckets(spark):
     same(got.collect(), brute.near_dup(rows))
 
 
+def test_near_dup_finds_the_hub_of_a_crowd(spark):
+    """2000 edited copies that are linked through the one text in their middle only."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(220)]
+    rows = []
+    for n in range(2001):
+        w = list(base)
+        for k in rng.sample(range(22), 6) if n != 1000 else []:
+            w[k * 10 + rng.randrange(5)] = f"n{rng.randrange(10**6)}"
+        rows.append((n, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(216)} for _, t in rows]
+    place = {g: k for k, g in enumerate({g for s in sets for g in s})}
+    has = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[g] for g in s]] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    want = np.arange(len(rows))
+    while True:  # the least id that links reach
+        least = np.where(link, want[None, :], len(rows)).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    assert (link[1000].sum(), np.delete(np.delete(link, 1000, 0), 1000, 1).sum() - 2000) == (2001, 0)
+    got = near_dup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id")
+    same(got.collect(), enumerate(want.tolist()))
+
+
 def test_near_dup_on_table(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = near_dup.cluster(frame).select("doc_id", "n_shingles", "component_id", "kept")
