@@ -289,8 +289,16 @@ def count_sql(name: str, lines: str = "lines") -> str:
     return f"len({found})"
 
 
-#: Patterns that RE2 can run as they are.
+#: Patterns that RE2 can run as they are: those of the queries that have SQL beside them.
 PLAIN_PATTERNS = ["email", "credit_card", "ip_address", "uk_nino", "btc_address", "eth_address", "de_tax_id", "es_dni", "iban"]
+#: All built-in patterns: those of the queries named ``..._all``, which have no SQL.
+ALL_PATTERNS = list(pii.BY_NAME)
+
+
+def with_all_patterns(f):
+    """Registers a query over ``PLAIN_PATTERNS`` again, over all patterns, as ``..._all``."""
+    query(f"{f.__name__.removesuffix('_query')}_all")(lambda spark, sf_dir: f(spark, sf_dir, ALL_PATTERNS))
+    return f
 
 
 def pii_counts(spark, sf_dir, names=PLAIN_PATTERNS):
@@ -302,19 +310,22 @@ def pii_counts_sql(names: list[str] = PLAIN_PATTERNS) -> str:
     return f"{DOCS}, s AS (SELECT id, string_split(coalesce(text, ''), chr(10)) AS lines FROM docs), m AS (SELECT id, unnest([{per}], recursive := true) FROM s), c AS (SELECT id, pattern, n::BIGINT AS n FROM m WHERE n > 0)"
 
 
+@with_all_patterns
 @query("pii_counts", f"{pii_counts_sql()} SELECT * FROM c")
-def pii_counts_query(spark, sf_dir):
-    return pii_counts(spark, sf_dir)
+def pii_counts_query(spark, sf_dir, names=PLAIN_PATTERNS):
+    return pii_counts(spark, sf_dir, names)
 
 
+@with_all_patterns
 @query("pii_matches_by_type", f"{pii_counts_sql()} SELECT pattern, sum(n)::BIGINT AS n_matches, count(*) AS n_files FROM c GROUP BY 1")
-def pii_matches_by_type(spark, sf_dir):
-    return pii.type_rollup(pii_counts(spark, sf_dir))
+def pii_matches_by_type(spark, sf_dir, names=PLAIN_PATTERNS):
+    return pii.type_rollup(pii_counts(spark, sf_dir, names))
 
 
+@with_all_patterns
 @query("pii_file_rollup", f"{pii_counts_sql()} SELECT id, sum(n)::BIGINT AS n_matches, string_agg(pattern, ',' ORDER BY pattern) AS pii_types FROM c GROUP BY 1")
-def pii_file_rollup(spark, sf_dir):
-    return pii.file_rollup(pii_counts(spark, sf_dir))
+def pii_file_rollup(spark, sf_dir, names=PLAIN_PATTERNS):
+    return pii.file_rollup(pii_counts(spark, sf_dir, names))
 
 
 PHONE_RE2 = "(?:^|[^#\\p{L}\\p{N}_])((?:\\+?1[-.\\s]?)?(?:\\(?\\d{3}\\)?[-.\\s]?)\\d{3}[-.\\s]?\\d{4}\\b)"
@@ -641,10 +652,10 @@ def semantic_clusters(spark, sf_dir):
 # -------------------------------------------------------------------- reports
 
 
-def _report_parts(spark, sf_dir):
+def _report_parts(spark, sf_dir, names):
     c = docs(spark, sf_dir)
     h = dedup.hashed(c)
-    counts = pii.count_matches(c, [pii.BY_NAME[n] for n in PLAIN_PATTERNS])
+    counts = pii.count_matches(c, [pii.BY_NAME[n] for n in names])
     return c, dedup.members(h), health.text_health(c), pii.file_rollup(counts), language.detect(c), h
 
 
@@ -661,15 +672,17 @@ def _file_sql(sep: str = ",") -> str:
   FROM docs LEFT JOIN dm USING (id) JOIN st USING (id) LEFT JOIN pf USING (id) JOIN det USING (id)"""
 
 
+@with_all_patterns
 @query("file_report", _file_sql())
-def file_report(spark, sf_dir):
-    c, members, status, files, languages, _ = _report_parts(spark, sf_dir)
+def file_report(spark, sf_dir, names=PLAIN_PATTERNS):
+    c, members, status, files, languages, _ = _report_parts(spark, sf_dir, names)
     return tables.file_report(c, members, status, files, languages)
 
 
+@with_all_patterns
 @query("csv_report", _file_sql(";"))
-def csv_report(spark, sf_dir):
-    return tables.csv_rows(file_report(spark, sf_dir))
+def csv_report(spark, sf_dir, names=PLAIN_PATTERNS):
+    return tables.csv_rows(file_report(spark, sf_dir, names))
 
 
 CELLS = ["=1+1", "+x", "-3", "@a", "|b", "plain", "", "\ttab", "a=b"]
@@ -685,25 +698,28 @@ FINDINGS = f"""{_REPORT}, fi AS (SELECT id, 'FC004' AS rule_id, 'warning' AS lev
   UNION ALL SELECT id, 'FC007', 'note', 'File contains encoding damage (mojibake)' FROM (SELECT id, substr(text, 1, 50000) AS t FROM docs WHERE length(text) >= 20) WHERE {' OR '.join(_FLAGS.values())})"""
 
 
-def _findings(spark, sf_dir):
-    c, members, status, files, _, _ = _report_parts(spark, sf_dir)
+def _findings(spark, sf_dir, names):
+    c, members, status, files, _, _ = _report_parts(spark, sf_dir, names)
     return c, tables.findings(status, files, members, text_quality.mojibake(c))
 
 
+@with_all_patterns
 @query("sarif_findings", f"{FINDINGS} SELECT * FROM fi")
-def sarif_findings(spark, sf_dir):
-    return _findings(spark, sf_dir)[1]
+def sarif_findings(spark, sf_dir, names=PLAIN_PATTERNS):
+    return _findings(spark, sf_dir, names)[1]
 
 
+@with_all_patterns
 @query("junit_cases", f"{FINDINGS} SELECT docs.id, count(*) FILTER (rule_id IN ('FC001', 'FC002'))::BIGINT AS n_errors, count(*) FILTER (rule_id IN ('FC003', 'FC004', 'FC005', 'FC006'))::BIGINT AS n_failures FROM docs LEFT JOIN fi USING (id) GROUP BY 1")
-def junit_cases(spark, sf_dir):
-    return tables.junit_cases(*_findings(spark, sf_dir))
+def junit_cases(spark, sf_dir, names=PLAIN_PATTERNS):
+    return tables.junit_cases(*_findings(spark, sf_dir, names))
 
 
+@with_all_patterns
 @query("gate", f"""{_REPORT}, x AS (SELECT 1 AS ord, 'duplicate' AS metric, (SELECT duplicate_pct / 100 FROM ({DEDUP_SQL})) AS rate, 0.1::DOUBLE AS threshold UNION ALL SELECT 2, 'corrupt', 0::DOUBLE, 0.01
   UNION ALL SELECT 3, 'pii', (SELECT count(*) FROM pf) / (SELECT count(*) FROM docs)::DOUBLE, 0.05) SELECT ord, metric, round(rate, 6)::DOUBLE AS rate, threshold::DOUBLE AS threshold, rate >= threshold AS breached FROM x""")
-def gate(spark, sf_dir):
-    c, _, status, files, _, h = _report_parts(spark, sf_dir)
+def gate(spark, sf_dir, names=PLAIN_PATTERNS):
+    c, _, status, files, _, h = _report_parts(spark, sf_dir, names)
     out = tables.gate(dedup.dedup_summary(h), status, files, c.agg(F.count(F.lit(1)).alias("n")))
     return out.withColumn("rate", F.round("rate", 6))
 
@@ -719,10 +735,11 @@ SUMMARY_SQL = f"""{_REPORT} SELECT mime, count(*) AS n_files, sum(size)::BIGINT
   count(*) FILTER (language IN ('Unknown', 'Latin (Unknown)', 'Mixed Script')) AS n_unclear_language FROM docs LEFT JOIN dm USING (id) JOIN st USING (id) LEFT JOIN pf USING (id) JOIN det USING (id) GROUP BY 1"""
 
 
+@with_all_patterns
 @query("corpus_summary", SUMMARY_SQL)
-def corpus_summary(spark, sf_dir):
+def corpus_summary(spark, sf_dir, names=PLAIN_PATTERNS):
     """Health of the corpus by type: one report row a file, rolled up."""
-    report = file_report(spark, sf_dir)
+    report = file_report(spark, sf_dir, names)
     vague = F.col("language").isin(language.UNKNOWN, language.LATIN_UNKNOWN, language.MIXED)
     return report.groupBy(F.col("mime_type").alias("mime")).agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").cast("long").alias("total_bytes"), F.count_if("is_duplicate").alias("n_duplicates"), F.count_if(F.col("health_status") != "ok").alias("n_unhealthy"),

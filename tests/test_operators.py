@@ -329,3 +329,33 @@ def test_semantic(spark):
 def test_table_adapter(spark, sf_dir):
     frame = C.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source")
     assert frame.columns == ["id", "size", "mime", "cluster", "text"] and frame.count() == 200
+
+
+def test_pii_queries_with_all_patterns(spark, sf_dir, tmp_path):
+    """Documents whose only personal data is one of the types with look-around, against Python's re."""
+    import re
+
+    from gleanery.plans import registry
+
+    planted = ["call 555-123-4567 or (555) 123-4567 now, but not #555-123-4567", "ssn 456-78-1234 and 078-05-1120 and 000-12-3456", "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", "nothing here"]
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = spark.createDataFrame([(-1 - k, t, "en", "s", len(t)) for k, t in enumerate(planted)], frame.schema)
+    frame.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    q = registry.queries()
+    run = lambda name: q[name](spark, str(tmp_path)).collect()
+    rows = {r["doc_id"]: r["text"] for r in frame.unionByName(more).collect()}
+    counts = {(r["id"], r["pattern"]): r["n"] for r in run("pii_counts_all")}
+    for name in ("phone", "ssn", "ipv6_address", "email", "ip_address"):
+        found = {d: [m for line in (t or "").split("\n") for m in re.findall(pii.BY_NAME[name].regex, line)] for d, t in rows.items()}
+        want = {d: sum(name != "ssn" or m.replace("-", "") not in pii.TEST_SSNS for m in f) for d, f in found.items()}
+        assert {d: n for (d, p), n in counts.items() if p == name} == {d: n for d, n in want.items() if n}
+    assert [counts.get((-1 - k, p)) for k, p in enumerate(("phone", "ssn", "ipv6_address"))] == [2, 1, 1]
+    assert {"phone", "ssn", "ipv6_address"} <= {r["pattern"] for r in run("pii_matches_by_type_all")}
+    some = {d for d, _ in counts}
+    assert {r["id"] for r in run("pii_file_rollup_all")} == some
+    for name in ("file_report_all", "csv_report_all"):
+        assert {r["id"] for r in run(name) if r["has_pii"]} == some
+    assert {r["id"] for r in run("sarif_findings_all") if r["rule_id"] == "FC005"} == some
+    assert all(r["n_failures"] > 0 for r in run("junit_cases_all") if r["id"] in some)
+    assert next(r["rate"] for r in run("gate_all") if r["metric"] == "pii") == round(len(some) / len(rows), 6)
+    assert sum(r["n_pii"] for r in run("corpus_summary_all")) == len(some)
