@@ -1,8 +1,10 @@
 """Rendered reports of a ``CorpusReport``.
 
-What goes into a rendered document is bounded (top-k tables, one-row
-summaries); tables with a row a file are written by Spark where they can be
-large (``write_files``).
+Text and HTML show top-k tables and one-row summaries. JSON, CSV, SARIF and
+JUnit hold every file, finding and case, read part by part, so such a document
+grows with the corpus; the file table can be written by Spark instead
+(``write_files``). Of near-duplicate clusters JSON has the ``MAX_CLUSTERS``
+largest.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 import os
 import tempfile
 import time
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from typing import Any
 from xml.sax.saxutils import quoteattr
@@ -26,7 +29,7 @@ from gleanery.report.tables import RULES, csv_rows, top_with_other
 
 FORMATS = ("terminal", "json", "csv", "sarif", "junit", "html")
 DEFAULT_NAMES = {"json": "corpus-report.json", "csv": "corpus-report.csv", "html": "corpus-report.html", "sarif": "corpus-report.sarif.json", "junit": "corpus-report.xml"}
-MAX_ROWS, MAX_CLUSTERS = 10_000, 100
+MAX_CLUSTERS = 100
 
 
 def write_text(path: str, text: str) -> None:
@@ -42,13 +45,12 @@ def write_text(path: str, text: str) -> None:
         raise
 
 
-def _rows(df: DataFrame, limit: int = MAX_ROWS) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def _rows(df: DataFrame) -> Iterator[dict]:
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
 def _one(df: DataFrame) -> dict:
-    found = _rows(df, 1)
-    return found[0] if found else {}
+    return next(_rows(df.limit(1)), {})
 
 
 def summary(report: CorpusReport) -> dict[str, Any]:
@@ -58,16 +60,16 @@ def summary(report: CorpusReport) -> dict[str, Any]:
     out: dict[str, Any] = {}
     for name in names:
         df = report.sections.get(name)
-        out[name] = None if df is None else _one(df) if name in single else _rows(df)
+        out[name] = None if df is None else _one(df) if name in single else list(_rows(df))
     out["mojibake"] = {"n_damaged": report["mojibake"].where("is_damaged").count()} if "mojibake" in report.sections else None
-    out["near_duplicates"] = _rows(near_duplicates(report).orderBy(F.desc("n_members"), "cluster_id"), MAX_CLUSTERS) if "fingerprints" in report.sections else None
+    out["near_duplicates"] = list(_rows(near_duplicates(report).orderBy(F.desc("n_members"), "cluster_id").limit(MAX_CLUSTERS))) if "fingerprints" in report.sections else None
     return out
 
 
 def to_json(report: CorpusReport) -> str:
     body = {
         "version": __version__, "scan_path": report.scan_path, "scan_date": datetime.now(UTC).isoformat(), "duration_seconds": round(time.time() - report.started, 3),
-        "summary": summary(report), "files": _rows(report["files"].orderBy("id")) if "files" in report.sections else [],
+        "summary": summary(report), "files": list(_rows(report["files"].orderBy("id"))) if "files" in report.sections else [],
     }
     return json.dumps(body, indent=2, default=str, allow_nan=False, ensure_ascii=False)
 

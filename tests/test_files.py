@@ -222,3 +222,20 @@ def test_formatting():
 
 def test_statuses_are_known():
     assert set(health.STATUSES) >= {"ok", "corrupt", "unreadable"}
+
+
+def test_reports_list_every_file(spark):
+    from pyspark.sql import functions as F
+
+    from gleanery.plans.scan import CorpusReport
+
+    n = 10_050
+    ids = spark.range(n).select(F.format_string("f%06d", "id").alias("id"))
+    found = ids.select("id", F.lit("FC004").alias("rule_id"), F.lit("warning").alias("level"), F.lit("empty").alias("message"))
+    own = CorpusReport(ScanConfig(), {"files": ids, "findings": found, "cases": ids})
+    want = [f"f{k:06d}" for k in range(n)]
+    assert [r["id"] for r in json.loads(render.to_json(own))["files"]] == want
+    results = json.loads(render.to_sarif(own))["runs"][0]["results"]
+    assert [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in results] == want
+    junit = render.to_junit(own)
+    assert f'tests="{n}"' in junit and f'failures="{n}"' in junit and junit.count("<testcase ") == junit.count("<failure ") == n
