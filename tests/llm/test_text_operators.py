@@ -107,6 +107,26 @@ def test_quality_rejects_outliers(spark):
     assert kept == {i for i, *_ in plain}
 
 
+def test_quality_rejects_outliers_of_each_kind(spark):
+    """One statistic far off at a time, and junk that is a source of its own."""
+    import random
+
+    rng = random.Random(3)
+    words_ = lambda n: [f"word{rng.randrange(10**4)}" for _ in range(n)]
+    letters = lambda n: ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(6)) for _ in range(n)]
+    plain = [(i, " ".join(words_(60 + i % 20)), "en", "s") for i in range(300)]
+    repeat = words_(10)
+    junk = [
+        (1000, " ".join("x" * 40 + w for w in words_(60))), (1001, " ".join(f"{w}$$$" for w in words_(60))), (1002, " ".join([*words_(300), *repeat, *words_(150), *(repeat * 13), *words_(20)])),
+        (1003, "\n".join(rng.choice(repeat) for _ in range(200))), (1004, " ".join(letters(20))),
+    ]
+    tiny = [(2000 + i, " ".join(f"{w}$$$" for w in words_(70)), "en", "tiny") for i in range(3)]
+    frame = spark.createDataFrame([*plain, *[(*r, "en", "s") for r in junk], *tiny], "doc_id long, text string, lang string, source string")
+    out = quality.judge(frame)
+    assert out.where("doc_id >= 1000 and base_failed").count() == 0
+    assert {r[0] for r in out.where("kept").select("doc_id").collect()} == {i for i, *_ in plain}
+
+
 def test_line_dedup(docs, empty, odd):
     got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
     same(got.collect(), brute.line_dedup(TEXTS))
