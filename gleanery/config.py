@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CONFIG_FILE = ".field-check.yaml"
+CONFIG_FILE = ".gleanery.yaml"
 DEFAULT_EXCLUDES = (".git", "__pycache__", "node_modules", ".venv", ".env")
 
 

@@ -44,7 +44,7 @@ def test_globs_agree_on_driver_and_cluster(spark, pattern):
 
 def test_config(tmp_path):
     assert load_config(str(tmp_path)) == ScanConfig()
-    (tmp_path / ".field-check.yaml").write_text("exclude: ['*.bin']\nsampling: {rate: 7, min_per_type: 3}\nsimhash: {bits: 128, threshold: 500}\nthresholds: {pii_critical: -1}\npii: {custom_patterns: [{name: a, pattern: 'x+'}, {name: b, pattern: '('}]}\n")
+    (tmp_path / ".gleanery.yaml").write_text("exclude: ['*.bin']\nsampling: {rate: 7, min_per_type: 3}\nsimhash: {bits: 128, threshold: 500}\nthresholds: {pii_critical: -1}\npii: {custom_patterns: [{name: a, pattern: 'x+'}, {name: b, pattern: '('}]}\n")
     with pytest.warns(UserWarning, match="not valid"):
         c = load_config(str(tmp_path))
     assert c.exclude[-1] == "*.bin" and ".git" in c.exclude
@@ -52,7 +52,7 @@ def test_config(tmp_path):
     assert (c.simhash_bits, c.simhash_threshold, c.pii_critical) == (128, 128, 0.0)
     assert c.pii_custom_patterns == (("a", "x+"),)
     assert from_mapping([1]) == ScanConfig()
-    (tmp_path / ".field-check.yaml").write_bytes(b"\xff\xfe: [")
+    (tmp_path / ".gleanery.yaml").write_bytes(b"\xff\xfe: [")
     with pytest.warns(UserWarning, match="defaults"):
         assert load_config(str(tmp_path)) == ScanConfig()
 
