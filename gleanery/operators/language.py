@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHARS, MIN_WORDS, LATIN_CHARS = 20, 3, 5000
+from gleanery.operators.text_quality import head
+
+MIN_CHARS, MIN_WORDS = 20, 3
 
 # Code point ranges of the scripts.
 SCRIPTS = {
@@ -66,8 +68,8 @@ def script_histogram(corpus: DataFrame) -> DataFrame:
     return corpus.select("id", *[c.alias(_column(n)) for n, c in script_counts(F.coalesce("text", F.lit(""))).items()])
 
 
-def latin_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.substring(text, 1, LATIN_CHARS)), F.lit("[a-zA-Z\\x{C0}-\\x{24F}]+"), F.lit(0))
+def latin_words(text: Column, max_chars: int | None = None) -> Column:
+    return F.regexp_extract_all(F.lower(head(text, max_chars)), F.lit("[a-zA-Z\\x{C0}-\\x{24F}]+"), F.lit(0))
 
 
 def votes(words: Column, profile: str) -> Column:
@@ -83,8 +85,12 @@ def _best(pairs: list[tuple[str, Column]], least: Column | int, other: str) -> C
     return out.otherwise(other)
 
 
-def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES) -> DataFrame:
-    """id, language, script, and the votes of the Latin profiles as an array in their order."""
+def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES, max_chars: int | None = None) -> DataFrame:
+    """id, language, script, and the votes of the Latin profiles as an array in their order.
+
+    Latin words are counted in the first ``max_chars`` characters, or in the
+    whole text. Those in no profile go first, so that each profile looks at few.
+    """
     rows = corpus.select("id", F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("t"))
     rows = rows.select("id", "t", *[c.alias(_column(n)) for n, c in script_counts(F.col("t")).items()])
     n = {name: F.col(_column(name)) for name in SCRIPTS}
@@ -98,7 +104,8 @@ def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES) -> D
     for name in SCRIPTS:
         script = F.when(place[name] == first, name) if script is None else script.when(place[name] == first, name)
     rows = rows.withColumn("dominant", script).withColumn("share", top / F.nullif("total", F.lit(0)))
-    rows = rows.withColumn("words", F.when(F.col("dominant") == "Latin", latin_words(F.col("t"))))
+    some = sorted({w for p in profiles.values() for w in p.split(" ")})
+    rows = rows.withColumn("words", F.when(F.col("dominant") == "Latin", F.filter(latin_words(F.col("t"), max_chars), lambda w: w.isin(*some))))
     rows = rows.withColumn("latin_votes", F.array(*[F.coalesce(votes(F.col("words"), p), F.lit(0)) for p in profiles.values()]))
     latin = _best([(name, F.col("latin_votes")[k]) for k, name in enumerate(profiles)], MIN_WORDS, LATIN_UNKNOWN)
     other = F.col("dominant")
@@ -115,12 +122,12 @@ def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES) -> D
     return rows.select("id", F.inline(F.array(F.struct(language.alias("language"), shown.alias("script"), F.col("latin_votes").alias("latin_votes")))))
 
 
-def refine(detected: DataFrame, corpus: DataFrame, model: Callable[[str], str | None], max_chars: int = LATIN_CHARS) -> DataFrame:
+def refine(detected: DataFrame, corpus: DataFrame, model: Callable[[str], str | None], max_chars: int | None = None) -> DataFrame:
     """Asks a model (text to name or None) about texts that the profiles leave open: unknown Latin, and scripts shown by their name."""
     open_ = (F.col("language") == LATIN_UNKNOWN) | ((F.col("language") == F.col("script")) & ~F.col("language").isin(UNKNOWN, MIXED))
     ask = F.pandas_udf(lambda s: s.map(lambda t: model(t) if t else None), "string")
     # no filter on the detected columns: the optimizer would derive conditions from all of detect() through it
-    texts = corpus.select("id", F.substring("text", 1, max_chars).alias("__t"))
+    texts = corpus.select("id", head(F.col("text"), max_chars).alias("__t"))
     named = detected.join(texts, "id", "left").withColumn("__named", ask(F.when(open_, F.col("__t"))))
     return named.withColumn("language", F.coalesce("__named", "language")).drop("__named", "__t")
 

@@ -26,6 +26,8 @@ class Pattern:
     suppress: tuple[str, ...] = ()
 
 
+#: What belongs to a built-in pattern (what lines need, its check) goes by the whole pattern,
+#: so that one of the caller's own may have any name.
 PATTERNS = [
     Pattern("email", "Email Address", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.10, 0.8, ("email", "e-mail", "contact", "mailto")),
     Pattern(
@@ -65,6 +67,11 @@ CONTEXT, BOOST, SUPPRESS, LIMIT = 100, 0.15, 0.2, 0.4
 BY_NAME = {p.name: p for p in PATTERNS}
 
 
+def needs(pattern: Pattern) -> str:
+    """A cheap pattern that every line with a match matches."""
+    return NEEDS[pattern.name] if pattern == BY_NAME.get(pattern.name) else ""
+
+
 def java(regex: str) -> str:
     """Classes like \\w and \\b as in Python: Unicode-aware."""
     return f"(?U){regex}"
@@ -100,25 +107,18 @@ def es_dni_valid(value: Column) -> Column:
     return value.rlike("^[0-9]{8}[A-Z]$") & (F.substring(value, 9, 1) == F.substr(F.lit(DNI_LETTERS), number % 23 + 1, F.lit(1)))
 
 
-def accepted(name: str, match: Column) -> Column:
-    """The check that a pattern's matches must pass."""
-    if name == "credit_card":
-        return luhn_valid(match)
-    if name == "iban":
-        return iban_valid(match)
-    if name == "de_tax_id":
-        return de_tax_id_valid(match)
-    if name == "es_dni":
-        return es_dni_valid(match)
-    if name == "ssn":
-        return ~digits(match).isin(*TEST_SSNS)
-    return F.lit(True)
+def accepted(pattern: Pattern, match: Column) -> Column:
+    """The check that a built-in pattern's matches must pass."""
+    if pattern != BY_NAME.get(pattern.name):
+        return F.lit(True)
+    checks = {"credit_card": luhn_valid, "iban": iban_valid, "de_tax_id": de_tax_id_valid, "es_dni": es_dni_valid, "ssn": lambda m: ~digits(m).isin(*TEST_SSNS)}
+    return checks.get(pattern.name, lambda _: F.lit(True))(match)
 
 
 def matches_of(pattern: Pattern, line: Column) -> Column:
     """Accepted matches of one pattern, as an array."""
     found = F.regexp_extract_all(line, F.lit(java(pattern.regex)), F.lit(0))
-    return F.filter(found, lambda m: accepted(pattern.name, m))
+    return F.filter(found, lambda m: accepted(pattern, m))
 
 
 def patterns_with(custom: tuple[tuple[str, str], ...] = ()) -> list[Pattern]:
@@ -135,7 +135,7 @@ def count_matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> D
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def total(p: Pattern) -> Column:
-        some = F.filter(lines, lambda x: x.rlike(NEEDS.get(p.name, "")))
+        some = F.filter(lines, lambda x: x.rlike(needs(p)))
         return F.aggregate(some, F.lit(0), lambda n, x: n + F.size(matches_of(p, x))).cast("long")
 
     per = [F.struct(F.lit(p.name).alias("pattern"), total(p).alias("n")) for p in use]
@@ -151,10 +151,10 @@ def matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> DataFra
         regex = java(p.regex)
         between = F.split("line", regex)
         found = F.regexp_extract_all("line", F.lit(regex), F.lit(0))
-        some = lines.where(F.col("line").rlike(NEEDS.get(p.name, "")) & F.col("line").rlike(regex)).select("id", "line_no", "line", F.posexplode(found).alias("k", "matched"), between.alias("__b"), found.alias("__f"))
+        some = lines.where(F.col("line").rlike(needs(p)) & F.col("line").rlike(regex)).select("id", "line_no", "line", F.posexplode(found).alias("k", "matched"), between.alias("__b"), found.alias("__f"))
         length = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
         start = length(F.slice("__b", F.lit(1), F.col("k") + 1)) + length(F.slice("__f", F.lit(1), F.col("k")))
-        some = some.where(accepted(p.name, F.col("matched"))).select("id", F.lit(p.name).alias("pattern"), (F.col("line_no") + 1).alias("line_no"), start.alias("start"), "matched", "line")
+        some = some.where(accepted(p, F.col("matched"))).select("id", F.lit(p.name).alias("pattern"), (F.col("line_no") + 1).alias("line_no"), start.alias("start"), "matched", "line")
         out = some if out is None else out.unionByName(some)
     return out
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOJIBAKE_CHARS, MOJIBAKE_MIN = 50_000, 20
-READ_CHARS, READ_MIN, LOW_SCORE = 10_000, 200, 30.0
+MOJIBAKE_MIN, READ_MIN, LOW_SCORE = 20, 200, 30.0
 
 # What UTF-8 read as a one-byte encoding looks like, lost characters, and C1 controls.
 DAMAGE = {
@@ -17,13 +16,18 @@ DAMAGE = {
 }
 
 
+def head(text: Column, max_chars: int | None) -> Column:
+    """The first characters of a text; without a limit the whole text."""
+    return F.substring(text, 1, max_chars) if max_chars else text
+
+
 def damage(text: Column) -> dict[str, Column]:
     return {name: text.rlike(regex) for name, regex in DAMAGE.items()}
 
 
-def mojibake(corpus: DataFrame) -> DataFrame:
-    """id, a flag for each kind of damage, is_damaged, of texts long enough to tell."""
-    rows = corpus.where(F.length("text") >= MOJIBAKE_MIN).select("id", F.substring("text", 1, MOJIBAKE_CHARS).alias("t"))
+def mojibake(corpus: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """id, a flag for each kind of damage, is_damaged, of texts long enough to tell; of their first ``max_chars`` characters, or in whole."""
+    rows = corpus.where(F.length("text") >= MOJIBAKE_MIN).select("id", head(F.col("text"), max_chars).alias("t"))
     rows = rows.select("id", *[c.alias(n) for n, c in damage(F.col("t")).items()])
     any_of = F.lit(False)
     for n in DAMAGE:
@@ -47,9 +51,9 @@ def flesch(text: Column) -> Column:
     return 206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words)
 
 
-def readability(corpus: DataFrame) -> DataFrame:
-    """id, flesch (unrounded), is_low_quality of texts long enough to score."""
-    rows = corpus.where(F.length(F.trim("text")) >= READ_MIN).select("id", flesch(F.substring("text", 1, READ_CHARS)).alias("flesch"))
+def readability(corpus: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """id, flesch (unrounded), is_low_quality of texts long enough to score; by their first ``max_chars`` characters, or in whole."""
+    rows = corpus.where(F.length(F.trim("text")) >= READ_MIN).select("id", flesch(head(F.col("text"), max_chars)).alias("flesch"))
     return rows.withColumn("is_low_quality", F.col("flesch") < LOW_SCORE)
 
 

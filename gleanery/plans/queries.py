@@ -270,10 +270,19 @@ def re2(regex: str) -> str:
     return regex.replace("'", "''")
 
 
+#: Patterns with look-around for RE2: what may not stand before is matched as one more
+#: character, and group 1 is the match. What may not follow a digit is a border (\\b).
+_FREE = "(?:^|[^#\\p{L}\\p{N}_])"
+LOOK_RE2 = {"phone": _FREE + "((?:\\+?1[-.\\s]?)?(?:\\(?\\d{3}\\)?[-.\\s]?)\\d{3}[-.\\s]?\\d{4}\\b)", "ssn": _FREE + "(\\d{3}-\\d{2}-\\d{4}\\b)"}
+
+
 def count_sql(name: str, lines: str = "lines") -> str:
     """Accepted matches of one pattern in a list of lines."""
-    found = f"flatten(list_transform({lines}, lambda x: regexp_extract_all(x, '{re2(pii.BY_NAME[name].regex)}')))"
+    found = f"flatten(list_transform({lines}, lambda x: regexp_extract_all(x, '{LOOK_RE2.get(name) or re2(pii.BY_NAME[name].regex)}'{', 1' if name in LOOK_RE2 else ''})))"
     d = "regexp_replace(m, '[^0-9]', '', 'g')"
+    if name == "ssn":
+        bad = ", ".join(f"'{x}'" for x in pii.TEST_SSNS)
+        return f"len(list_filter({found}, lambda m: substr(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000' AND {d} NOT IN ({bad})))"
     if name == "credit_card":
         luhn = f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN {d}[i]::INTEGER ELSE ({d}[i]::INTEGER * 2) // 10 + ({d}[i]::INTEGER * 2) % 10 END)) % 10 = 0"
         return f"len(list_filter({found}, lambda m: length({d}) BETWEEN 13 AND 19 AND {luhn}))"
@@ -289,49 +298,34 @@ def count_sql(name: str, lines: str = "lines") -> str:
     return f"len({found})"
 
 
-#: Patterns that RE2 can run as they are: those of the queries that have SQL beside them.
-PLAIN_PATTERNS = ["email", "credit_card", "ip_address", "uk_nino", "btc_address", "eth_address", "de_tax_id", "es_dni", "iban"]
-#: All built-in patterns: those of the queries named ``..._all``, which have no SQL.
 ALL_PATTERNS = list(pii.BY_NAME)
 
 
-def with_all_patterns(f):
-    """Registers a query over ``PLAIN_PATTERNS`` again, over all patterns, as ``..._all``."""
-    query(f"{f.__name__.removesuffix('_query')}_all")(lambda spark, sf_dir: f(spark, sf_dir, ALL_PATTERNS))
-    return f
-
-
-def pii_counts(spark, sf_dir, names=PLAIN_PATTERNS):
+def pii_counts(spark, sf_dir, names=ALL_PATTERNS):
     return pii.count_matches(docs(spark, sf_dir), [pii.BY_NAME[n] for n in names])
 
 
-def pii_counts_sql(names: list[str] = PLAIN_PATTERNS) -> str:
+def pii_counts_sql(names: list[str] = ALL_PATTERNS) -> str:
     per = ", ".join(f"{{'pattern': '{n}', 'n': {count_sql(n)}}}" for n in names)
     return f"{DOCS}, s AS (SELECT id, string_split(coalesce(text, ''), chr(10)) AS lines FROM docs), m AS (SELECT id, unnest([{per}], recursive := true) FROM s), c AS (SELECT id, pattern, n::BIGINT AS n FROM m WHERE n > 0)"
 
 
-@with_all_patterns
 @query("pii_counts", f"{pii_counts_sql()} SELECT * FROM c")
-def pii_counts_query(spark, sf_dir, names=PLAIN_PATTERNS):
+def pii_counts_query(spark, sf_dir, names=ALL_PATTERNS):
     return pii_counts(spark, sf_dir, names)
 
 
-@with_all_patterns
 @query("pii_matches_by_type", f"{pii_counts_sql()} SELECT pattern, sum(n)::BIGINT AS n_matches, count(*) AS n_files FROM c GROUP BY 1")
-def pii_matches_by_type(spark, sf_dir, names=PLAIN_PATTERNS):
+def pii_matches_by_type(spark, sf_dir, names=ALL_PATTERNS):
     return pii.type_rollup(pii_counts(spark, sf_dir, names))
 
 
-@with_all_patterns
 @query("pii_file_rollup", f"{pii_counts_sql()} SELECT id, sum(n)::BIGINT AS n_matches, string_agg(pattern, ',' ORDER BY pattern) AS pii_types FROM c GROUP BY 1")
-def pii_file_rollup(spark, sf_dir, names=PLAIN_PATTERNS):
+def pii_file_rollup(spark, sf_dir, names=ALL_PATTERNS):
     return pii.file_rollup(pii_counts(spark, sf_dir, names))
 
 
-PHONE_RE2 = "(?:^|[^#\\p{L}\\p{N}_])((?:\\+?1[-.\\s]?)?(?:\\(?\\d{3}\\)?[-.\\s]?)\\d{3}[-.\\s]?\\d{4}\\b)"
-
-
-@query("pii_phone", f"{DOCS}, s AS (SELECT id, len(flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_extract_all(x, '{PHONE_RE2}', 1))))::BIGINT AS n FROM docs) SELECT id, 'phone' AS pattern, n FROM s WHERE n > 0")
+@query("pii_phone", f"{pii_counts_sql(['phone'])} SELECT * FROM c")
 def pii_phone(spark, sf_dir):
     return pii_counts(spark, sf_dir, ["phone"])
 
@@ -345,9 +339,7 @@ def pii_conversations(spark, sf_dir):
 SSN_CASES = ["123-45-6789", "456-78-1234", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "123456789", "12-345-6789", "#123-45-6789", "x123-45-6789", "ssn 219-09-9999, 078-05-1120 and 321-54-9876.", "é123-45-6789"]
 
 
-@query("pii_ssn", f"""WITH v(text) AS (VALUES {literal_rows(SSN_CASES)}), m AS (SELECT text, regexp_extract_all(text, '(?:^|[^#\\p{{L}}\\p{{N}}_])(\\d{{3}}-\\d{{2}}-\\d{{4}})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1) AS f FROM v),
-  n AS (SELECT text AS id, len(list_filter(f, lambda x: substr(x, 1, 3) NOT IN ('000', '666') AND x[1] <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8, 4) <> '0000' AND x NOT IN ('078-05-1120', '219-09-9999')))::BIGINT AS n FROM m)
-  SELECT id, 'ssn' AS pattern, n FROM n WHERE n > 0""")
+@query("pii_ssn", f"""WITH v(text) AS (VALUES {literal_rows(SSN_CASES)}), m AS (SELECT text AS id, {count_sql('ssn', '[text]')}::BIGINT AS n FROM v) SELECT id, 'ssn' AS pattern, n FROM m WHERE n > 0""")
 def pii_ssn(spark, sf_dir):
     rows = spark.createDataFrame([(t, t) for t in SSN_CASES], "id string, text string")
     return pii.count_matches(rows, [pii.BY_NAME["ssn"]])
@@ -413,7 +405,7 @@ def _detect_sql() -> str:
         other = f"CASE WHEN dominant = '{s}' THEN CASE WHEN len(list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{M}}]+'), lambda w: w IN ({inside}))) >= {language.MIN_WORDS} THEN '{name}' ELSE '{s}' END ELSE {other} END"
     return f"""WITH dd AS (SELECT doc_id AS id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents),
   dc AS (SELECT id, t, {_SCRIPT_COUNTS} FROM dd), ds AS (SELECT *, {top} AS top, {' + '.join(n.values())} AS total FROM dc), df AS (SELECT *, {first} AS first FROM ds), dg AS (SELECT *, CASE {pick} END AS dominant FROM df),
-  dw AS (SELECT *, CASE WHEN dominant = 'Latin' THEN regexp_extract_all(lower(substr(t, 1, {language.LATIN_CHARS})), '[a-zA-Z\\x{{C0}}-\\x{{24F}}]+') ELSE []::VARCHAR[] END AS words FROM dg),
+  dw AS (SELECT *, CASE WHEN dominant = 'Latin' THEN regexp_extract_all(lower(t), '[a-zA-Z\\x{{C0}}-\\x{{24F}}]+') ELSE []::VARCHAR[] END AS words FROM dg),
   dv AS (SELECT *, [{votes}] AS v FROM dw),
   det AS (SELECT id, CASE WHEN length(t) < 20 OR total = 0 THEN 'Unknown' WHEN top / total < 0.5 THEN 'Mixed Script' WHEN dominant IN ('CJK', 'Japanese Kana') THEN CASE WHEN n_japanese_kana > 0 THEN 'Japanese' WHEN n_hangul > 0 THEN 'Korean' ELSE 'CJK' END
     WHEN dominant = 'Hangul' THEN 'Korean' WHEN dominant = 'Latin' THEN {latin} ELSE {other} END AS language,
@@ -494,7 +486,7 @@ _FLAGS = {n: f"regexp_matches(t, '{r}')" for n, r in text_quality.DAMAGE.items()
 
 
 @query("mojibake_flags", f"""WITH d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f"({-1 - k}, '{t}')" for k, t in enumerate(DAMAGED))})),
-  c AS (SELECT id, substr(text, 1, 50000) AS t FROM d WHERE length(text) >= 20) SELECT id, {', '.join(f'{e} AS {n}' for n, e in _FLAGS.items())}, {' OR '.join(_FLAGS.values())} AS is_damaged FROM c""")
+  c AS (SELECT id, text AS t FROM d WHERE length(text) >= 20) SELECT id, {', '.join(f'{e} AS {n}' for n, e in _FLAGS.items())}, {' OR '.join(_FLAGS.values())} AS is_damaged FROM c""")
 def mojibake_flags(spark, sf_dir):
     more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(DAMAGED)], "id long, text string")
     return text_quality.mojibake(docs(spark, sf_dir).select("id", "text").unionByName(more))
@@ -502,7 +494,7 @@ def mojibake_flags(spark, sf_dir):
 
 _W = "greatest(len(regexp_extract_all(t, '[\\p{L}\\p{N}]+')), 1)"
 _FLESCH = f"206.835 - 1.015 * ({_W} / greatest(len(regexp_extract_all(t, '[.!?]+')), 1)::DOUBLE) - 84.6 * (greatest(len(regexp_extract_all(lower(t), '[aeiouy\\x{{E0}}-\\x{{FF}}]+')), 1) / {_W}::DOUBLE)"
-FLESCH = f"WITH d AS (SELECT doc_id AS id, substr(text, 1, 10000) AS t FROM documents WHERE length(trim(text)) >= 200), f AS (SELECT id, ({_FLESCH})::DOUBLE AS flesch FROM d)"
+FLESCH = f"WITH d AS (SELECT doc_id AS id, text AS t FROM documents WHERE length(trim(text)) >= 200), f AS (SELECT id, ({_FLESCH})::DOUBLE AS flesch FROM d)"
 
 
 @query("flesch_scores", f"{FLESCH} SELECT id, round(flesch, 4) AS flesch, flesch < 30 AS is_low_quality FROM f")
@@ -672,16 +664,14 @@ def _file_sql(sep: str = ",") -> str:
   FROM docs LEFT JOIN dm USING (id) JOIN st USING (id) LEFT JOIN pf USING (id) JOIN det USING (id)"""
 
 
-@with_all_patterns
 @query("file_report", _file_sql())
-def file_report(spark, sf_dir, names=PLAIN_PATTERNS):
+def file_report(spark, sf_dir, names=ALL_PATTERNS):
     c, members, status, files, languages, _ = _report_parts(spark, sf_dir, names)
     return tables.file_report(c, members, status, files, languages)
 
 
-@with_all_patterns
 @query("csv_report", _file_sql(";"))
-def csv_report(spark, sf_dir, names=PLAIN_PATTERNS):
+def csv_report(spark, sf_dir, names=ALL_PATTERNS):
     return tables.csv_rows(file_report(spark, sf_dir, names))
 
 
@@ -695,7 +685,7 @@ def csv_formula_guard(spark, sf_dir):
 
 FINDINGS = f"""{_REPORT}, fi AS (SELECT id, 'FC004' AS rule_id, 'warning' AS level, 'Health status: ' || status AS message FROM st WHERE status <> 'ok'
   UNION ALL SELECT id, 'FC005', 'warning', printf('%d PII risk indicators: %s', n_matches, pii_types) FROM pf UNION ALL SELECT id, 'FC006', 'note', 'Exact duplicate of ' || first_id::VARCHAR FROM dm WHERE id <> first_id
-  UNION ALL SELECT id, 'FC007', 'note', 'File contains encoding damage (mojibake)' FROM (SELECT id, substr(text, 1, 50000) AS t FROM docs WHERE length(text) >= 20) WHERE {' OR '.join(_FLAGS.values())})"""
+  UNION ALL SELECT id, 'FC007', 'note', 'File contains encoding damage (mojibake)' FROM (SELECT id, text AS t FROM docs WHERE length(text) >= 20) WHERE {' OR '.join(_FLAGS.values())})"""
 
 
 def _findings(spark, sf_dir, names):
@@ -703,22 +693,19 @@ def _findings(spark, sf_dir, names):
     return c, tables.findings(status, files, members, text_quality.mojibake(c))
 
 
-@with_all_patterns
 @query("sarif_findings", f"{FINDINGS} SELECT * FROM fi")
-def sarif_findings(spark, sf_dir, names=PLAIN_PATTERNS):
+def sarif_findings(spark, sf_dir, names=ALL_PATTERNS):
     return _findings(spark, sf_dir, names)[1]
 
 
-@with_all_patterns
 @query("junit_cases", f"{FINDINGS} SELECT docs.id, count(*) FILTER (rule_id IN ('FC001', 'FC002'))::BIGINT AS n_errors, count(*) FILTER (rule_id IN ('FC003', 'FC004', 'FC005', 'FC006'))::BIGINT AS n_failures FROM docs LEFT JOIN fi USING (id) GROUP BY 1")
-def junit_cases(spark, sf_dir, names=PLAIN_PATTERNS):
+def junit_cases(spark, sf_dir, names=ALL_PATTERNS):
     return tables.junit_cases(*_findings(spark, sf_dir, names))
 
 
-@with_all_patterns
 @query("gate", f"""{_REPORT}, x AS (SELECT 1 AS ord, 'duplicate' AS metric, (SELECT duplicate_pct / 100 FROM ({DEDUP_SQL})) AS rate, 0.1::DOUBLE AS threshold UNION ALL SELECT 2, 'corrupt', 0::DOUBLE, 0.01
   UNION ALL SELECT 3, 'pii', (SELECT count(*) FROM pf) / (SELECT count(*) FROM docs)::DOUBLE, 0.05) SELECT ord, metric, round(rate, 6)::DOUBLE AS rate, threshold::DOUBLE AS threshold, rate >= threshold AS breached FROM x""")
-def gate(spark, sf_dir, names=PLAIN_PATTERNS):
+def gate(spark, sf_dir, names=ALL_PATTERNS):
     c, _, status, files, _, h = _report_parts(spark, sf_dir, names)
     out = tables.gate(dedup.dedup_summary(h), status, files, c.agg(F.count(F.lit(1)).alias("n")))
     return out.withColumn("rate", F.round("rate", 6))
@@ -735,9 +722,8 @@ SUMMARY_SQL = f"""{_REPORT} SELECT mime, count(*) AS n_files, sum(size)::BIGINT
   count(*) FILTER (language IN ('Unknown', 'Latin (Unknown)', 'Mixed Script')) AS n_unclear_language FROM docs LEFT JOIN dm USING (id) JOIN st USING (id) LEFT JOIN pf USING (id) JOIN det USING (id) GROUP BY 1"""
 
 
-@with_all_patterns
 @query("corpus_summary", SUMMARY_SQL)
-def corpus_summary(spark, sf_dir, names=PLAIN_PATTERNS):
+def corpus_summary(spark, sf_dir, names=ALL_PATTERNS):
     """Health of the corpus by type: one report row a file, rolled up."""
     report = file_report(spark, sf_dir, names)
     vague = F.col("language").isin(language.UNKNOWN, language.LATIN_UNKNOWN, language.MIXED)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.encoding import MAX_BYTES, detect_bytes
+from gleanery.operators.encoding import detect_bytes, head_bytes
 from gleanery.sources.mime import BY_ZIP_EXTENSION, mime_of
 
 TIMEOUT_S = 30
@@ -177,17 +177,10 @@ def html_nodes(text: str) -> list[str]:
 
 
 def epub(raw: bytes) -> dict:
-    """Pages in order until a million bytes have been read."""
-    parts, size = [], 0
+    """All pages in order."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for n in z.namelist():
-            if n.lower().endswith((".xhtml", ".html", ".htm")):
-                page = z.read(n)
-                parts += html_nodes(page.decode("utf-8", "replace"))
-                size += len(page)
-                if size > MAX_BYTES:
-                    break
-    return {"text": "\n".join(parts), "page_count": 0}
+        pages = [html_nodes(z.read(n).decode("utf-8", "replace")) for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))]
+    return {"text": "\n".join(part for page in pages for part in page), "page_count": 0}
 
 
 def eml(raw: bytes) -> dict:
@@ -268,14 +261,14 @@ class _Deadline:
             signal.signal(signal.SIGALRM, self.old)
 
 
-def extract_one(raw: bytes | None, mime: str) -> dict:
-    """The facts of one file; never raises."""
+def extract_one(raw: bytes | None, mime: str, max_bytes: int | None = None) -> dict:
+    """The facts of one file; never raises. Of plain text ``max_bytes`` are read, or all."""
     try:
         if raw is None:
             raise ValueError("content cannot be read")
         with _Deadline():
             if mime in PLAIN:
-                text, encoding, sure = detect_bytes(raw[:MAX_BYTES])
+                text, encoding, sure = detect_bytes(head_bytes(raw, max_bytes))
                 return {"text": text, "encoding": encoding, "enc_confidence": sure, "page_count": 0}
             if mime not in READERS:
                 raise ValueError(f"Unsupported type: {mime}")
@@ -284,7 +277,7 @@ def extract_one(raw: bytes | None, mime: str) -> dict:
         return {"error": f"{e}" or type(e).__name__}
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """path and the facts of each file (path, mime, content) whose type holds text, in one pass."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,7 +285,7 @@ def extract(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for path, mime, raw in zip(frame["path"], frame["mime"], frame["content"], strict=True):
-                facts = extract_one(bytes(raw) if raw is not None else None, mime)
+                facts = extract_one(bytes(raw) if raw is not None else None, mime, max_bytes)
                 facts |= {"path": path, "mime": mime, "text_length": len(facts.get("text") or "")}
                 row = {n: facts.get(n) for n in names}
                 for n in ("page_count", "scanned_pages", "native_pages", "image_pages"):
