@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes looked at together, which bounds temporary arrays (some 60 bytes each).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 P = U(0x9E3779B97F4A7C15)
 P_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -36,11 +36,14 @@ _powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n + 1, CHUNK + 1)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, x, U))]) for x in (P, P_INV)]
-    return _powers[0], _powers[1]
+    """Powers 0 to n of P and of its inverse; only tables for a chunk are kept."""
+    if n <= CHUNK and _powers:
+        return _powers[0], _powers[1]
+    with np.errstate(over="ignore"):
+        made = [np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n, CHUNK), x, U))]) for x in (P, P_INV)]
+    if n <= CHUNK:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +63,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each, one row at least."""
     lengths = np.diff(buffer(batch.column(column))[1])
     start, held = 0, 0
@@ -74,30 +77,38 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK) -> Iterat
 
 
 def tokens(data: np.ndarray, at: np.ndarray, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends and hashes of all words; first: where each text's words begin, one more entry than texts."""
-    starts, ends, hashes = [], [], []
-    lo, n = 0, len(data)
-    while lo < n:
-        hi = min(n, lo + CHUNK)
-        while hi < n and table[LOWER[data[hi - 1]]]:  # never cut a word, unless a text ends here
-            gap = np.flatnonzero(~table[LOWER[data[hi : hi + CHUNK]]])
-            hi = hi + int(gap[0]) + 1 if len(gap) else min(n, hi + CHUNK)
+    """starts, ends and hashes of all words; first: where each text's words begin, one more entry than texts.
+
+    A chunk is looked at at a time; words that chunk edges cut are put together after.
+    """
+    starts, ends, sums = [], [], []
+    for lo in range(0, len(data), CHUNK):
+        hi = min(len(data), lo + CHUNK)
         part = LOWER[data[lo:hi]] if lower else data[lo:hi]
-        s, e = _runs(part if lower else part, table, at, lo, hi)
+        s, e = _runs(part, table, at, lo, hi)
         power, inverse = _power(hi - lo)
         with np.errstate(over="ignore"):
             total = np.empty(hi - lo + 1, U)
             total[0] = 0
             np.cumsum((part.astype(U) + U(1)) * power[: hi - lo], out=total[1:])
-            hashes.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U)))
+            sums.append((total[e] - total[s]) * inverse[s])
         starts.append(s + lo)
         ends.append(e + lo)
-        lo = hi
     if not starts:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, U), np.zeros(len(at), np.int64)
-    s = np.concatenate(starts)
-    return s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, at)
+    s, e, h = np.concatenate(starts), np.concatenate(ends), np.concatenate(sums)
+    edges = np.arange(CHUNK, len(data), CHUNK)
+    word = table[LOWER] if lower else table
+    cut = np.searchsorted(s, edges[word[data[edges]] & word[data[edges - 1]] & ~np.isin(edges, at)])
+    for k in cut[::-1].tolist():
+        h[k - 1] = (int(h[k - 1]) + int(h[k]) * pow(int(P), int(e[k - 1] - s[k - 1]), 1 << 64)) % (1 << 64)
+        e[k - 1] = e[k]
+    if len(cut):
+        s, e, h = (np.delete(x, cut) for x in (s, e, h))
+    with np.errstate(over="ignore"):
+        h = mix(h + (e - s).astype(U))
+    return s, e, h, np.searchsorted(s, at)
 
 
 def _runs(part: np.ndarray, table: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,30 +25,36 @@ NULL_ID = 2**63 - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; only where that is unset (tests,
-    local mode) a temporary folder of this machine is set instead.
+    ``spark.checkpoint.dir`` of the session. Only where that is unset in local
+    mode (tests) a temporary folder of this machine is set instead; a cluster
+    without a shared folder is an error.
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gleanery-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
+        pass
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; deleted when the driver ends."""
     path = f"{shared_dir(spark)}/gleanery-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
-            pass
 
-    atexit.register(drop)
-    return path
+#: Paths of the tables that ``cut`` wrote, by the frame that reads them.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
@@ -57,7 +66,16 @@ def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of ``cut`` frames that nothing reads any more."""
+    for df in frames:
+        if path := _written.pop(df, None):
+            _delete(df.sparkSession, path)
 
 
 def cut_with(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
@@ -122,6 +140,25 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str] = KEYS) -> DataFra
     return clear.unionByName(marked.where("__gl_hit").drop("__gl_hit").join(few, keys, "left"))
 
 
+#: A key with more than one in HOT of the rows is hot; so there are fewer than HOT of them.
+HOT = 4096
+
+
+def join_hot(rows: DataFrame, few: DataFrame, keys: Sequence[str], total: int, count: str = "m") -> DataFrame:
+    """``rows`` inner join ``few`` on ``keys``, whatever share of the rows a key has.
+
+    ``few`` has each key once, with the ``count`` of its rows, and should be
+    cheap to read twice; ``total`` is the number of ``rows``. Hot keys are
+    joined where their rows are, by a broadcast of under ``HOT`` keys; of the
+    others none brings more than one in ``HOT`` of the rows to a task.
+    """
+    keys = list(keys)
+    hot = few.where(F.col(count) * HOT > total)
+    cold = few.where(F.col(count) * HOT <= total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows whose ``row_keys`` are in ``bad``."""
     gone = bad.select(*KEYS).distinct().withColumn("__gl_gone", F.lit(1))
