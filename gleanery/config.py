@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import math
 import os
 import re
 import warnings
@@ -77,6 +78,39 @@ def from_mapping(raw: Any, base: ScanConfig | None = None) -> ScanConfig:
     )
 
 
+def from_flat(raw: Any, base: ScanConfig | None = None) -> ScanConfig:
+    """A config from the flat keys of the scan service (and the sections of a YAML file, where they are mappings).
+
+    Numbers out of range are clamped; a value of the wrong kind is an error.
+    """
+    if not isinstance(raw, dict):
+        raise ValueError("config is not a mapping")
+    out = from_mapping(raw, base)
+    known = {"sampling_rate", "show_pii_samples", "pii_min_confidence", "simhash_bits", "simhash_threshold", "exclude", "sampling", "pii", "simhash", "thresholds"}
+    if unknown := sorted(set(map(str, raw)) - known):
+        warnings.warn(f"unknown settings are left out: {', '.join(unknown)}", stacklevel=2)
+    number = {}
+    for key in ("sampling_rate", "pii_min_confidence", "simhash_bits", "simhash_threshold"):
+        if key in raw:
+            try:
+                number[key] = float(raw[key])
+            except (TypeError, ValueError):
+                raise ValueError(f"{key} must be a number, not {raw[key]!r}") from None
+            if not math.isfinite(number[key]):
+                raise ValueError(f"{key} must be a finite number")
+    if "sampling_rate" in number:
+        out = replace(out, sampling_rate=clamp(number["sampling_rate"]), sampling_rate_auto=False)
+    if "pii_min_confidence" in number:
+        out = replace(out, pii_min_confidence=clamp(number["pii_min_confidence"]))
+    if "simhash_bits" in number:
+        out = replace(out, simhash_bits=int(number["simhash_bits"]) if number["simhash_bits"] in (64, 128) else 64)
+    threshold = number.get("simhash_threshold", out.simhash_threshold)
+    out = replace(out, simhash_threshold=int(clamp(threshold, 0, out.simhash_bits)))
+    if "show_pii_samples" in raw:
+        out = replace(out, show_pii_samples=bool(raw["show_pii_samples"]))
+    return out
+
+
 def load_config(scan_path: str, config_path: str | None = None) -> ScanConfig:
     """The config beside the data or at ``config_path``; a missing or broken file means the defaults."""
     path = config_path or os.path.join(scan_path, CONFIG_FILE)

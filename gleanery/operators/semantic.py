@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,10 +20,6 @@ def unit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     return rows.withColumn("n", norm(F.col("v"))).where(F.col("n") > 0).select("id", F.transform("v", lambda x: x / F.col("n")).alias("u"))
 
 
-def _sketch_key(dim: int, tables: int, planes: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, planes, dim))
-
-
 def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b (a < b), cosine of all pairs at or over the threshold, exactly.
 
@@ -77,7 +71,3 @@ def greedy_clusters(pairs: DataFrame) -> DataFrame:
     owner = links.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("cluster_id"))
     firsts = owner.select(F.col("cluster_id").alias("id"), "cluster_id").distinct()
     return owner.select("id", "cluster_id").unionByName(firsts)
-
-
-def read_partitions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from frames

@@ -141,17 +141,14 @@ def clusters(links: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
-def cluster_sizes(members: DataFrame) -> DataFrame:
-    return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"))
-
-
 def cluster_similarity(members: DataFrame, prints: DataFrame, bits: int = 64) -> DataFrame:
     """cluster_id, n_members, similarity: 1 - mean distance / bits over all pairs of members.
 
     A pair of members differs in a bit if one has it and the other has not, so
     counts of set bits give the mean over all pairs without making them.
     """
-    rows = members.join(prints, "id").select("cluster_id", *[F.getbit("fp", F.lit(k)).cast("long").alias(f"b{k}") for k in range(bits)])
+    bit = lambda k: F.getbit("fp", F.lit(k)) if k < 64 else F.getbit("fp_lo", F.lit(k - 64))
+    rows = members.join(prints, "id").select("cluster_id", *[bit(k).cast("long").alias(f"b{k}") for k in range(bits)])
     per = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"), *[F.sum(f"b{k}").alias(f"s{k}") for k in range(bits)])
     total = F.lit(0)
     for k in range(bits):
@@ -160,9 +157,8 @@ def cluster_similarity(members: DataFrame, prints: DataFrame, bits: int = 64) ->
     return per.select("cluster_id", "n_members", F.round(1 - mean / bits, 4).alias("similarity"))
 
 
-def top_clusters(summary: DataFrame, k: int = 5) -> DataFrame:
-    return summary.orderBy(F.desc("n_members"), F.desc("similarity"), "cluster_id").limit(k)
-
-
-def rank_within(members: DataFrame) -> DataFrame:
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")))
+def first_members(members: DataFrame, top: DataFrame, k: int = 50) -> DataFrame:
+    """cluster_id, members: up to ``k`` ids, the least first, of each cluster in ``top`` (few rows)."""
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))  # ranks over k are dropped before the shuffle
+    some = members.join(F.broadcast(top.select("cluster_id")), "cluster_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    return some.groupBy("cluster_id").agg(F.sort_array(F.collect_list("id")).alias("members"))

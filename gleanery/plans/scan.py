@@ -42,8 +42,20 @@ class CorpusReport:
             df.unpersist()
 
 
-def _sections(report: CorpusReport, corpus: DataFrame, texts: DataFrame, hashes: DataFrame, status: DataFrame, encodings: DataFrame | None) -> None:
-    c, s = report.config, report.sections
+def _kept(report: CorpusReport, df: DataFrame, now: bool) -> DataFrame:
+    """``df``, persisted until the report is closed; made at once where phases are told."""
+    df = df.persist()
+    report.persisted.append(df)
+    if now:
+        df.count()
+    return df
+
+
+def _sections(report: CorpusReport, corpus: DataFrame, texts: DataFrame, hashes: DataFrame, status: DataFrame, encodings: DataFrame | None, phase: Callable[[], None] | None = None) -> None:
+    """All sections; with ``phase`` each part is made when its phase is told, else when it is read."""
+    c, s, now = report.config, report.sections, phase is not None
+    tell = phase or (lambda: None)
+    s["population"] = corpus.agg(F.count(F.lit(1)).alias("population")).crossJoin(texts.agg(F.count(F.lit(1)).alias("n_analyzed")))  # one row each
     s["types"] = inventory.type_distribution(corpus)
     s["sizes"] = inventory.size_histogram(corpus)
     s["size_stats"] = inventory.size_stats(corpus)
@@ -52,6 +64,7 @@ def _sections(report: CorpusReport, corpus: DataFrame, texts: DataFrame, hashes:
     s["duplicate_groups"] = dedup.top_groups(hashes)
     s["health"] = status
     s["health_tally"] = health.health_tally(status)
+    tell()
     patterns = pii.patterns_with(c.pii_custom_patterns)
     if c.pii_min_confidence > 0 or c.show_pii_samples:
         scored = pii.scored_matches(texts, c.pii_min_confidence, patterns)
@@ -60,31 +73,39 @@ def _sections(report: CorpusReport, corpus: DataFrame, texts: DataFrame, hashes:
             s["pii_samples"] = pii.samples(scored)
     else:
         counts = pii.count_matches(texts, patterns)
-    counts = counts.persist()
-    report.persisted.append(counts)
+    counts = _kept(report, counts, now)
     s["pii_types"], s["pii_files"] = pii.type_rollup(counts), pii.file_rollup(counts)
-    detected = language.correct_by_prior(language.detect(texts)).persist()
-    report.persisted.append(detected)
+    tell()
+    # narrow, and used twice: by the prior and by what the prior corrects
+    detected = language.correct_by_prior(_kept(report, language.detect(texts), now))
     s["languages"], s["scripts"], s["language_files"] = language.distribution(detected), language.distribution(detected, "script"), detected
-    s["mojibake"] = text_quality.mojibake(texts)
-    s["readability"] = text_quality.readability(texts)
-    s["readability_summary"] = text_quality.readability_summary(s["readability"])
+    tell()
     if encodings is not None:
-        s["encodings"] = encoding.distribution(encodings)
-    prints = simhash.fingerprints(texts)
-    s["fingerprints"] = prints
+        s["encodings"] = encoding.distribution(_kept(report, encodings, now))
+    tell()
+    s["mojibake"] = _kept(report, text_quality.mojibake(texts), True) if now else text_quality.mojibake(texts)
+    tell()
+    s["readability"] = _kept(report, text_quality.readability(texts), True) if now else text_quality.readability(texts)
+    s["readability_summary"] = text_quality.readability_summary(s["readability"])
+    tell()
+    s["fingerprints"] = _kept(report, simhash.fingerprints(texts, c.simhash_bits), now)
     s["files"] = tables.file_report(corpus, s["duplicate_members"], status, s["pii_files"], detected, encodings)
     s["findings"] = tables.findings(status, s["pii_files"], s["duplicate_members"], s["mojibake"])
     s["cases"] = tables.junit_cases(corpus, s["findings"])
     s["gate"] = tables.gate(s["dedup"], status, s["pii_files"], texts.agg(F.count(F.lit(1)).alias("n")), c.duplicate_critical, c.corrupt_critical, c.pii_critical)
 
 
+def near_duplicate_members(report: CorpusReport) -> DataFrame:
+    """id, cluster_id of near duplicates; runs the links and components once."""
+    if "near_duplicate_members" not in report.sections:
+        links = simhash.pairs(report["fingerprints"], simhash.scaled_threshold(report.config.simhash_threshold, report.config.simhash_bits))
+        report.sections["near_duplicate_members"] = _kept(report, simhash.clusters(links), False)
+    return report["near_duplicate_members"]
+
+
 def near_duplicates(report: CorpusReport) -> DataFrame:
-    """cluster_id, n_members, similarity; runs the links and components."""
-    prints = report["fingerprints"].persist()
-    report.persisted.append(prints)
-    links = simhash.pairs(prints, simhash.scaled_threshold(report.config.simhash_threshold, 64))
-    return simhash.cluster_similarity(simhash.clusters(links), prints)
+    """cluster_id, n_members, similarity."""
+    return simhash.cluster_similarity(near_duplicate_members(report), report["fingerprints"], report.config.simhash_bits)
 
 
 def scan_table(corpus: DataFrame, config: ScanConfig | None = None) -> CorpusReport:
@@ -123,25 +144,22 @@ def scan_directory(spark: SparkSession, path: str, config: ScanConfig | None = N
     report.sections["directories"] = inventory.directory_structure(listed, "relative_path")
     report.sections["ages"] = inventory.age_histogram(listed, "mtime", F.current_timestamp())
     phase()
-    hashes = dedup.hashed(content.withColumn("id", F.col("relative_path")), F.col("content"))
+    hashes = _kept(report, dedup.hashed(content.withColumn("id", F.col("relative_path")), F.col("content")), True)
     phase()
     checked = health.file_health(file_source.with_container_facts(content.select(F.col("relative_path").alias("path"), "size", "mime", "content")))
-    status = checked.withColumnRenamed("path", "id").persist()
-    report.persisted.append(status)
+    status = _kept(report, checked.withColumnRenamed("path", "id"), True)
     phase()
     drawn = sampling.stratified_sample(corpus, None if c.sampling_rate_auto else c.sampling_rate, c.sampling_min_per_type, c.seed)
     report.sections["deff"] = sampling.design_effect(corpus)
+    drawn = _kept(report, drawn, True)
     report.sections["sample"] = drawn
     phase()
     chosen = content.withColumn("id", F.col("relative_path")).join(drawn.select("id"), "id", "left_semi")
-    facts = file_source.extract(chosen.select(F.col("id").alias("path"), "mime", "content")).persist()
-    report.persisted.append(facts)
+    facts = _kept(report, file_source.extract(chosen.select(F.col("id").alias("path"), "mime", "content")), True)
     classified = file_source.classify(facts, corpus.withColumnRenamed("id", "path"))
     report.sections["extraction"] = file_source.extraction_summary(classified)
     report.sections["text_facts"] = classified.drop("text")
     texts = facts.where("error is null").select(F.col("path").alias("id"), F.octet_length("text").cast("long").alias("size"), "mime", "text")
-    for _ in PHASES[6:]:
-        phase()
     encodings = facts.where("encoding is not null").select(F.col("path").alias("id"), "encoding")
-    _sections(report, corpus, texts, hashes, status, encodings)
+    _sections(report, corpus, texts, hashes, status, encodings, phase)
     return report

@@ -4,7 +4,9 @@ Text and HTML show top-k tables and one-row summaries. JSON, CSV, SARIF and
 JUnit hold every file, finding and case, read part by part, so such a document
 grows with the corpus; the file table can be written by Spark instead
 (``write_files``). Of near-duplicate clusters JSON has the ``MAX_CLUSTERS``
-largest.
+largest, with up to ``MAX_MEMBERS`` members each. Shares of languages, scripts,
+encodings and personal data come with 95 % Wilson intervals for all files,
+where only a sample was read.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from datetime import UTC, datetime
 from typing import Any
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import __version__
-from gleanery.plans.scan import CorpusReport, near_duplicates
+from gleanery.operators.simhash import first_members
+from gleanery.plans.scan import CorpusReport, near_duplicate_members, near_duplicates
 from gleanery.report.formatting import bar, format_size
-from gleanery.report.tables import RULES, csv_rows, top_with_other
+from gleanery.report.tables import RULES, csv_rows, rates_with_ci, top_with_other
 
 FORMATS = ("terminal", "json", "csv", "sarif", "junit", "html")
 DEFAULT_NAMES = {"json": "corpus-report.json", "csv": "corpus-report.csv", "html": "corpus-report.html", "sarif": "corpus-report.sarif.json", "junit": "corpus-report.xml"}
-MAX_CLUSTERS = 100
+MAX_CLUSTERS, MAX_MEMBERS = 100, 50
 
 
 def write_text(path: str, text: str) -> None:
@@ -55,17 +58,38 @@ def _one(df: DataFrame) -> dict:
 
 def summary(report: CorpusReport) -> dict[str, Any]:
     """All sections but the files; absent ones are null."""
-    names = ("types", "sizes", "size_stats", "extensions", "directories", "ages", "dedup", "health_tally", "extraction", "pii_types", "languages", "scripts", "encodings", "readability_summary", "deff", "walk_stats")
-    single = {"size_stats", "directories", "dedup", "health_tally", "extraction", "readability_summary", "deff", "walk_stats"}
+    names = ("types", "sizes", "size_stats", "extensions", "directories", "ages", "dedup", "health_tally", "extraction", "pii_types", "languages", "scripts", "encodings", "readability_summary", "deff", "walk_stats", "population")
+    single = {"population", "size_stats", "directories", "dedup", "health_tally", "extraction", "readability_summary", "deff", "walk_stats"}
     out: dict[str, Any] = {}
     for name in names:
         df = report.sections.get(name)
         out[name] = None if df is None else _one(df) if name in single else list(_rows(df))
+    for name, key, count in (("languages", "language", "n_files"), ("scripts", "script", "n_files"), ("encodings", "encoding", "n_files"), ("pii_types", "pattern", "n_files")):
+        if out.get(name) is not None:
+            rates = {r[key]: r for r in _rows(_rates(report, name, key, count))}
+            out[name] = [r | {k: rates[r[key]][k] for k in ("pct", "lo_pct", "hi_pct")} for r in out[name]]
     out["mojibake"] = {"n_damaged": report["mojibake"].where("is_damaged").count()} if "mojibake" in report.sections else None
-    out["near_duplicates"] = list(_rows(near_duplicates(report).orderBy(F.desc("n_members"), "cluster_id").limit(MAX_CLUSTERS))) if "fingerprints" in report.sections else None
+    out["near_duplicates"] = _clusters(report) if "fingerprints" in report.sections else None
     return out
 
 
+def _rates(report: CorpusReport, section: str, key: str, count: str) -> DataFrame:
+    """Shares of the texts that were read, with intervals for all files."""
+    rows = report[section].crossJoin(F.broadcast(report["population"]))  # one row
+    return rates_with_ci(rows, key, count, F.col("n_analyzed"), F.col("population"))
+
+
+def _clusters(report: CorpusReport) -> dict[str, Any]:
+    members = near_duplicate_members(report)
+    top = list(_rows(near_duplicates(report).orderBy(F.desc("n_members"), "cluster_id").limit(MAX_CLUSTERS)))
+    named: dict[Any, list] = {}
+    if top:
+        known = members.sparkSession.createDataFrame([(r["cluster_id"],) for r in top], members.select("cluster_id").schema)
+        named = {r["cluster_id"]: r["members"] for r in _rows(first_members(members, known, MAX_MEMBERS))}
+    total = _one(members.agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.lit(1)).alias("n_files")))
+    return total | {"threshold": report.config.simhash_threshold, "bits": report.config.simhash_bits, "clusters": [r | {"members": named.get(r["cluster_id"], [])} for r in top]}
+
+
 def to_json(report: CorpusReport) -> str:
     body = {
         "version": __version__, "scan_path": report.scan_path, "scan_date": datetime.now(UTC).isoformat(), "duration_seconds": round(time.time() - report.started, 3),
@@ -111,6 +135,12 @@ def to_junit(report: CorpusReport) -> str:
     return f'<?xml version="1.0" encoding="utf-8"?>\n<testsuite name="corpus" tests="{len(cases)}" time="{time.time() - report.started:.3f}" failures="{failures}" errors="{errors}">\n' + "\n".join(cases) + "\n</testsuite>\n"
 
 
+def ci_text() -> Column:
+    """A share with its interval; without one where all files were read."""
+    whole = F.format_string("%.1f%%", F.col("pct"))
+    return F.when(F.col("lo_pct") == F.col("hi_pct"), whole).otherwise(F.format_string("%.1f%% (CI: %.1f%% -- %.1f%%)", F.col("pct"), F.col("lo_pct"), F.col("hi_pct")))
+
+
 def sections_for_people(report: CorpusReport) -> list[tuple[str, list[str], list[list]]]:
     """Title, header and rows of each section, bounded in size, for text and HTML."""
     out: list[tuple[str, list[str], list[list]]] = []
@@ -130,12 +160,14 @@ def sections_for_people(report: CorpusReport) -> list[tuple[str, list[str], list
     add("Flagged files", s["health"].where("status != 'ok'").orderBy("status", "id").select("id", "status"), 20)
     if "extraction" in s:
         add("Extraction", s["extraction"])
-    add("PII risk indicators", s["pii_types"].orderBy(F.desc("n_matches"), "pattern"))
+    shown = lambda name, key, count="n_files": s[name].join(_rates(report, name, key, count).drop(count), key).withColumn("share", ci_text())
+    add("PII risk indicators", shown("pii_types", "pattern").orderBy(F.desc("n_matches"), "pattern").drop("pct", "lo_pct", "hi_pct"))
     if "pii_samples" in s:
         add("PII samples", s["pii_samples"], 20)
     add("Languages", top_with_other(s["languages"], "language", "n_files", 10))
+    add("Languages, of all files", shown("languages", "language").orderBy(F.desc("n_files"), "language").select("language", "n_files", "share"), 10)
     if "encodings" in s:
-        add("Encodings", s["encodings"].orderBy(F.desc("n_files"), "encoding"))
+        add("Encodings", shown("encodings", "encoding").orderBy(F.desc("n_files"), "encoding").select("encoding", "n_files", "share"))
     add("Encoding damage", s["mojibake"].where("is_damaged").orderBy("id"), 20)
     add("Least readable", s["readability"].orderBy("flesch", "id").withColumn("flesch", F.round("flesch", 1)), 10)
     add("Near-duplicate clusters", near_duplicates(report).orderBy(F.desc("n_members"), F.desc("similarity"), "cluster_id"), 5)
@@ -162,11 +194,24 @@ def to_text(report: CorpusReport) -> str:
     return "\n".join(lines) + "\n"
 
 
+def chart(header: list[str], rows: list[list]) -> str:
+    """A bar chart as SVG of sections that have names and counts; nothing for others."""
+    count = next((header.index(c) for c in ("n", "n_files", "n_matches") if c in header), None)
+    if count is None or len(rows) < 2 or not count:
+        return ""
+    top = max(1, *(r[count] or 0 for r in rows))
+    bars = "".join(
+        f'<text x="215" y="{20 * k + 14}" text-anchor="end">{html.escape(str(r[0])[:32])}</text><rect x="220" y="{20 * k + 3}" width="{360 * (r[count] or 0) / top:.1f}" height="14"/><text x="{225 + 360 * (r[count] or 0) / top:.1f}" y="{20 * k + 14}">{r[count]}</text>'
+        for k, r in enumerate(rows)
+    )
+    return f'<svg role="img" width="680" height="{20 * len(rows) + 6}" font-size="12" fill="#456">{bars}</svg>'
+
+
 def to_html(report: CorpusReport) -> str:
     parts = ["<!doctype html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>Corpus report</title><style>body{font-family:sans-serif;margin:2rem}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2rem .6rem;text-align:left}</style></head><body><h1>Corpus report</h1>"]
     for title, header, rows in [] if report.empty else sections_for_people(report):
         cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-        parts.append(f"<h2>{html.escape(title)}</h2><table><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in header)}</tr>{cells}</table>")
+        parts.append(f"<h2>{html.escape(title)}</h2>{chart(header, rows)}<table><tr>{''.join(f'<th>{html.escape(h)}</th>' for h in header)}</tr>{cells}</table>")
     return "".join([*parts, "</body></html>\n"])
 
 

@@ -1,17 +1,20 @@
 """A scan service on lines of JSON.
 
 Commands: ``{"cmd": "scan", "path": ..., "config": {...}}``, ``cancel``,
-``shutdown``. Events: ready, phase, progress, complete (with the report),
+``shutdown``. Settings are flat keys (``sampling_rate``, ``exclude``,
+``show_pii_samples``, ``pii_min_confidence``, ``simhash_threshold``,
+``simhash_bits``) or the sections of a config file. Events: ready, phase, progress, complete (with the report),
 cancelled, error. A new scan cancels the one that runs.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import threading
 from typing import IO, Any
 
-from gleanery.config import from_mapping
+from gleanery.config import from_flat
 from gleanery.plans.scan import PHASES, Cancelled, scan_directory
 from gleanery.report.render import to_json
 
@@ -46,9 +49,12 @@ class Service:
             self.tell("progress", done=k, total=of)
 
         try:
+            if not os.path.isdir(path):
+                raise ValueError(f"not a directory: {path}")
+            config = from_flat(settings if settings is not None else {})
             spark = self.session()
             spark.sparkContext.setJobGroup(GROUP, path, True)
-            report = scan_directory(spark, path, from_mapping(settings or {}), phase)
+            report = scan_directory(spark, path, config, phase)
             body = json.loads(to_json(report)) if not report.empty else {"files": [], "summary": None}
             report.close()
             self.tell("cancelled") if stop.is_set() else self.tell("complete", report=body)

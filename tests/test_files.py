@@ -13,9 +13,9 @@ import zlib
 import pytest
 
 from gleanery import cli, sidecar
-from gleanery.config import ScanConfig
+from gleanery.config import ScanConfig, from_flat
 from gleanery.operators import health
-from gleanery.plans.scan import Cancelled, scan_directory
+from gleanery.plans.scan import Cancelled, scan_directory, scan_table
 from gleanery.report import formatting, render
 from gleanery.sources import files as file_source
 from gleanery.sources import walker
@@ -197,6 +197,61 @@ def test_service(spark, tmp_path):
     assert events[-1]["report"]["files"][0]["id"] == "a.txt"
 
 
+def test_service_settings(spark, tmp_path):
+    """Flat keys take effect, numbers are clamped, and values of the wrong kind are errors."""
+    c = from_flat({"sampling_rate": 3, "exclude": ["*.bin"], "show_pii_samples": True, "pii_min_confidence": -1, "simhash_threshold": 500, "simhash_bits": 128})
+    assert (c.sampling_rate, c.sampling_rate_auto, c.exclude[-1], c.show_pii_samples, c.pii_min_confidence, c.simhash_bits, c.simhash_threshold) == (1.0, False, "*.bin", True, 0.0, 128, 128)
+    assert from_flat({"simhash_bits": 32, "simhash_threshold": 90}).simhash_threshold == 64
+    assert from_flat({}) == ScanConfig() and from_flat({"sampling": {"rate": 0.5}}).sampling_rate == 0.5
+    for bad in ({"sampling_rate": "much"}, {"sampling_rate": float("nan")}, {"simhash_bits": None}, ["x"]):
+        with pytest.raises(ValueError):
+            from_flat(bad)
+    (tmp_path / "a.txt").write_text("mail someone@example.com " * 5)
+    (tmp_path / "b.bin").write_bytes(b"left out")
+
+    def last(command):
+        out = io.StringIO()
+        sidecar.serve(iter([json.dumps(command) + "\n"]), out, spark)
+        return json.loads(out.getvalue().splitlines()[-1])
+
+    done = last({"cmd": "scan", "path": str(tmp_path), "config": {"exclude": ["*.bin"], "show_pii_samples": True}})
+    assert done["event"] == "complete" and [f["id"] for f in done["report"]["files"]] == ["a.txt"]
+    assert last({"cmd": "scan", "path": str(tmp_path), "config": {"sampling_rate": "much"}})["event"] == "error"
+    assert last({"cmd": "scan", "path": str(tmp_path / "nowhere")})["event"] == "error"
+
+
+def test_phases_are_told_as_they_run(spark, tree):
+    """What a phase makes is there when the next is told."""
+    made = []
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("phases", "phases")
+    out = scan_directory(spark, str(tree), on_phase=lambda name, k, of: made.append((name, len(status.getJobIdsForGroup("phases")))))
+    out.close()
+    counts = [n for _, n in made]
+    assert len(made) == 12 and all(a < b for a, b in zip(counts[2:], counts[3:], strict=False)), str(counts)
+
+
+def test_intervals_and_cluster_members(spark):
+    """A sample's shares have intervals, in JSON and for people; near-duplicate clusters name their members, with 128 bits too."""
+    words = [f"term{k}" for k in range(120)]
+    texts = [(f"d{k:02d}", " ".join(words[:-1] + [f"last{k // 4}"]) if k < 8 else " ".join(f"w{k}x{j}" for j in range(80)) + (" a@b.org" if k % 2 else "")) for k in range(24)]
+    frame = spark.createDataFrame(texts, "id string, text string").selectExpr("id", "cast(length(text) AS long) AS size", "'text/plain' AS mime", "'.' AS cluster", "text")
+    for bits in (64, 128):
+        own = scan_table(frame, ScanConfig(simhash_bits=bits, simhash_threshold=5))
+        assert ("fp_lo" in own["fingerprints"].columns) == (bits == 128)
+        own.sections["population"] = spark.createDataFrame([(240, 24)], "population long, n_analyzed long")
+        body = json.loads(render.to_json(own))["summary"]
+        mail = next(r for r in body["pii_types"] if r["pattern"] == "email")
+        assert mail["n_files"] == 8 and mail["pct"] == round(100 * 8 / 24, 4) and 0 < mail["lo_pct"] < mail["pct"] < mail["hi_pct"]
+        assert body["population"] == {"population": 240, "n_analyzed": 24}
+        found = {tuple(c["members"]): c["similarity"] for c in body["near_duplicates"]["clusters"]}
+        near = body["near_duplicates"]
+        assert near["bits"] == bits and near["n_files"] == 8 and sorted(x for m in found for x in m) == [f"d{k:02d}" for k in range(8)]
+        assert all(0.8 < v <= 1 for v in found.values())
+        assert "(CI: " in render.to_text(own) and "<svg" in render.to_html(own)
+        own.close()
+
+
 def test_cancel(spark, tree):
     def stop(name, k, of):
         if k == 2:
