@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.components import connected_components
 from gleanery.operators.simhash import shingles
 
 PRIME, N_PERM, THRESHOLD = 2147483647, 128, 0.7
@@ -65,3 +66,21 @@ def jaccard(corpus: DataFrame, pairs: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(x, "a").join(y, "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+
+
+def clusters(pairs: DataFrame) -> DataFrame:
+    """id, cluster_id (its least id) of every text in a pair, over all links."""
+    return connected_components(pairs)
+
+
+def cluster_similarity(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """cluster_id, n_members, similarity: the mean estimate over all pairs of members.
+
+    Members with a value in a position make k * (k - 1) / 2 equal pairs there,
+    so counts by value give the mean without making the pairs.
+    """
+    rows = members.join(sigs, "id").select("cluster_id", F.posexplode("sig").alias("pos", "value"))
+    per = rows.groupBy("cluster_id", "pos", "value").agg(F.count(F.lit(1)).alias("k"))
+    per = per.groupBy("cluster_id", "pos").agg(F.sum("k").alias("n"), F.sum(F.col("k") * (F.col("k") - 1)).alias("equal"))
+    out = per.groupBy("cluster_id").agg(F.max("n").alias("n_members"), (F.sum("equal") / F.sum(F.col("n") * (F.col("n") - 1))).alias("mean"))
+    return out.select("cluster_id", "n_members", F.round("mean", 4).alias("similarity"))

@@ -601,6 +601,22 @@ def minhash_pairs(spark, sf_dir):
     return minhash.candidate_pairs(minhash.signatures(docs(spark, sf_dir)))
 
 
+MINHASH_CLUSTERS = CANDIDATES.replace("WITH docs", "WITH RECURSIVE docs", 1) + """, u AS (SELECT a, b FROM mp UNION ALL SELECT b, a FROM mp), r AS (SELECT DISTINCT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), cl AS (SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY 1)"""
+
+
+@query("minhash_clusters", f"{MINHASH_CLUSTERS} SELECT * FROM cl")
+def minhash_clusters(spark, sf_dir):
+    return minhash.clusters(minhash.candidate_pairs(minhash.signatures(docs(spark, sf_dir))))
+
+
+@query("minhash_cluster_similarity", f"""{MINHASH_CLUSTERS}, m AS (SELECT cluster_id, count(*) AS n_members FROM cl GROUP BY 1),
+  q AS (SELECT x.cluster_id, sum(len(list_filter(range(1, 129), lambda i: f.sig[i] = g.sig[i]))) / (128.0::DOUBLE * count(*)) AS e FROM cl x JOIN cl y ON x.cluster_id = y.cluster_id AND x.id < y.id JOIN sg f ON f.id = x.id JOIN sg g ON g.id = y.id GROUP BY 1)
+  SELECT cluster_id, n_members, round(e, 4)::DOUBLE AS similarity FROM m JOIN q USING (cluster_id)""")
+def minhash_cluster_similarity(spark, sf_dir):
+    sigs = minhash.signatures(docs(spark, sf_dir)).persist()  # narrow, and used twice
+    return minhash.cluster_similarity(minhash.clusters(minhash.candidate_pairs(sigs)), sigs)
+
+
 @query("jaccard_pairs", f"""{CANDIDATES}, ds AS (SELECT DISTINCT id, shingle FROM s), sz AS (SELECT id, count(*) AS n FROM ds GROUP BY 1),
   bo AS (SELECT a, b, count(*) AS both_n FROM mp JOIN ds x ON x.id = a JOIN ds y ON y.id = b AND y.shingle = x.shingle GROUP BY 1, 2)
   SELECT mp.a, mp.b, round(coalesce(both_n, 0) / (p.n + q.n - coalesce(both_n, 0))::DOUBLE, 6)::DOUBLE AS jaccard FROM mp JOIN sz p ON p.id = mp.a JOIN sz q ON q.id = mp.b LEFT JOIN bo ON bo.a = mp.a AND bo.b = mp.b""")
@@ -636,7 +652,19 @@ def semantic_components(spark, sf_dir):
     return simhash.clusters(semantic.similar_pairs(table(spark, sf_dir, "embeddings")))
 
 
-@query("semantic_clusters")
+# a vector is kept if no earlier kept one is near it: each step decides the next, as a list of those kept so far
+GREEDY = """, nb AS (SELECT b AS id, list(a) AS earlier FROM lk GROUP BY 1), nd AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM lk UNION SELECT b FROM lk)),
+  g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT nd.k, CASE WHEN list_has_any(coalesce(nb.earlier, []), g.kept) THEN g.kept ELSE list_append(g.kept, nd.id) END FROM g JOIN nd ON nd.k = g.k + 1 LEFT JOIN nb ON nb.id = nd.id),
+  z AS (SELECT arg_max(kept, k) AS kept FROM g), ow AS (SELECT b AS id, min(a) AS cluster_id FROM lk, z WHERE list_contains(z.kept, a) AND NOT list_contains(z.kept, b) GROUP BY 1)
+  SELECT id, cluster_id FROM ow UNION ALL SELECT DISTINCT cluster_id, cluster_id FROM ow"""
+
+
+@query("semantic_clusters_loose", LOOSE.replace("WITH v", "WITH RECURSIVE v", 1) + GREEDY)
+def semantic_clusters_loose(spark, sf_dir):
+    return semantic.greedy_clusters(semantic.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35))
+
+
+@query("semantic_clusters", VECTORS.replace("WITH v", "WITH RECURSIVE v", 1) + GREEDY)
 def semantic_clusters(spark, sf_dir):
     return semantic.greedy_clusters(semantic.similar_pairs(table(spark, sf_dir, "embeddings")))
 
