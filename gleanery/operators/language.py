@@ -133,7 +133,10 @@ def refine(detected: DataFrame, corpus: DataFrame, model: Callable[[str], str |
 
 
 def correct_by_prior(detected: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES) -> DataFrame:
-    """Texts of unknown language take the corpus's, where one language has half of all texts."""
+    """Texts of unknown language take the corpus's, where one language has half of all texts.
+
+    ``detected`` is read twice and should be cheap to read (a table, persisted or cut).
+    """
     vague = [UNKNOWN, LATIN_UNKNOWN, MIXED]
     per = detected.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     known = [*profiles, *[n for n, _ in OTHER_PROFILES.values()], "Japanese", "Korean"]

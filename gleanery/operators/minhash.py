@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.components import connected_components
-from gleanery.operators.simhash import shingles
+from gleanery.operators.simhash import digests, shingles
 
 PRIME, N_PERM, THRESHOLD = 2147483647, 128, 0.7
 
@@ -24,21 +26,43 @@ def coefficients(n_perm: int = N_PERM, seed: int = 1) -> list[tuple[int, int]]:
     return out
 
 
-def base_hash(shingle: Column) -> Column:
-    """31 bits of md5."""
-    return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long") % PRIME
+def _least(n_perm: int):
+    """Signatures of rows (id, digests): the least value of each hash over 31 bits of the digests."""
+    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*coefficients(n_perm), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, n_perm), np.int64)
+            for k, value in enumerate(batch.column("digests")):
+                raw = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 16)
+                h = np.unique(np.ascontiguousarray(raw[:, :4]).view(">u4").ravel().astype(np.uint64) % np.uint64(PRIME))
+                least = [((a * h[at : at + 4096] + b) % np.uint64(PRIME)).min(axis=1) for at in range(0, len(h), 4096)]
+                out[k] = np.min(least, axis=0)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_perm), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), flat], ["id", "sig"])
+
+    return run
 
 
 def signatures(corpus: DataFrame, n_perm: int = N_PERM) -> DataFrame:
-    """id, sig (n_perm values): the least value of each hash over the distinct shingles. min() ignores repeats, so none are removed first."""
-    hashed = shingles(corpus).select("id", base_hash(F.col("shingle")).alias("h"))
-    return hashed.groupBy("id").agg(F.array(*[F.min((F.lit(a) * F.col("h") + b) % PRIME) for a, b in coefficients(n_perm)]).alias("sig"))
+    """id, sig (n_perm values) of texts with words: the least value of each hash over the distinct shingles."""
+    rows = digests(corpus).where(F.length("digests") > 0)
+    return rows.mapInArrow(_least(n_perm), f"id {rows.schema['id'].dataType.simpleString()}, sig array<long>")
 
 
 def band_shape(n_perm: int = N_PERM, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """bands, rows: the split whose turning point is nearest to the threshold from below."""
-    best = max(((b, n_perm // b) for b in range(1, n_perm + 1) if n_perm % b == 0), key=lambda br: (math.pow(1 / br[0], 1 / br[1]) <= threshold, math.pow(1 / br[0], 1 / br[1]) if math.pow(1 / br[0], 1 / br[1]) <= threshold else 0))
-    return best
+    """bands, rows: the split of ``n_perm`` values or fewer with the least error at the threshold.
+
+    The error is the chance to meet, summed over similarities below the
+    threshold, and the chance not to meet over those above it.
+    """
+    s = (np.arange(1000) + 0.5) / 1000
+
+    def error(shape: tuple[int, int]) -> float:
+        meet = 1 - (1 - s ** shape[1]) ** shape[0]
+        return float(meet[s < threshold].sum() + (1 - meet)[s >= threshold].sum())
+
+    return min(((b, r) for r in range(1, n_perm + 1) for b in range(1, n_perm // r + 1)), key=error)
 
 
 def candidate_pairs(sigs: DataFrame, n_perm: int = N_PERM, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.components import connected_components
+from gleanery.operators.components import connected_components, ensure_checkpoint_dir
 
 MIN_CHARS, SHINGLE = 50, 3
 WORD = "[\\p{L}\\p{N}_]+"
@@ -30,33 +35,46 @@ def shingles(corpus: DataFrame, distinct: bool = False) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def _half(digest: Column, at: int) -> Column:
-    return F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+def digests(corpus: DataFrame) -> DataFrame:
+    """id, digests: the md5 of each shingle, 16 bytes each, in one value; empty for texts without words.
+
+    One row stays one row: nothing is shuffled, and bits are counted where the
+    row is.
+    """
+    w = F.col("w")
+    rows = corpus.where(F.length("text") >= MIN_CHARS).select("id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    # two columns that need the words keep the optimizer from inlining them
+    rows = rows.select("id", F.size(w).alias("n"), F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b"), F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(1))).alias("c")).alias("z"))
+    whole = F.when(F.col("n") < SHINGLE, F.col("z")).otherwise(F.slice("z", F.lit(1), F.greatest(F.col("n") - (SHINGLE - 1), F.lit(0))))
+    text = lambda z: F.when(F.col("n") < SHINGLE, z["a"]).otherwise(F.concat_ws(" ", z["a"], z["b"], z["c"]))
+    return rows.select("id", F.unhex(F.array_join(F.transform(whole, lambda z: F.md5(text(z))), "")).alias("digests"))
 
 
-def _fingerprint(h: str) -> Column:
-    """64 sums of +1 and -1 as one 64-bit number: bit k is set where sum k is over zero."""
-    out = F.lit(0).cast("long")
-    for k in range(64):
-        above = F.sum(2 * F.getbit(F.col(h), F.lit(k)).cast("int") - 1) > 0
-        out = out.bitwiseOR(F.when(above, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return out
+def _prints(bits: int):
+    """Fingerprints of rows (id, digests): bit k is set where more shingles have it than not."""
+    weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 2), np.uint64)
+            for k, value in enumerate(batch.column("digests")):
+                raw = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 16)
+                for part in range(bits // 64):
+                    ones = sum(np.unpackbits(raw[at : at + 65536, 8 * part : 8 * part + 8], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, max(1, len(raw)), 65536))
+                    out[k, part] = weights[2 * ones > len(raw)].sum(dtype=np.uint64)
+                if not len(raw):
+                    out[k, bits // 64 - 1] = 1
+            columns = [batch.column("id"), *[pa.array(np.ascontiguousarray(out[:, part]).view(np.int64)) for part in range(bits // 64)]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "fp_lo"][: len(columns)])
+
+    return run
 
 
 def fingerprints(corpus: DataFrame, bits: int = 64) -> DataFrame:
     """id, fp (64 bits; with bits=128 also fp_lo) of texts long enough; 1 for texts without words."""
-    s = shingles(corpus).withColumn("d", F.md5("shingle"))
-    s = s.withColumn("h", _half(F.col("d"), 1))
-    parts = [_fingerprint("h").alias("fp")]
-    if bits == 128:
-        s = s.withColumn("h2", _half(F.col("d"), 17))
-        parts.append(_fingerprint("h2").alias("fp_lo"))
-    got = s.groupBy("id").agg(*parts)
-    all_ids = corpus.where(F.length("text") >= MIN_CHARS).select("id")
-    out = all_ids.join(got, "id", "left")
-    if bits == 128:
-        return out.select("id", F.coalesce("fp", F.lit(0)).cast("long").alias("fp"), F.coalesce("fp_lo", F.lit(1)).cast("long").alias("fp_lo"))
-    return out.select("id", F.coalesce("fp", F.lit(1)).cast("long").alias("fp"))
+    rows = digests(corpus)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_prints(bits), f"id {kind}, fp long" + (", fp_lo long" if bits == 128 else ""))
 
 
 def hex16(value: Column) -> Column:
@@ -90,27 +108,45 @@ def hamming(x: str, y: str, parts: list[str]) -> Column:
     return out
 
 
+def key_shape(n: int, threshold: int, bits: int = 64) -> tuple[int, int]:
+    """pieces, and how many of them a key has, that cost least for ``n`` fingerprints.
+
+    Of k pieces at most ``threshold`` differ, so k - threshold agree: each
+    choice of so many is a key. More pieces make more and longer keys.
+    """
+    def cost(k: int) -> float:
+        keys, width = math.comb(k, k - threshold), bits / k * (k - threshold)
+        return keys * n * (1 + n / 2 ** (width + 1))
+
+    pieces = min((k for k in range(threshold + 1, threshold + 6) if k <= bits // 4), key=cost)
+    return pieces, pieces - threshold
+
+
 def pairs(prints: DataFrame, threshold: int = 5) -> DataFrame:
     """a, b, distance of distinct fingerprints at most ``threshold`` bits apart (a < b, first ids that have them), and equal ones.
 
     Equal fingerprints are one class first, so a page that thousands copy is
     one row in the join; members of a class are linked to its first id only.
-    Prints have a column fp, or with 128 bits fp and fp_lo. Where threshold + 1
-    bands would be narrower than four bits, rows are compared block by block.
+    Prints have a column fp, or with 128 bits fp and fp_lo. Keys are as long as
+    the number of classes asks for (``key_shape``); where they would be narrower
+    than four bits, rows are compared block by block.
     """
     parts = [c for c in ("fp", "fp_lo") if c in prints.columns]
-    classes = prints.groupBy(*parts).agg(F.min("id").alias("rep"))
-    if threshold + 1 <= 16 * len(parts):
-        per = -(-(threshold + 1) // len(parts))
-        values = [b for p in parts for b in bands(F.col(p), per)]
-        banded = classes.select("rep", *parts, F.posexplode(F.array(*values)).alias("band", "value"))
+    bits = 64 * len(parts)
+    ensure_checkpoint_dir(prints.sparkSession)
+    classes = prints.groupBy(*parts).agg(F.min("id").alias("rep")).checkpoint()
+    if threshold + 1 <= bits // 4:
+        pieces, same = key_shape(classes.count(), threshold, bits)
+        values = [b for k, p in enumerate(parts) for b in bands(F.col(p), pieces // len(parts) + (k < pieces % len(parts)))]
+        keys = [F.xxhash64(F.lit(k), *some) for k, some in enumerate(itertools.combinations(values, same))]
+        banded = classes.select("rep", *parts, F.explode(F.array(*keys)).alias("key"))
         x, y = banded.alias("x"), banded.alias("y")
-        met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")))
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")))
         near = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), hamming("x", "y", parts).cast("int").alias("distance")).where(F.col("distance") <= threshold).distinct()
     else:
         near = blocked_pairs(classes, parts, threshold)
-    same = prints.join(classes, parts).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    return near.unionByName(same)
+    same_prints = prints.join(classes, parts).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return near.unionByName(same_prints)
 
 
 def blocked_pairs(classes: DataFrame, parts: list[str], threshold: int, block_rows: int = 4096) -> DataFrame:

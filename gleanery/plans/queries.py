@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULT_EXCLUDES, excluded, glob_regex
 from gleanery.functions.wilson import adjust_for_design, auto_rate, format_ci, wilson_ci
+from gleanery.operators.components import ensure_checkpoint_dir
 from gleanery.operators import dedup, health, inventory, language, minhash, pii, sampling, semantic, simhash, text_quality
 from gleanery.plans import corpus as C
 from gleanery.plans.registry import query
@@ -419,6 +420,12 @@ def detected(spark, sf_dir):
     return language.detect(docs(spark, sf_dir))
 
 
+def settled(df):
+    """A narrow result that is read more than once, cut by a checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @query("detect_language", f"{DETECT} SELECT * FROM det")
 def detect_language(spark, sf_dir):
     return detected(spark, sf_dir).drop("latin_votes")
@@ -448,7 +455,7 @@ PRIOR = f"""{DETECT}, per AS (SELECT language, count(*) AS n FROM det GROUP BY 1
 
 @query("corpus_prior_correction", f"{PRIOR} SELECT * FROM cor")
 def corpus_prior_correction(spark, sf_dir):
-    return language.correct_by_prior(detected(spark, sf_dir)).drop("latin_votes")
+    return language.correct_by_prior(settled(detected(spark, sf_dir))).drop("latin_votes")
 
 
 def _ci_sql(deff: bool) -> str:
@@ -463,14 +470,14 @@ def _ci_sql(deff: bool) -> str:
 @query("lang_distribution_ci", _ci_sql(False))
 def lang_distribution_ci(spark, sf_dir):
     """The corpus taken as a sample from 50 000 files."""
-    found = language.distribution(language.correct_by_prior(detected(spark, sf_dir)))
+    found = language.distribution(language.correct_by_prior(settled(detected(spark, sf_dir))))
     whole = found.agg(F.sum("n_files").alias("whole"))
     return tables.rates_with_ci(found.crossJoin(F.broadcast(whole)), "language", "n_files", F.col("whole"), F.lit(50_000))  # one row
 
 
 @query("lang_distribution_ci_deff", _ci_sql(True))
 def lang_distribution_ci_deff(spark, sf_dir):
-    found = language.distribution(language.correct_by_prior(detected(spark, sf_dir)))
+    found = language.distribution(language.correct_by_prior(settled(detected(spark, sf_dir))))
     whole = found.agg(F.sum("n_files").alias("whole"))
     deff = sampling.design_effect(C.documents(table(spark, sf_dir, "documents"))).select("deff")
     rows = found.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(deff))  # one row each

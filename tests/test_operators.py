@@ -306,8 +306,19 @@ def test_minhash(spark):
     assert set(pairs) == {(0, 1), (0, 3)} and pairs[0, 3] == 1.0
     exact = {(r["a"], r["b"]): r["jaccard"] for r in minhash.jaccard(frame, spark.createDataFrame([(0, 1)], "a long, b long")).collect()}
     assert exact[0, 1] == pytest.approx(115 / 121) and abs(pairs[0, 1] - exact[0, 1]) < 0.12
-    b, r = minhash.band_shape()
-    assert b * r == 128
+    assert minhash.band_shape() == (14, 9) and minhash.band_shape(128, 0.5) == (25, 5)
+
+
+@pytest.mark.parametrize("shape", [(7, 2), (9, 4)])
+def test_longer_keys_find_the_same_pairs(spark, monkeypatch, shape):
+    assert simhash.key_shape(1000, 5) == (6, 1) and simhash.key_shape(10**9, 5)[0] > 8
+    rng = random.Random(2)
+    fps = [rng.getrandbits(63) for _ in range(30)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 8))) for f in fps for _ in range(5)]
+    want = {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(fps)) for j in range(i + 1, len(fps)) if 0 < (fps[i] ^ fps[j]).bit_count() <= 5}
+    monkeypatch.setattr(simhash, "key_shape", lambda *_: shape)
+    got = simhash.pairs(spark.createDataFrame(list(enumerate(fps)), "id long, fp long")).where("distance > 0").collect()
+    assert {(r["a"], r["b"], r["distance"]) for r in got} == want
 
 
 def test_semantic(spark):
