@@ -7,22 +7,29 @@ bins in two texts have the probability of their Jaccard similarity. ``BANDS``
 bands of ``BINS / BANDS`` bins are the buckets; at similarity 0.75 two texts
 miss all buckets with a probability of about 5 in a million.
 
-Texts with equal shingle sets are one class first. The first member of a bucket
-is its centre, and each text is compared with the first of its centres: a
-star, not all pairs. Links are confirmed on the full sets. Buckets whose
-members are in more than one component then are opened: up to ``SMALL``
-members are compared pair by pair, and in larger ones each member outside the
-largest component with ``CENTRES`` others, other ones each round, until a round
-finds no link. What is in several components then is compared in whole: the
-members of a larger bucket by size in blocks, and all pairs of blocks that sizes
-allow, so that no pair that shares a bucket is left out. This last step grows
-with the square of the crowds that do not come together; its blocks are bounded.
+Texts with equal shingle sets are one class first. The centre of a bucket is
+the member that meets most others in all its buckets (an original rather than
+one of its copies), and each text is compared with the centre it meets most
+often: a star, not all pairs. Buckets whose members are in more than one
+component are opened again: of up to ``SMALL`` members all pairs of different
+components are compared once, each pair for all its buckets; in larger buckets
+members outside the largest component are compared with the centre of that,
+``ROUNDS`` times. Then an exact way for the rest: in each larger bucket that
+still holds several components all pairs of different components that sizes
+allow are compared, in blocks of bounded weight; buckets in which one component
+has half of the members are taken together with others of that component, so
+that its sets are sent once. So every pair of texts that share a bucket is
+linked, joined by other links, or compared; rounds and ``SMALL`` only save work. Pairs within a crowd that never comes
+together cost the square of its texts, in blocks dealt over all tasks.
+
+Links are confirmed on the full sets. A centre's set is sent once for some
+``FAN`` partners, and pairs of one centre are dealt over many tasks.
 
 Edge cases: null texts and those without words have an empty set, a component
 of their own and stay; texts under ``SHINGLE`` words have one shingle, the
-whole sequence; rows with one id are one document as to components; a null id
-is the id that comes last; an empty table gives an empty result; extra columns
-are left out.
+whole sequence; rows with one id are one document as to components, and each
+of their texts is compared; a null id is the id that comes last; an empty table
+gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,18 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
-from gleanery.llm._shared import KEYS, NULL_ID, cut, cut_with, join_few, key_of, row_keys, without
+from gleanery.llm._shared import KEYS, NULL_ID, cut, cut_with, drop, join_few, join_hot, key_of, maybe_in, row_keys, without
 
 SHINGLE, BINS, BANDS, PERCENT = 5, 128, 32, 75
-#: Buckets up to SMALL members are compared pair by pair when they are opened; in
-#: larger ones members outside the largest component meet CENTRES others a round.
-SMALL, CENTRES = 8, 4
-#: Weight of a block of a crowd: its shingles, and LEAST more for each member.
-BLOCK, LEAST = 1 << 18, 256
+#: How often buckets are opened by centres before the rest is compared in whole, how
+#: many members a bucket has whose pairs are listed, and how many partners of a centre
+#: are compared together.
+ROUNDS, SMALL, FAN = 2, 8, 256
+#: Weight of a block of a bucket: its shingles, and LEAST more for each member. In
+#: groups of CROWD members pairs are left to the first bucket that they share.
+BLOCK, LEAST, CROWD = 1 << 17, 256, 64
+#: Words of the bitmap of bucket keys that occur more than once: 2 MB.
+FILTER_WORDS = 2**18
 U = np.uint64
 
 
@@ -114,19 +125,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.pieces(whole, "text"):
             sets = shingle_sets(batch.column("text"))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), B.binaries(np.concatenate(sets) if sets else np.zeros(0, U), at)], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), B.binaries(np.concatenate(sets) if sets else np.zeros(0, U), at)], ["id", "row", "set"])
+
+
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), U)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from rows that come in order: a centre's set (no partner), then those of its partners."""
+    centre = np.zeros(0, U)
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            small, large = (a, b) if len(a) < len(b) else (b, a)
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (partner, value) in enumerate(zip(batch.column("b").is_valid().to_pylist(), batch.column("set"), strict=True)):
+            if partner:
+                keep[k] = alike(centre, _set(value))
+            else:
+                centre = _set(value).copy()
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
 def _bits(sets: list[np.ndarray]) -> np.ndarray:
@@ -141,63 +164,116 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare_blocks(group: pa.Table) -> pa.Table:
+def _block_links(key: int, ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join the components of two blocks, or of one with itself; all their pairs are compared."""
-    group = group.combine_chunks()
-    ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("set").combine_chunks()]
-    n, bits = np.array([len(s) for s in sets], np.int64), _bits(sets)
-    _, label, times = np.unique(group.column("root").to_numpy(), return_inverse=True, return_counts=True)
+    n = np.array([len(s) for s in sets], np.int64)
+    _, label, times = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(times) < 2:
+        return []
+    bits = _bits(sets)
+    bands = band_keys(signatures(sets)) if len(sets) >= CROWD else np.zeros((len(sets), 0), U)
+    earlier = int(np.argmax(bands[0] == U(key))) if bands.shape[1] else 0  # 0 where the key is no bucket's
     one = (side == side[0]).all()
     links = []
     for x in np.flatnonzero(label != np.argmax(times)):
-        other = (label != label[x]) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
-        to = np.flatnonzero(other if one else other & (side != side[x]))
+        fit = (label != label[x]) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
+        if not one:
+            fit &= side != side[x]
+        to = np.flatnonzero(fit)
+        if earlier:
+            to = to[~(bands[to, :earlier] == bands[x, :earlier]).any(axis=1)]
+        if not len(to):
+            continue
         both = np.concatenate([np.bitwise_count(bits[t] & bits[x]).sum(axis=1, dtype=np.int64) for t in np.array_split(to, len(to) * bits.shape[1] // B.CHUNK + 1)])
         for y in to[100 * both >= PERCENT * (n[to] + n[x] - both)]:
             if label[y] != label[x]:
-                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
                 label[label == label[y]] = label[x]
-    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    return links
 
 
-def _crowd_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the components of each bucket of rows (key, id, n, root), by comparing all that sizes allow."""
-    weight = F.sum(F.col("n") + LEAST).over(Window.partitionBy("key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = cut(rows.select("key", "id", "n", "root", F.floor(F.coalesce(weight, F.lit(0)) / BLOCK).alias("block")), "blocks")
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group (key, x, y) of rows that come in order; a group is two blocks at most."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> pa.RecordBatch:
+        get = lambda c: np.concatenate([np.asarray(h.column(c)) for h in held])
+        links = _block_links(int(np.asarray(held[0].column("key"))[:1].view(U)[0]), get("id"), get("root"), get("side"), [_set(v) for h in held for v in h.column("set")])
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([np.asarray(batch.column(c)) for c in ("key", "x", "y")], axis=1)
+        starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if held and last != names[a].tolist():
+                yield close()
+            held.append(batch.slice(a, b - a))
+            last = names[a].tolist()
+    if held:
+        yield close()
+
+
+def _crowd_links(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Links between the components of each group of rows (key, id, row, n, root), by comparing all pairs that sizes allow.
+
+    Groups are buckets, or buckets taken together. One over ``BLOCK`` is split by size into tiers, of which only
+    neighbours can have links, and these by hash into blocks.
+    """
+    rows = rows.withColumn("weight", F.col("n") + LEAST)
+    whole = rows.groupBy("key").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("m"))
+    rows = join_hot(rows, whole, ["key"], total).drop("m").withColumn("tier", F.when(F.col("all") > BLOCK, F.floor(F.log("n") / np.log(100 / PERCENT))).otherwise(0))
+    rows = cut(rows.drop("all"), "tiers")
+    parts = rows.groupBy("key", "tier").agg(F.ceil(F.sum("weight") / BLOCK).alias("parts"), F.count(F.lit(1)).alias("m"))
+    block = F.shiftleft("tier", 32) + F.pmod(F.xxhash64("id", "row"), "parts")
+    blocks = cut(join_hot(rows, parts, ["key", "tier"], total).select("key", "id", "row", "n", "root", block.alias("block")), "blocks")
+    drop(rows)
     facts = blocks.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     x, y = (facts.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high", "r0", "r1")]) for s in "xy")
-    two = x.join(y, "key").where((F.col("block_x") <= F.col("block_y")) & (100 * F.col("high_x") >= PERCENT * F.col("low_y")))
-    two = two.where(F.least("r0_x", "r0_y") < F.greatest("r1_x", "r1_y")).select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+    fits = (100 * F.least("high_x", "high_y") >= PERCENT * F.greatest("low_x", "low_y")) & (F.least("r0_x", "r0_y") < F.greatest("r1_x", "r1_y"))
+    two = x.join(y, "key").where((F.col("block_x") <= F.col("block_y")) & fits).select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
     sides = two.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    members = blocks.join(sides, ["key", "block"]).select("key", "x", "y", F.col("block").alias("side"), "id", "root")
-    return members.join(sets, "id").groupBy("key", "x", "y").applyInArrow(_compare_blocks, "a long, b long")
+    members = blocks.join(sides, ["key", "block"]).select("key", "x", "y", F.col("block").alias("side"), "id", "row", "root")
+    members = members.join(sets, ["id", "row"]).select("key", "x", "y", "side", "id", "root", "set")
+    return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id").mapInArrow(_compare_blocks, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, root: the least id reachable over links (a, b), for each id in one.
 
     Alternating large-star and small-star rounds: the number of rows never
-    grows, and hubs are reduced by partial aggregation.
+    grows; ids with very many links are joined where their links are.
     """
-    now, state = cut_with(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", n=F.count(F.lit(1)), hash=F.bit_xor(F.xxhash64("u", "v")))
+    figures = {"n": F.count(F.lit(1)), "hash": F.bit_xor(F.xxhash64("u", "v"))}
+    now, state = cut_with(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", **figures)
     while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("u", "m")), "least")
+        large, seen = cut_with(join_hot(both, least, ["u"], 2 * state["n"], "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n=F.count(F.lit(1)))
+        drop(least)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "least")
+        hung = join_hot(large, least, ["u"], seen["n"], "c")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        before = state
-        now, state = cut_with(small, "stars", n=F.count(F.lit(1)), hash=F.bit_xor(F.xxhash64("u", "v")))
+        before, old = state, now
+        now, state = cut_with(small, "stars", **figures)
+        drop(old, least, large)
         if state == before:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(_compare, "a long, b long")
+def _confirm(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """The ``total`` pairs (a, row_a, b, row_b) whose sets are alike, as links (a, b)."""
+    fans = pairs.groupBy("a", "row_a").agg(F.count(F.lit(1)).alias("m"))
+    dealt = join_hot(pairs, fans, ["a", "row_a"], total).withColumn("fan", F.pmod(F.xxhash64("b", "row_b"), F.ceil(F.col("m") / FAN)))
+    dealt = cut(dealt.select("a", "row_a", "fan", "b", "row_b"), "dealt")
+    heads = dealt.select("a", "row_a", "fan").distinct().join(sets.select(F.col("id").alias("a"), F.col("row").alias("row_a"), "set"), ["a", "row_a"]).withColumn("b", F.lit(None).cast("long"))
+    tails = dealt.join(sets.select(F.col("id").alias("b"), F.col("row").alias("row_b"), "set"), ["b", "row_b"]).drop("row_b")
+    both = heads.unionByName(tails).repartition("a", "row_a", "fan").sortWithinPartitions("a", "row_a", "fan", F.col("b").asc_nulls_first())
+    return both.select("a", "b", "set").mapInArrow(_compare, "a long, b long")
 
 
 def _fits(n: str, m: str) -> Column:
@@ -214,58 +290,92 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(all_.join(over, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
 
 
-def _roots(buckets: DataFrame, sets: DataFrame, given: DataFrame) -> DataFrame:
-    """id, root over all links found in buckets (key, id, n, centre, centre_n), and those ``given``."""
-    star = buckets.where((F.col("id") != F.col("centre")) & _fits("n", "centre_n")).groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a"))
-    tried = cut(star.select("a", "b"), "pairs")
-    links = _confirm(tried, sets)
-    roots = cut(components(links.unionByName(given)), "roots")
-    turn = 0
-    while True:
-        turn += 1
-        rows = buckets.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        centres = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "key", "id"), "id", "n", "root")).alias(f"c{k}") for k in range(CENTRES)]
-        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), *centres)
-        whole = parts.groupBy("key").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("big"), *[F.min(f"c{k}").alias(f"c{k}") for k in range(CENTRES)])
-        whole = whole.where("roots > 1").select("key", "m", F.col("big.root").alias("big"), F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(f"{x}_a") for x in ("id", "n", "root")]) for k in range(CENTRES)]).alias("centres"))
-        rows = cut(rows.join(whole, "key"), "open")
-        few = rows.where(F.col("m") <= SMALL).select("key", "id", "n", "root")
-        other = few.select("key", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        pairs = few.join(other, "key").where("id_a < id").drop("key")
-        many = rows.where((F.col("m") > SMALL) & (F.col("root") != F.col("big"))).select("id", "n", "root", F.inline("centres"))
-        pairs = pairs.unionByName(many).where((F.col("root") != F.col("root_a")) & _fits("n", "n_a"))
-        pairs = pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+def _nearest(met: DataFrame) -> DataFrame:
+    """One pair for each text of met (id, row, centre): the centre that it meets most often."""
+    each = met.groupBy("id", "row", F.col("centre.id").alias("a"), F.col("centre.row").alias("row_a")).agg(F.count(F.lit(1)).alias("k"), F.max("centre.w").alias("w"))
+    best = each.groupBy("id", "row").agg(F.max(F.struct("k", "w", "a", "row_a")).alias("best"))
+    return best.select("best.a", "best.row_a", F.col("id").alias("b"), F.col("row").alias("row_b"))
+
+
+def _roots(buckets: DataFrame, sets: DataFrame, given: DataFrame, total: int) -> DataFrame:
+    """id, root over all links found in buckets (key, id, row, n, w) of ``total`` rows, and those ``given``."""
+    own = F.struct("w", "id", "row", "n")
+    centres = buckets.groupBy("key").agg(F.max(own).alias("centre"), F.count(F.lit(1)).alias("m"))
+    met = join_hot(buckets, centres, ["key"], total).where((F.struct("id", "row") != F.struct("centre.id", "centre.row")) & _fits("n", "centre.n"))
+    pairs, seen = cut_with(_nearest(met), "pairs", n=F.count(F.lit(1)))
+    roots, tried = cut(components(_confirm(pairs, sets, seen["n"]).unionByName(given)), "roots"), pairs
+    for turn in range(ROUNDS + 1):
+        rows = cut(buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.max(own).alias("c"))
+        whole = parts.groupBy("key").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root", "c")).alias("big")).where("roots > 1")
+        together = F.when(2 * F.col("big.m") >= F.col("m"), F.col("big.root")).otherwise(F.col("key"))
+        whole = cut(whole.select("key", "m", F.col("big.root").alias("big"), F.col("big.c").alias("centre"), together.alias("group")), "open")
+        large = whole.where(F.col("m") > SMALL)
+        if turn == ROUNDS:
+            break
+        met = join_hot(rows, large, ["key"], total).where((F.col("root") != F.col("big")) & _fits("n", "centre.n"))
+        pairs = _nearest(_untried(met, tried))
+        if not turn:
+            pairs = pairs.unionByName(_small_pairs(rows.join(whole.where(F.col("m") <= SMALL).select("key"), "key"), tried)).distinct()
         pairs, seen = cut_with(pairs, "pairs", n=F.count(F.lit(1)))
         if seen["n"]:
-            links, seen = cut_with(_confirm(pairs, sets), "links", n=F.count(F.lit(1)))
-        if not seen["n"]:
-            break
-        roots, tried = _joined(roots, links), tried.unionByName(pairs)
-    links, seen = cut_with(_crowd_links(rows.where(F.col("m") > SMALL), sets).distinct(), "links", n=F.count(F.lit(1)))
+            links, seen = cut_with(_confirm(pairs, sets, seen["n"]), "links", n=F.count(F.lit(1)))
+            tried = tried.unionByName(pairs)
+        if seen["n"]:
+            roots = _joined(roots, links)
+            drop(rows, whole)
+    crowds = join_hot(rows, large.select("key", "m", "group"), ["key"], total).select(F.col("group").alias("key"), "id", "row", "n", "root").distinct()
+    crowds, seen = cut_with(crowds, "crowds", n=F.count(F.lit(1)))
+    links, seen = cut_with(_crowd_links(crowds, sets, seen["n"]).distinct(), "links", n=F.count(F.lit(1)))
     return _joined(roots, links) if seen["n"] else roots
 
 
+def _small_pairs(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs of different components in buckets of ``SMALL`` members at most, less those ``tried``."""
+    rows = cut(rows.select("key", F.struct("w", "id", "row").alias("node"), "n", "root"), "small")
+    other = rows.select("key", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("root").alias("to"))
+    pairs = rows.join(other, "key").where((F.col("centre") > F.col("node")) & (F.col("root") != F.col("to")) & _fits("n", "m"))
+    pairs = pairs.select(F.col("centre.id").alias("a"), F.col("centre.row").alias("row_a"), F.col("node.id").alias("b"), F.col("node.row").alias("row_b")).distinct()
+    back = tried.select(F.col("b").alias("a"), F.col("row_b").alias("row_a"), F.col("a").alias("b"), F.col("row_a").alias("row_b"))
+    return pairs.join(tried.unionByName(back), ["a", "row_a", "b", "row_b"], "left_anti")
+
+
+def _untried(met: DataFrame, tried: DataFrame) -> DataFrame:
+    known = tried.select(F.col("a").alias("c_id"), F.col("row_a").alias("c_row"), F.col("b").alias("id"), F.col("row_b").alias("row"))
+    return met.withColumns({"c_id": F.col("centre.id"), "c_row": F.col("centre.row")}).join(known, ["id", "row", "c_id", "c_row"], "left_anti")
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row keys, n_shingles, root, component_id, kept of every row."""
-    keys = [c.alias(k) for k, c in row_keys(id_col, text_col).items()]
+    count = {"n": F.count(F.lit(1))}
+    keys = [c.alias(k.removeprefix("__gl_")) for k, c in row_keys(id_col, text_col).items()]
     texts = docs.select(*keys, F.col(text_col).alias("text"))
-    sketch = texts.withColumnsRenamed({"__gl_id": "id", "__gl_row": "row"}).mapInArrow(_sketch, "id long, row long, n long, f1 long, f2 long, bands array<long>")
-    sketch = cut(sketch, "sketch")
-    full = sketch.where("n > 0")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    firsts = full.join(classes.withColumnRenamed("rep", "id"), ["id", "n", "f1", "f2"], "left_semi")
-    rows = firsts.select("id", "n", F.explode_outer("bands").alias("key"))
-    stars = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("last")).where(F.col("c.id") != F.col("last"))
-    stars = stars.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"))
-    buckets = cut(rows.join(stars, "key").distinct(), "buckets")
-    seen = buckets.select(F.col("id").alias("__gl_id")).distinct().withColumn("seen", F.lit(True))
-    sets = join_few(texts, seen, ["__gl_id"]).where("seen").select(F.col("__gl_id").alias("id"), "text").mapInArrow(_sets, "id long, set binary")
-    named = full.select("id", "row", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "row", "n", "rep")
+    sketch, seen = cut_with(texts.mapInArrow(_sketch, "id long, row long, n long, f1 long, f2 long, bands array<long>"), "sketch", **count)
+    full, total = sketch.where("n > 0"), seen["n"]
+    node = F.struct("id", "row")
+    classes = full.groupBy("n", "f1", "f2").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands"), F.count(F.lit(1)).alias("m"))
+    classes, seen = cut_with(classes.select("n", "f1", "f2", F.col("node.id").alias("rep"), F.col("node.row").alias("rep_row"), "bands", "m"), "classes", **count)
+    named = cut(join_hot(full.select("id", "row", "n", "f1", "f2"), classes.select("n", "f1", "f2", "rep", "m"), ["n", "f1", "f2"], total).select("id", "row", "n", "rep"), "named")
+    # buckets of several classes, and how many members each class meets in all
+    rows = classes.select(F.col("rep").alias("id"), F.col("rep_row").alias("row"), "n", F.explode("bands").alias("key"))
+    many = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "many")
+    shared = join_hot(maybe_in(rows, many, ["key"], FILTER_WORDS), many, ["key"], BANDS * seen["n"])
+    met = shared.groupBy("id", "row").agg(F.first("n").alias("n"), F.sum("m").alias("w"), F.collect_list("key").alias("keys"))  # BANDS keys at most
+    buckets, seen = cut_with(met.select("id", "row", "n", "w", F.explode("keys").alias("key")), "buckets", **count)
+    wanted = met.select(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).distinct().withColumn("seen", F.lit(True))
+    sets = join_few(texts.withColumnsRenamed({"id": "__gl_id", "row": "__gl_row"}), wanted).where("seen").drop("seen")
+    twice, again = cut_with(full.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twice", **count)
+    if again["n"]:  # rows that repeat a row: one set is enough
+        marked = join_few(sets, twice)
+        sets = marked.where(F.col("copies").isNull()).unionByName(marked.where("copies > 1").dropDuplicates(KEYS))
+    sets = cut(sets.select(F.col("__gl_id").alias("id"), F.col("__gl_row").alias("row"), "text").mapInArrow(_sets, "id long, row long, set binary"), "sets")
     # an id with several texts joins their components
-    split = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("id", "a")
-    given = named.join(split, "id").where("rep != a").select("a", F.col("rep").alias("b"))
-    roots = _roots(buckets, cut(sets, "sets"), given).withColumnRenamed("id", "rep")
-    out = named.join(roots, "rep", "left").select("id", "row", "n", F.coalesce("root", "rep").alias("root"))
+    split = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("a != last")
+    given = join_hot(named.select("id", "rep"), split, ["id"], total).where("rep != a").select("a", F.col("rep").alias("b"))
+    roots = _roots(buckets, sets, given, seen["n"])
+    reps = classes.groupBy("rep").agg(F.sum("m").alias("m")).join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    reps = cut(reps.select("rep", "m", F.coalesce("root", "rep").alias("root")), "reps")
+    out = join_hot(named, reps, ["rep"], total).select("id", "row", "n", "root")
     out = out.unionByName(sketch.where("n = 0").select("id", "row", "n", F.col("id").alias("root")))
     shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(
