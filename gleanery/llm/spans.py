@@ -8,11 +8,12 @@ joined globally; the first occurrence, by document and place, stays and
 sentences under any other are removed.
 
 A sentence ends at a word that ends in . ! or ? (a closing quote or bracket
-may follow), at a newline, or with the text. One of over ``LONG`` words (text
-without punctuation) is cut after words that a hash chooses, one in eight, so
-that a passage is cut alike wherever it stands; where this leaves a piece that
-long (one word over and over), it is cut every ``STEP`` words. What stands
-between sentences belongs to the one before.
+may follow), after a word that a hash chooses, one in eight, or with the text;
+where this leaves a piece of over ``LONG`` words (one word over and over), it is
+cut every ``STEP`` words. So a passage that begins or ends within a sentence, or
+has no punctuation, is cut alike wherever it stands. A newline ends a sentence
+as well, but no run ends there: a passage may be wrapped in one text and not in
+the other. What stands between sentences belongs to the one before.
 
 Edge cases: null or empty text has no sentences; texts without a long enough
 run lose nothing; repeats within one text count; rows with one id are one
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
-from gleanery.llm._shared import NULL_ID, cut, join_few, maybe_in, row_keys
+from gleanery.llm._shared import NULL_ID, cut, cut_with, join_few, join_hot, maybe_in, row_keys
 
 MIN_SENTENCES, MIN_WORDS, LONG, STEP = 2, 16, 24, 16
 #: Words of the bitmap of hashes that occur more than once: 2 MB.
@@ -53,20 +54,23 @@ class Cut:
             self.first = np.zeros(len(self.at), np.int64)
             return
         last = self.data[ends - 1]
-        stop = _END[last] | (_CLOSE[last] & _END[self.data[np.maximum(ends - 2, 0)]] & (ends - self.starts > 1))
-        lines = np.flatnonzero(self.data == 10)
-        stop[:-1] |= np.searchsorted(lines, ends[:-1]) < np.searchsorted(lines, self.starts[1:])
+        firm = _END[last] | (_CLOSE[last] & _END[self.data[np.maximum(ends - 2, 0)]] & (ends - self.starts > 1))
+        firm |= (self.hashes & U(7)) == 0
         edges = words[1:]
-        stop[edges[edges > 0] - 1] = True
-        sizes = np.diff(np.flatnonzero(stop), prepend=-1)
-        stop |= np.repeat(sizes > LONG, sizes) & ((self.hashes & U(7)) == 0)
-        at = np.flatnonzero(stop)
+        firm[edges[edges > 0] - 1] = True
+        at = np.flatnonzero(firm)
         sizes = np.diff(at, prepend=-1)
         inside = np.arange(n) - np.repeat(at - sizes + 1, sizes)
-        stop |= np.repeat(sizes > LONG, sizes) & (inside % STEP == STEP - 1)
+        firm |= np.repeat(sizes > LONG, sizes) & (inside % STEP == STEP - 1)
+        stop = firm.copy()
+        lines = np.flatnonzero(self.data == 10)
+        stop[:-1] |= np.searchsorted(lines, ends[:-1]) < np.searchsorted(lines, self.starts[1:])
         self.b = np.flatnonzero(stop) + 1
         self.a = np.concatenate([[0], self.b[:-1]])
         self.first = np.searchsorted(self.a, words)
+        #: Where runs can end, and the sentence that ends there.
+        self.ends = np.flatnonzero(firm) + 1
+        self.last = np.searchsorted(self.b, self.ends)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each run: first and last sentence, and two hashes of its words."""
@@ -74,7 +78,8 @@ class Cut:
             z = np.zeros(0, np.int64)
             return z, z, z, z
         i = np.arange(len(self.a))
-        j = np.maximum(np.searchsorted(self.b, self.a + MIN_WORDS), i + MIN_SENTENCES - 1)
+        k = np.maximum(np.searchsorted(self.ends, self.a + MIN_WORDS), np.searchsorted(self.ends, self.a, "right") + MIN_SENTENCES - 1)
+        j = np.append(self.last, len(self.a))[np.minimum(k, len(self.last))]
         i = i[j < np.repeat(self.first[1:], np.diff(self.first))]
         j = j[i]
         out = []
@@ -85,7 +90,6 @@ class Cut:
                 out.append(B.mix((total[self.b[j]] - total[self.a[i]]) * inverse[self.a[i]] + (self.b[j] - self.a[i]).astype(U)).view(np.int64))
         return i, j, *out
 
-
     def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each run: text, first and last sentence, hashes, and whether it is the first of its kind in its text."""
         i, j, h1, h2 = self.runs()
@@ -148,9 +152,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # most runs are unique: half of the hash tells, and only the others are brought together with their places;
     # partial aggregation leaves a row for each hash and task, however frequent a passage is
     often = runs.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    runs = cut(maybe_in(runs, often, ["h1"], FILTER_WORDS), "again")
-    firsts = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = runs.join(firsts, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("i") != F.col("first.i")))
+    runs, seen = cut_with(maybe_in(runs, often, ["h1"], FILTER_WORDS), "again", n=F.count(F.lit(1)))
+    firsts = cut(runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "i")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"), "firsts")
+    again = join_hot(runs, firsts, ["h1", "h2"], seen["n"]).where((F.col("id") != F.col("first.id")) | (F.col("i") != F.col("first.i")))
     return again.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.sort_array(F.collect_set("i")).alias("starts"), F.sort_array(F.collect_set("first.id")).alias("first_ids"))
 
 
