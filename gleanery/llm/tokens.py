@@ -8,14 +8,17 @@ it. Texts are cut at ASCII white space, which no token crosses; prefix counts
 of a piece are computed once and kept (up to ``CACHE`` pieces).
 
 A text's prefix index is the change of the count at each character, one signed
-byte each, deflated. From it follow the count of any prefix and the longest
-prefix within a budget, without encoding anything again.
-
-Pieces that normalization changes in length (marks to be composed and the
-like) or that hold a special token's string are counted prefix by prefix with
-the library; of those over ``LONG`` characters only the whole is counted, at
-their last character. All other texts go word by word through one table, which
-is filled for all new words of a batch together.
+byte each (more where a change is larger), deflated. From it follow the count
+of any prefix and the longest prefix within a budget, without encoding anything
+again.
+
+Pieces that normalization changes in length (marks to be composed and the like)
+are normalized by parts: a part begins with a character that never joins what
+stands before it, so only a prefix that ends within a part can end unlike the
+whole, and the dynamic program then goes on from the part's beginning with that
+end. Special tokens' strings divide a piece; a prefix that ends within one holds
+it as plain text. All other texts go word by word through one table, which is
+filled for all new words of a batch together.
 
 Edge cases: null or empty text has no bytes and no tokens; a null id is kept;
 repeated rows get equal results; an empty table gives an empty result; extra
@@ -24,6 +27,8 @@ columns are left out.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import json
 import re
 import unicodedata
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
 
-CACHE, LONG = 400_000, 512
+CACHE = 400_000
 #: A piece with the one white space character after it, or white space alone.
 _PIECES = re.compile("[^\x09-\x0d ]+[\x09-\x0d ]?|[\x09-\x0d ]+")
 #: Texts of other characters than these (up to U+024F, which normalization keeps,
@@ -92,21 +97,45 @@ class WordTable:
 
     def counts(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2], ..., each as a word that ends there."""
-        n = len(word)
-        last, number, out = [""] * (n + 1), [0] * (n + 1), []
+        return self.grow(word, [""], [0])
+
+    def grow(self, word: str, last: list[str], number: list[int]) -> list[int]:
+        """Counts at the letters of ``word`` that ``last`` and ``number`` do not cover yet; both are extended.
+
+        They hold the last token and the number of tokens of each prefix, as
+        one that goes on. A word may be given from its middle on.
+        """
+        out = []
         vocab, end = self.vocab, self.end
-        for i in range(1, n + 1):
-            ended = 0
+        for i in range(len(last), len(word) + 1):
+            ended, plain, n = 0, "", 0
             for j in range(max(0, i - self.longest), i):
                 token = word[j:i]
-                if not last[i] and token in vocab and (not j or (last[j] and self.adjacent(last[j], token))):
-                    last[i], number[i] = token, number[j] + 1
+                begins = not j and not last[0]
+                if not plain and token in vocab and (begins or (last[j] and self.adjacent(last[j], token))):
+                    plain, n = token, number[j] + 1
                 token += end
-                if not ended and token in vocab and (not j or (last[j] and self.adjacent(last[j], token))):
+                if not ended and token in vocab and (begins or (last[j] and self.adjacent(last[j], token))):
                     ended = number[j] + 1
+            last.append(plain)
+            number.append(n)
             out.append(ended)
         return out
 
+    def count_on(self, word: str, last: list[str], number: list[int], more: str) -> int:
+        """Tokens of ``word`` with ``more`` letters, from the states of the word's prefixes."""
+        lo, known = max(0, len(word) - self.longest), len(word) + bool(more)
+        return self.grow(word[lo:] + more, last[lo:known], number[lo:known])[-1]
+
+
+@functools.cache
+def joining() -> frozenset[str]:
+    """Characters that normalization may join with, or move before, what stands before them."""
+    marks = {chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))}
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0xC0, 0x30000))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(marks | seconds | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
 
 class WordBatch:
     """``WordTable.counts`` for many words at once, with numpy.
@@ -272,8 +301,10 @@ class PrefixCounter:
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.batch = WordBatch(self.table, self.letters)
         self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, np.ndarray] = {}
         self.steps: dict[str, bytes] = {}
+        self.normal: dict[str, str] = {}
+        self.wide: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
         """Fills ``steps``: the change of the count at each character of a word."""
@@ -302,7 +333,10 @@ class PrefixCounter:
             counts = [c for k, c in enumerate(counts) if k + 1 == len(raw) or raw[k + 1] & 0xC0 != 0x80]
             if w[0] == "'" and len(w) > 1 and w[1].isalpha():
                 counts = self._contraction(w, counts)
-            self.steps[w] = _as_bytes(np.diff(counts, prepend=0))
+            change = np.diff(counts, prepend=0)
+            if np.abs(change).max() > 127:
+                self.wide.add(w)
+            self.steps[w] = change.astype(np.int8).tobytes()
 
     def _contraction(self, word: str, own: list[int]) -> list[int]:
         """'re and the like: a prefix of one is a mark, and a letter."""
@@ -313,10 +347,16 @@ class PrefixCounter:
         """The prefix index and the number of tokens of each text; words new to all of them are counted together."""
         found = [None if _OTHER.search(t) or any(x in t for x in self.special) else _TOKENS.findall(t.lower()) for t in texts]
         self.learn(set().union(*[f for f in found if f]))
+        if self.wide:  # changes over a byte: such texts go piece by piece
+            found = [None if f is None or not self.wide.isdisjoint(f) else f for f in found]
         out = []
         for text, words in zip(texts, found, strict=True):
-            steps = b"".join(map(self.steps.__getitem__, words)) if words is not None else b"".join(map(self.changes, _PIECES.findall(text)))
-            out.append((zlib.compress(steps, 1), int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))))
+            if words is not None:
+                steps = b"".join(map(self.steps.__getitem__, words))
+                out.append((_packed(steps), int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))))
+            else:
+                wide = np.concatenate([np.zeros(0, np.int32), *map(self.changes, _PIECES.findall(text))])
+                out.append((_packed(wide), int(wide.sum(dtype=np.int64))))
         return out
 
     def word(self, letters: str) -> list[int]:
@@ -329,21 +369,17 @@ class PrefixCounter:
                 self.words[letters] = known
         return known
 
-    def encoded(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def changes(self, piece: str) -> bytes:
+    def changes(self, piece: str) -> np.ndarray:
         """The change of the count at each character of a piece, white space included."""
         if (known := self.pieces.get(piece)) is None:
             body = piece.rstrip("\t\n\x0b\f\r ")
-            counts = self._ascii(body) if body.isascii() else self._other(body)
-            if any(t in body for t in self.special):
-                counts = None
+            counts = None
+            if not any(t in body for t in self.special):
+                counts = self._ascii(body) if body.isascii() else self._other(body)
             if counts is None:
-                counts = self.encoded([body[:k] for k in range(1, len(body) + 1)]) if len(body) <= LONG else [0] * (len(body) - 1) + self.encoded([body])
-            step = np.diff(np.array([0, *counts], np.int64))
-            # a byte holds one change; a larger one (only in long pieces counted as a whole) is spread backwards
-            known = _as_bytes(step) + bytes(len(piece) - len(body))
+                counts = self._any(body)
+            known = np.zeros(len(piece), np.int32)
+            known[: len(body)] = np.diff(np.array([0, *counts], np.int64))
             if len(piece) <= 64:
                 if len(self.pieces) > CACHE:
                     self.pieces.clear()
@@ -378,10 +414,89 @@ class PrefixCounter:
             before += own[-1]
         return out if len(out) == len(body) else None
 
+    def _any(self, body: str) -> list[int]:
+        """Counts of every prefix of a piece, whatever it holds."""
+        out: list[int] = []
+        start = before = 0
+        while True:
+            at, less = min(((body.index(t, start), -len(t)) for t in self.special if t in body[start:]), default=(len(body) + 1, 0))
+            own = self._plain(body[start : at - less - 1])  # up to the last character of the special string, plain text
+            out += [before + c for c in own]
+            if at > len(body):
+                return out
+            before += 1 + (own[at - start - 1] if at > start else 0)
+            out.append(before)
+            start = at - less
+
+    def _normal(self, part: str) -> str:
+        if (known := self.normal.get(part)) is None:
+            known = self.library.normalizer.normalize_str(part)
+            if len(part) <= 8:
+                if len(self.normal) > CACHE:
+                    self.normal.clear()
+                self.normal[part] = known
+        return known
+
+    def _plain(self, text: str) -> list[int]:
+        """Counts of every prefix of a text without special strings, part by part."""
+        if not text:
+            return []
+        starts = [k for k, c in enumerate(text) if not k or (c not in joining() and unicodedata.category(c) != "Cn")]
+        parts = [self._normal(text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+        whole = _Counted(self, "".join(parts))
+        out: list[int] = []
+        done = 0
+        for a, b, part in zip(starts, [*starts[1:], len(text)], parts, strict=True):
+            for k in range(a + 1, b + 1):
+                out.append(whole.up_to(done, part if k == b else self._normal(text[a:k])))
+            done += len(part)
+        return out
+
     def index(self, text: str) -> tuple[bytes, int]:
         return self.indexes([text])[0]
 
 
+class _Counted:
+    """A normalized text, its tokens' counts at every character, and the states to go on from."""
+
+    def __init__(self, of: PrefixCounter, text: str):
+        self.of, self.text = of, text
+        self.counts, self.starts, self.states = [0], [], []
+        for letters, (s, e) in of.library.pre_tokenizer.pre_tokenize_str(text):
+            before = self.counts[-1]
+            self.counts += [before] * (s + 1 - len(self.counts))
+            last, number = [""], [0]
+            own = of.table.grow(letters, last, number)
+            ends = np.cumsum([len(c.encode()) for c in text[s:e]]).tolist()
+            own = [own[k - 1] for k in ends]
+            if text[s] == "'" and e - s > 1 and text[s + 1].isalpha():
+                own = of._contraction(text[s:e], own)
+            self.counts += [before + c for c in own]
+            self.starts.append(s)
+            self.states.append((letters, last, number))
+        self.counts += [self.counts[-1]] * (len(text) + 1 - len(self.counts))
+
+    def up_to(self, n: int, end: str) -> int:
+        """Tokens of text[:n] with ``end`` after it."""
+        if self.text.startswith(end, n):
+            return self.counts[n + len(end)]
+        k = bisect.bisect_right(self.starts, n - 1) - 1
+        split = self.of.library.pre_tokenizer.pre_tokenize_str
+        if k >= 0 and n - self.starts[k] > 8 and split(self.text[n - 2 : n])[0][1] == (0, 2):
+            # a long run of letters or of signs: what goes on with it, then the rest
+            run = "a" if split("a" + self.text[n - 1])[0][1] == (0, 2) else "!"
+            (head, _), *rest = split(run + end)
+            letters, last, number = self.states[k]
+            done = len(self.text[self.starts[k] : n].encode())
+            total = self.counts[self.starts[k]] + self.of.table.count_on(letters[:done], last, number, head[1:])
+        else:
+            if k > 0 and self.text[self.starts[k - 1] : self.starts[k]] == "'":
+                k -= 1  # with a letter it may become one token
+            at = self.starts[k] if k >= 0 else 0
+            total, rest = self.counts[at], split(self.text[at:n] + end)
+        return total + sum(self.of.table.counts(letters)[-1] for letters, _ in rest)
+
+
 def _by_character(steps: bytes, raw: bytes) -> bytes:
     """Changes at the bytes of a word, summed up by character."""
     out, total = bytearray(), 0
@@ -393,22 +508,18 @@ def _by_character(steps: bytes, raw: bytes) -> bytes:
     return bytes(out)
 
 
-def _as_bytes(step: np.ndarray) -> bytes:
-    step = step.copy()
-    for k in range(len(step) - 1, 0, -1):
-        if -128 <= step[k] <= 127:
-            if not (step[:k] > 127).any():
-                break
-            continue
-        over = step[k] - max(-128, min(127, int(step[k])))
-        step[k] -= over
-        step[k - 1] += over
-    return step.astype(np.int8).tobytes()
+def _packed(steps: bytes | np.ndarray) -> bytes:
+    """Changes in as few bytes each as they need, of which the first byte tells the number."""
+    if not isinstance(steps, bytes):
+        kind = next(t for t in (np.int8, np.int16, np.int32) if not len(steps) or np.iinfo(t).min <= steps.min() <= steps.max() <= np.iinfo(t).max)
+        return zlib.compress(bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes(), 1)
+    return zlib.compress(b"\x01" + steps, 1)
 
 
 def prefix_counts(index: bytes) -> np.ndarray:
     """Tokens of the first 1, 2, ... characters."""
-    return np.cumsum(np.frombuffer(zlib.decompress(index), np.int8), dtype=np.int64)
+    raw = zlib.decompress(index)
+    return np.cumsum(np.frombuffer(raw, f"i{raw[0]}", offset=1), dtype=np.int64)
 
 
 def tokens_at(index: bytes, chars: int) -> int:
