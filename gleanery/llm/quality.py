@@ -4,13 +4,16 @@ Counts of each text are turned into a vector of ``N_DIMS`` statistics. For
 every language and source a minimum covariance determinant (MCD) estimate of
 centre and scatter is found by concentration steps over all rows: take the
 share ``SUPPORT`` of rows nearest to the present estimate, estimate anew,
-repeat. Two deterministic starts run side by side (scatter about the median,
-and about a median of rank-like scores); the one that ends with the smaller
-determinant counts. Rows whose Mahalanobis distance is over the cutoff fail.
+repeat, ``STEPS`` times. Two deterministic starts run side by side (about the
+medians, with the median deviations as scatter, and with the floors as scatter);
+the one that ends with the smaller determinant counts. Rows whose Mahalanobis
+distance is over the cutoff fail.
 
 Quantiles come from histograms of fixed bins, which merge exactly, so the
 result does not depend on how rows are dealt out. Groups under ``MIN_ROWS``
 use their language's estimate, and languages under it that of all rows.
+Estimates are broadcast where there are ``MANY`` groups at most; with more, rows
+meet theirs by a join that leaves the rows of large groups where they are.
 
 DataFrame operations only.
 
@@ -25,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm._shared import SPACE_CHARS, cut, row_keys, without, words
+from gleanery.llm._shared import SPACE_CHARS, cut, cut_with, drop, join_hot, row_keys, without, words
 
 WINDOW_WORDS, SYMBOLS = 8, "#*$%&|<>"
-SUPPORT, STEPS, MIN_ROWS = 0.75, 5, 50
+SUPPORT, STEPS, MIN_ROWS, MANY = 0.75, 5, 50, 10_000
 #: Least standard deviation of each statistic, and the squared distance beyond
 #: which a row fails (for 5 normal statistics one row in some 10**12 does). Eight
 #: floors are less than each statistic can be off: x2 is under 0.548 after the
@@ -137,18 +140,27 @@ def _bin(d2: Column) -> Column:
 
 
 def group_names(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """lang, source, g: the group whose estimate these rows use."""
+    """lang, source, n, g: the group whose estimate these n rows use."""
     per = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     wide = F.sum("n").over(Window.partitionBy("lang"))
-    return per.select("lang", "source", F.when(F.col("n") >= min_rows, F.concat(F.lit("s|"), "lang", F.lit("|"), "source")).when(wide >= min_rows, F.concat(F.lit("l|"), "lang")).otherwise(F.lit("all")).alias("g"))
+    return per.select("lang", "source", "n", F.when(F.col("n") >= min_rows, F.concat(F.lit("s|"), "lang", F.lit("|"), "source")).when(wide >= min_rows, F.concat(F.lit("l|"), "lang")).otherwise(F.lit("all")).alias("g"))
+
+
+def _meet(rows: DataFrame, few: DataFrame, keys: list[str], sizes: DataFrame, groups: int, total: int) -> DataFrame:
+    """``rows`` join ``few``, which has some rows for each g, of which there are ``groups`` with ``sizes`` (g, rows)."""
+    if groups <= MANY:
+        return rows.join(F.broadcast(few), keys)
+    return join_hot(rows, few.join(sizes, "g"), keys, total, "rows").drop("rows")
 
 
 def mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """g, m, l, scale: the estimate of each group in ``rows`` (g and the statistics)."""
-    # start 0: floors as scatter about the medians; start 1: the same with half the pull of far rows
+    sizes, seen = cut_with(rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows")), "sizes", groups=F.count(F.lit(1)), total=F.coalesce(F.sum("rows"), F.lit(0)))
+    meet = lambda own, few, keys: _meet(own, few, keys, sizes, seen["groups"], N_DIMS * seen["total"])
+    # start 0: median deviations as scatter about the medians; start 1: the floors
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(x).alias("x")) for i, x in enumerate(X)])).alias("v")).select("g", "v.*")
-    mid = _quantile(long, ["g", "d"], F.floor(F.col("x") * 256), 0.5).select("g", "d", ((F.col("bin") + 0.5) / 256).alias("mid"))
-    off = long.join(mid, ["g", "d"]).withColumn("off", F.abs(F.col("x") - F.col("mid")))
+    mid = cut(_quantile(long, ["g", "d"], F.floor(F.col("x") * 256), 0.5).select("g", "d", ((F.col("bin") + 0.5) / 256).alias("mid")), "middles")
+    off = meet(long, mid, ["g", "d"]).withColumn("off", F.abs(F.col("x") - F.col("mid")))
     mad = _quantile(off, ["g", "d"], F.floor(F.col("off") * 256), 0.5).select("g", "d", ((F.col("bin") + 1) / 256 * 1.4826).alias("mad"))
     both = mid.join(mad, ["g", "d"]).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("d", "mid", "mad"))).alias("v"))
     zero = F.lit(0.0)
@@ -158,16 +170,17 @@ def mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFr
     floor = F.array(*[F.lit(v) for v in FLOORS])
     now = now.select("g", F.explode(F.array(F.struct(F.lit(0).alias("start"), m.alias("m"), diag(lambda i: F.greatest(F.col("v")[i]["mad"], floor[i])).alias("l")), F.struct(F.lit(1).alias("start"), m.alias("m"), diag(lambda i: floor[i]).alias("l")))).alias("e")).select("g", "e.*")
     for _ in range(steps):
-        seen = rows.join(now, "g").withColumn("bin", _bin(_distance2()))
-        near = _quantile(seen, ["g", "start"], F.col("bin"), support).withColumnRenamed("bin", "most")
-        seen = seen.select("g", "start", "bin", *X).join(near, ["g", "start"]).where(F.col("bin") <= F.col("most"))
-        now = cut(_moments(seen, ["g", "start"]), "mcd")
+        seen_rows = meet(rows, now, ["g"]).withColumn("bin", _bin(_distance2()))
+        near = _quantile(seen_rows, ["g", "start"], F.col("bin"), support).withColumnRenamed("bin", "most")
+        seen_rows = meet(seen_rows.select("g", "start", "bin", *X), near, ["g", "start"]).where(F.col("bin") <= F.col("most"))
+        old, now = now, cut(_moments(seen_rows, ["g", "start"]), "mcd")
+        drop(old)
     size = F.lit(0.0)
     for i in range(N_DIMS):
         size = size + F.log(F.col("l")[_at(i, i)])
     best = now.groupBy("g").agg(F.min(F.struct(size.alias("det"), F.col("start"), "m", "l")).alias("b")).select("g", "b.m", "b.l")
-    middle = _quantile(rows.join(best, "g"), ["g"], _bin(_distance2()), 0.5)
-    return cut(best.join(middle, "g").select("g", "m", "l", F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 1) / 16.0) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "estimate")
+    middle = _quantile(meet(rows, best, ["g"]), ["g"], _bin(_distance2()), 0.5)
+    return cut(best.join(middle, "g").select("g", "m", "l", F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 1) / 16.0) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")).join(sizes, "g"), "estimate")
 
 
 def _vectors(named: DataFrame) -> DataFrame:
@@ -184,10 +197,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     keys = row_keys(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *[c.alias(k) for k, c in keys.items()], name(lang_col).alias("lang"), name(source_col).alias("source"))
     rows = counts(rows, "__text").drop("__text").withColumns(statistics()).withColumn("base_failed", base_failed())
-    rows = cut(rows, "counts")
-    named = rows.join(group_names(rows, min_rows), ["lang", "source"])
-    vectors = cut(_vectors(named.where(~F.col("base_failed"))), "vectors")
-    out = named.join(mcd(vectors), "g", "left").withColumn("distance2", _distance2() / F.col("scale"))
+    rows, seen = cut_with(rows, "counts", total=F.count(F.lit(1)))
+    names, found = cut_with(group_names(rows, min_rows), "groups", n=F.count(F.lit(1)))
+    named = rows.join(F.broadcast(names), ["lang", "source"]) if found["n"] <= MANY else join_hot(rows, names, ["lang", "source"], seen["total"], "n")
+    named = named.drop("n")
+    estimates, made = cut_with(mcd(cut(_vectors(named.where(~F.col("base_failed"))), "vectors")), "estimates", groups=F.count(F.lit(1)))
+    out = named.join(F.broadcast(estimates.drop("rows")) if made["groups"] <= MANY else estimates.drop("rows"), "g", "left").withColumn("distance2", _distance2() / F.col("scale"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)).drop(*X, "m", "l", "scale", "g", "lang", "source")
 
 
