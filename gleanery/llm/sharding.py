@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots.
 
-A record's key is hashed into one of thousands of slots, for good. What can
+A record's key (its id and its text's checksum) is hashed into one of thousands
+of slots, for good. What can
 change is the small map from slot to shard: it is made from the bytes in each
 slot, stored under a version, and edited (few slots moved) when the load or
 the number of shards changes. Data never has to be hashed anew.
@@ -8,8 +9,9 @@ the number of shards changes. Data never has to be hashed anew.
 Law: ``bytes`` - shards hold near equal bytes. A record larger than a fair
 share cannot be split, so then its shard is the largest.
 
-Edge cases: a null id hashes like any other value; a null text has no bytes
-(size 1, crc 0); repeated rows share a slot and get places of their own;
+Edge cases: rows with a null id or one id are told apart by their texts; a null
+text has no bytes (size 1, crc 0); rows that repeat a row share its slot, as one
+key cannot be split, and get places of their own;
 an empty table gives an empty result and an even map; extra columns are kept
 by ``place`` unless they have the name of one it adds, then they are replaced.
 """
@@ -102,7 +104,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """Adds size, text_crc32, vslot; with ``keep`` beside the table's own columns, else beside the id."""
     new = {"size", "text_crc32", "vslot", "shard", "slot", "law", "grown_shard", "__cell", "__first", "__n"}
     own = [c for c in docs.columns if c not in new] if keep else [id_col]
-    return docs.select(*own, size_of(F.col(text_col)).alias("size"), crc_of(F.col(text_col)).alias("text_crc32"), slot_of(F.col(id_col), n_slots=n_slots).alias("vslot"))
+    return docs.select(*own, size_of(F.col(text_col)).alias("size"), crc_of(F.col(text_col)).alias("text_crc32"), slot_of(F.col(id_col), crc_of(F.col(text_col)), n_slots=n_slots).alias("vslot"))
 
 
 def place(rows: DataFrame, shard_map: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -111,7 +113,7 @@ def place(rows: DataFrame, shard_map: DataFrame, id_col: str = "doc_id") -> Data
     Places are counted by cell: the counts of all cells (``N_CELLS`` rows a
     slot) give each cell its first place, so that no task holds a shard.
     """
-    rows = rows.withColumn("__cell", cell_of(F.col(id_col)))
+    rows = rows.withColumn("__cell", cell_of(F.col(id_col), F.col("text_crc32")))
     counts = rows.groupBy("vslot", "__cell").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(shard_map), "vslot")  # one row a slot
     before = Window.partitionBy("shard").orderBy("vslot", "__cell").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("vslot", "__cell", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
