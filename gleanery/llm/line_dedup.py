@@ -6,7 +6,8 @@ the document and map task are found before anything is sorted, so a line that
 a third of all documents hold gives ``N_SALTS`` rows at most. These are
 range-partitioned by hash with a secondary sort by document and position, and
 one pass over each range streams out the hashes that several documents hold
-with the first of these. Every occurrence elsewhere is dropped.
+with the first of these. Every occurrence elsewhere is dropped; a line with very
+many of them meets its owner where its occurrences are.
 
 The result is not text but each document's keep bitmap, compressed to its runs
 of kept lines; ``apply_runs`` turns text and bitmap into the kept text.
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm._shared import KEYS, SPACE_CHARS, ascii_lower, cut, join_few, row_keys
+from gleanery.llm._shared import KEYS, SPACE_CHARS, ascii_lower, cut, cut_with, join_few, join_hot, row_keys
 
 N_SALTS, MIN_CHARS = 64, 10
 
@@ -42,14 +43,15 @@ def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shared_keys(lines: DataFrame) -> DataFrame:
-    """h1, h2, owner: the hashes that two ids or more hold, and the smallest of them."""
+    """h1, h2, owner, m: the hashes that two ids or more hold, the smallest of them, and how many lines have each."""
     salt = F.pmod(F.xxhash64("__gl_id"), F.lit(N_SALTS))
-    firsts = lines.groupBy("h1", "h2", salt.alias("salt")).agg(F.min(F.struct("__gl_id", "pos")).alias("first"), F.max("__gl_id").alias("last"))
-    firsts = firsts.select("h1", "h2", F.col("first.__gl_id").alias("id"), F.col("first.pos").alias("pos"), "last")
+    firsts = lines.groupBy("h1", "h2", salt.alias("salt")).agg(F.min(F.struct("__gl_id", "pos")).alias("first"), F.max("__gl_id").alias("last"), F.count(F.lit(1)).alias("m"))
+    firsts = firsts.select("h1", "h2", F.col("first.__gl_id").alias("id"), F.col("first.pos").alias("pos"), "last", "m")
     ranged = firsts.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "id", "pos")
     stream = Window.partitionBy("h1", "h2").orderBy("id", "pos")
-    ranged = ranged.withColumns({"n": F.row_number().over(stream), "next": F.lead("id").over(stream)})
-    return ranged.where((F.col("n") == 1) & ((F.col("last") > F.col("id")) | F.col("next").isNotNull())).select("h1", "h2", F.col("id").alias("owner"))
+    whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # N_SALTS rows at most
+    ranged = ranged.withColumns({"n": F.row_number().over(stream), "next": F.lead("id").over(stream), "m": F.sum("m").over(whole)})
+    return ranged.where((F.col("n") == 1) & ((F.col("last") > F.col("id")) | F.col("next").isNotNull())).select("h1", "h2", F.col("id").alias("owner"), "m")
 
 
 def keep_runs(dropped: Column, n: Column) -> Column:
@@ -62,11 +64,16 @@ def keep_runs(dropped: Column, n: Column) -> Column:
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The row keys and dropped (sorted positions) of the texts that lose a line."""
-    lines = cut(hashed_lines(docs, id_col, text_col, min_chars), "lines")
-    hits = lines.join(shared_keys(lines), ["h1", "h2"]).where(F.col("__gl_id") != F.col("owner"))
+    lines, seen = cut_with(hashed_lines(docs, id_col, text_col, min_chars), "lines", n=F.count(F.lit(1)))
+    hits = join_hot(lines, cut(shared_keys(lines), "shared"), ["h1", "h2"], seen["n"]).where(F.col("__gl_id") != F.col("owner"))
     return hits.groupBy(*KEYS).agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
+def runs_text(runs: Column) -> Column:
+    """A bitmap to read: first place and length of each run, as in ``0+3,5+2``."""
+    return F.array_join(F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit("+"), r["n"].cast("string"))), ",")
+
+
 def apply_runs(lines: Column, runs: Column) -> Column:
     return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["n"]))), "\n")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _SPACE = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+#: Words more than a window has, within which op3's proximity matches lie.
+SLOP = 4
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL: dict[str, str] = {}
@@ -18,10 +20,19 @@ dw AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS g
        FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 m AS (SELECT doc_id, item, dw.n, k FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
-c AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+c AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1),
+v AS (SELECT n, list_sort(list_distinct(string_split(g, ' '))) AS terms, list_distinct(list(item)) AS items, row_number() OVER () AS v FROM iw GROUP BY 1, 2),
+-- the term of a window that fewest document words are, and all its terms around each place of that
+q AS (SELECT word, count(*) AS often FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1),
+vt AS (SELECT v, n, len(terms) AS need, unnest(terms) AS word FROM v),
+x AS (SELECT v, n, need, arg_min(vt.word, (coalesce(often, 0), vt.word)) AS word, min(coalesce(often, 0)) AS least FROM vt LEFT JOIN q USING (word) GROUP BY 1, 2, 3 HAVING least > 0),
+y AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+z AS (SELECT DISTINCT v, doc_id, b AS begin FROM (SELECT x.v, n, need, doc_id, w, unnest(range(greatest(1, p - n - {SLOP} + 1), p + 1)) AS b FROM x JOIN y USING (word)) JOIN v USING (v)
+      WHERE list_has_all(w[b : b + v.n + {SLOP} - 1], terms)),
+o AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, unnest(items) AS item FROM z JOIN v USING (v)) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 SQL["op6_curriculum"] = f"""
@@ -36,9 +47,13 @@ o AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_i
 e AS (SELECT o.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, target - whole * source_size AS rest, size > 0 AND before + size <= target - whole * source_size AS fits FROM e),
 g AS (SELECT *, rest - coalesce(max(CASE WHEN fits THEN before + size END) OVER (PARTITION BY source), 0) AS gap FROM f),
-n AS (SELECT doc_id AS chosen FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), h, doc_id) AS k FROM g WHERE NOT fits AND size > 0 AND whole < 3 AND abs(size - gap) < gap) WHERE k = 1)
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN size * (whole + (fits OR chosen IS NOT NULL)::BIGINT) ELSE 0 END::BIGINT AS taken
-FROM g LEFT JOIN n ON doc_id = chosen
+n AS (SELECT doc_id AS chosen FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), h, doc_id) AS k FROM g WHERE NOT fits AND size > 0 AND whole < 3 AND abs(size - gap) < gap) WHERE k = 1),
+k AS (SELECT g.*, CASE WHEN size > 0 THEN whole + (fits OR chosen IS NOT NULL)::BIGINT ELSE 0 END::BIGINT AS n_takes, [-0.5, 0.0, 0.5][(rank - 1) % 3 + 1]::DOUBLE AS slope,
+             least((before + size / 2.0::DOUBLE) / target, 1.0::DOUBLE) AS share
+      FROM g LEFT JOIN n ON doc_id = chosen JOIN r ON g.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, size * n_takes AS taken, n_takes,
+       CASE WHEN n_takes > 0 THEN CASE WHEN slope = 0 THEN share ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * share, 0)) - (1 - slope)) / (2 * slope) END END AS first_position
+FROM k
 """
 
 SQL["op7_line_bitmaps"] = f"""
@@ -48,8 +63,10 @@ y AS (SELECT *, {_LOW.format(f"trim(line, {_WHITE})")} AS key FROM l),
 o AS (SELECT key, min(doc_id) AS owner FROM y WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
 z AS (SELECT doc_id, k, line, coalesce(doc_id <> owner, false) AS gone FROM y LEFT JOIN o USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM z GROUP BY 1
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256, coalesce(any_value(runs), '') AS kept_runs
+FROM z LEFT JOIN (SELECT doc_id, string_agg(first || '+' || n, ',' ORDER BY first) AS runs
+     FROM (SELECT doc_id, min(k) - 1 AS first, count(*) AS n FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM z WHERE NOT gone) GROUP BY doc_id, run)
+     GROUP BY 1) USING (doc_id) GROUP BY 1
 """
 
 SQL["op8_one_permutation"] = f"""

@@ -32,8 +32,9 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=oracles.SLOP)
+    items = [F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")]
+    return found.select("doc_id", "n_words", "n_hit", *items, (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"))
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +48,13 @@ def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.assign(table(spark, sf_dir, "documents"))
-    out = out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = out.withColumn("first_position", F.get("positions", F.lit(0))).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.col("n_takes").cast("long").alias("n_takes"), "first_position")
 
 
 def op7_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), line_dedup.runs_text(F.col("keep")).alias("kept_runs"))
 
 
 def op8_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:

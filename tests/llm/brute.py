@@ -117,3 +117,57 @@ def chat(turns):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         out[conv] = (len(rows), sha("".join(f"{r}\n{t}\n" for _, r, t in rows)), len(loss), sha(loss))
     return out
+
+
+def outliers(rows):
+    """id -> (squared distance, kept) by the estimate of each group; rows: (id, text, lang, source)."""
+    import math
+
+    import numpy as np
+
+    from gleanery.llm import quality as Q
+
+    counts = {r[0]: text_counts(r[1]) for r in rows}
+    vector = {}
+    for doc, text, _, _ in rows:
+        n, chars, symbols, dup, again, _ = counts[doc]
+        upper = sum("A" <= c <= "Z" for w in SPACE.findall(text or "") for c in w)
+        lines = sum(bool(SPACE.search(x)) for x in (text or "").split("\n"))
+        vector[doc] = np.array([math.log((chars + 250) / (n + 50)), math.log1p(100 * symbols / (chars + 200)), math.sqrt(again / (n + 50)), math.sqrt(dup / (lines + 5)), math.sqrt(upper / (chars + 200))])
+    good = [r for r in rows if not counts[r[0]][5]]
+    sources, langs = defaultdict(int), defaultdict(int)
+    for _, _, lang, source in rows:
+        sources[lang, source] += 1
+        langs[lang] += 1
+    name = lambda r: ("s", r[2], r[3]) if sources[r[2], r[3]] >= Q.MIN_ROWS else ("l", r[2]) if langs[r[2]] >= Q.MIN_ROWS else ("all",)
+    floors = np.array(Q.FLOORS)
+
+    def quantile(bins, share):
+        return sorted(bins)[math.ceil(len(bins) * share) - 1]
+
+    def distances(x, m, low):
+        return [float(sum(v * v for v in np.linalg.solve(low, y - m))) for y in x]
+
+    bin_ = lambda d: math.floor(16 * math.log2(d + 1e-9))
+    estimate = {}
+    for g in {name(r) for r in good}:
+        x = np.array([vector[r[0]] for r in good if (g[0] == "s" and name(r) == g) or (g[0] == "l" and r[2] == g[1]) or g[0] == "all"])
+        mid = np.array([(quantile([math.floor(v * 256) for v in col], 0.5) + 0.5) / 256 for col in x.T])
+        mad = np.array([(quantile([math.floor(abs(v - c) * 256) for v in col], 0.5) + 1) / 256 * 1.4826 for col, c in zip(x.T, mid, strict=True)])
+        ends = []
+        for k, scale in enumerate((np.maximum(mad, floors), floors)):
+            m, low = mid, np.diag(scale)
+            for _ in range(Q.STEPS):
+                bins = [bin_(d) for d in distances(x, m, low)]
+                near = x[np.array(bins) <= quantile(bins, Q.SUPPORT)]
+                m, low = near.mean(axis=0), np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(floors**2))
+            ends.append((np.log(np.diag(low)).sum(), k, m, low))
+        _, _, m, low = min(ends, key=lambda e: e[:2])
+        middle = quantile([bin_(d) for d in distances(x, m, low)], 0.5)
+        estimate[g] = m, low, max(2 ** ((middle + 1) / 16) / Q.CHI2_MEDIAN, 1.0)
+    out = {}
+    for r in rows:
+        m, low, scale = estimate.get(name(r), (None, None, None))
+        d = distances([vector[r[0]]], m, low)[0] / scale if m is not None else None
+        out[r[0]] = d, not counts[r[0]][5] and (d is None or d <= Q.CUTOFF)
+    return out

@@ -74,7 +74,7 @@ def test_decontaminate(docs, spark, empty):
     assert decontaminate.match(empty, bench).count() == 0
     assert decontaminate.match(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     index = decontaminate.build_index(docs)
-    blocks = decontaminate.search(index, bench, block_bytes=40)
+    blocks = decontaminate.search(index, bench, block_words=7)
     one = decontaminate.search(index, bench)
     same(blocks.select("id", "n_words", "hits", "items").collect(), one.select("id", "n_words", "hits", "items").collect())
     clean = decontaminate.keep_clean(docs, bench)
@@ -89,6 +89,38 @@ def test_proximity(docs, spark):
     assert exact.where(F.size("items") > 0).count() == 0
 
 
+def test_decontaminate_on_random_words(spark, monkeypatch):
+    """Few words, so that much matches: parts of items, blocks of parts, repeated rows, words that chunks cut, near matches."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice(["", "1", "É"]) for _ in range(n))
+    texts = [(i, some(rng.randrange(60))) for i in range(80)]
+    long = some(300)
+    texts += [(100, long), (101, "x" * 3000 + " " + long)]
+    items = [(f"i{k}", some(rng.choice([1, 2, 3, 12]))) for k in range(20)] + [("long", long[5:]), ("i3", some(4)), ("word", "x" * 3000)]
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 50)
+    monkeypatch.setattr(decontaminate.B, "CHUNK", 1000)
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    index = decontaminate.build_index(frame.unionByName(frame.where("doc_id = 100")))
+    for words in (10**6, 60):
+        found = decontaminate.search(index, bench, slop=3, block_words=words).collect()
+        got = {(r["id"], r["n_words"], len(r["hits"]), len(r["items"]), bool(r["hits"])) for r in found}
+        assert got == {(i, n, h, k, bad) for i, n, h, k, _, bad in brute.decontaminate(texts, items)}
+        assert len(found) == len(texts) + 1
+        want = {}
+        for i, text in texts:
+            w = brute.ALNUM.findall(brute.low(text))
+            for item, x in items:
+                x = brute.ALNUM.findall(brute.low(x))
+                n = min(10, len(x))
+                windows = [set(x[k : k + n]) for k in range(len(x) - n + 1)]
+                if any(v <= set(w[k : k + n + 3]) for v in windows for k in range(len(w))):
+                    want.setdefault(i, set()).add(item)
+        assert {r["id"]: set(r["near"]) for r in found if r["near"]} == want
+
+
 def test_quality_counts(docs, empty, odd):
     got = quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     same(got.collect(), [(i, *brute.text_counts(t)) for i, t in TEXTS])
@@ -127,6 +159,21 @@ def test_quality_rejects_outliers_of_each_kind(spark):
     assert {r[0] for r in out.where("kept").select("doc_id").collect()} == {i for i, *_ in plain}
 
 
+@pytest.mark.parametrize("many", [quality.MANY, 0])
+def test_quality_verdict(spark, sf_dir, monkeypatch, many):
+    """Every distance and verdict, with estimates broadcast and joined; sources and languages of all sizes, equal rows, a group without spread."""
+    monkeypatch.setattr(quality, "MANY", many)
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = [(5000 + k, "one text that a whole source repeats, with enough words to pass all of the base rules of quality here", "en", "copies") for k in range(60)]
+    more += [(6000 + k, " ".join(f"w{(k * j) % 37}$" for j in range(40)), None if k % 2 else "xx", "few") for k in range(6)]
+    frame = frame.unionByName(spark.createDataFrame(more, frame.schema))
+    want = brute.outliers([tuple(r) for r in frame.collect()])
+    got = {r["doc_id"]: r for r in quality.judge(frame).collect()}
+    assert {d: r["kept"] for d, r in got.items()} == {d: kept for d, (_, kept) in want.items()}
+    assert all((r["distance2"] is None) == (want[d][0] is None) and (r["distance2"] is None or r["distance2"] == pytest.approx(want[d][0], rel=1e-6, abs=1e-9)) for d, r in got.items())
+    assert 0 < sum(not kept for _, kept in want.values()) < len(want) / 2
+
+
 def test_line_dedup(docs, empty, odd):
     got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
     same(got.collect(), brute.line_dedup(TEXTS))
@@ -172,6 +219,25 @@ def test_near_dup_reopens_buckets(spark):
     same(got.collect(), brute.near_dup(rows))
 
 
+def least_linked(texts):
+    """The links between texts and the least place that links reach, by all pairs."""
+    import numpy as np
+
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    place = {g: k for k, g in enumerate({g for s in sets for g in s})}
+    has = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[g] for g in s]] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    want = np.arange(len(texts))
+    while True:
+        least = np.where(link, want[None, :], len(texts)).min(axis=1)
+        if (least == want).all():
+            return link, want
+        want = least
+
+
 def test_near_dup_finds_the_hub_of_a_crowd(spark):
     """2000 edited copies that are linked through the one text in their middle only."""
     import random
@@ -186,24 +252,46 @@ def test_near_dup_finds_the_hub_of_a_crowd(spark):
         for k in rng.sample(range(22), 6) if n != 1000 else []:
             w[k * 10 + rng.randrange(5)] = f"n{rng.randrange(10**6)}"
         rows.append((n, " ".join(w)))
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(216)} for _, t in rows]
-    place = {g: k for k, g in enumerate({g for s in sets for g in s})}
-    has = np.zeros((len(sets), len(place)), np.float32)
-    for k, s in enumerate(sets):
-        has[k, [place[g] for g in s]] = 1
-    both, n = has @ has.T, has.sum(axis=1)
-    link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
-    want = np.arange(len(rows))
-    while True:  # the least id that links reach
-        least = np.where(link, want[None, :], len(rows)).min(axis=1)
-        if (least == want).all():
-            break
-        want = least
+    link, want = least_linked([t for _, t in rows])
     assert (link[1000].sum(), np.delete(np.delete(link, 1000, 0), 1000, 1).sum() - 2000) == (2001, 0)
     got = near_dup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id")
     same(got.collect(), enumerate(want.tolist()))
 
 
+def test_near_dup_in_a_crowd_of_like_texts(spark):
+    """1500 texts of the same 40 blocks, about 28 in each: all meet in buckets, few are linked."""
+    import random
+
+    rng = random.Random(8)
+    blocks = [" ".join(f"b{k}x{j}" for j in range(20)) for k in range(40)]
+    texts = [" ".join(b for b in blocks if rng.random() < 0.7) for _ in range(1500)]
+    link, want = least_linked(texts)
+    merges = len(texts) - len(set(want.tolist()))
+    assert (link.sum() - len(texts)) // 2 > 100 and 100 < merges < 1000
+    got = near_dup.cluster(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "component_id")
+    same(got.collect(), enumerate(want.tolist()))
+
+
+def test_near_dup_blocks_of_a_bucket(spark, monkeypatch):
+    """Buckets split into tiers and blocks give the same links; so do rows without an id, which are one document."""
+    import random
+
+    rng = random.Random(9)
+    blocks = [" ".join(f"b{k}x{j}" for j in range(9)) for k in range(40)]
+    texts = [" ".join(b for b in blocks if rng.random() < 0.4 + 0.5 * (n % 7) / 7) for n in range(300)]
+    _, want = least_linked(texts)
+    monkeypatch.setattr(near_dup, "BLOCK", 1 << 13)
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dup.cluster(frame).select("doc_id", "component_id")
+    same(got.collect(), enumerate(want.tolist()))
+    nulls = frame.where("doc_id % 3 = 0").selectExpr("cast(null as long) doc_id", "text")
+    got = near_dup.cluster(frame.where("doc_id % 3 > 0").unionByName(nulls))
+    assert got.count() == 300
+    root = dict(got.where("doc_id is not null").select("doc_id", "component_id").collect())
+    assert {r[0] for r in got.where("doc_id is null").select("component_id").collect()} == {min(root[d] for d in root if want[d] in set(want[::3]))}
+
+
 def test_near_dup_on_table(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = near_dup.cluster(frame).select("doc_id", "n_shingles", "component_id", "kept")
@@ -222,7 +310,7 @@ def test_spans(spark, empty, odd):
     got = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1]["text"] == texts[0][1] and got[3]["n_removed"] == 0 and got[5]["text"] == ""
     assert got[2]["text"] == "Another text begins in its own way, which is long. Then it goes on."
-    assert got[4]["text"] == "line one here\n" and got[4]["n_removed"] == 6
+    assert got[4]["text"] == "line one here\n" and got[4]["n_removed_words"] == 2 * len(passage.split())
     assert [got[k]["first_ids"] for k in (1, 2, 3, 4)] == [[], [1], [], [1]] and [got[k]["changed"] for k in (1, 2)] == [False, True]
     assert spans.remove_repeats(empty).count() == 0
     out = spans.remove_repeats(odd)
@@ -250,37 +338,50 @@ def brute_spans(docs):
 
     seen, cut = {}, {}
     for doc, text in sorted(docs):
-        sentences = []
+        words, firm, soft = [], set(), set()
         for line in (text or "").split("\n"):
-            own = []
             for w in re.findall(r"[^\x20\x09-\x0D]+", line):
-                own.append(w)
-                if re.search(r"[.!?][\"')\]}]?$", w):
-                    sentences.append(own)
-                    own = []
-            if own:
-                sentences.append(own)
-        pieces = []
-        for own in sentences:
-            pieces.append([])
-            for w in own:
-                pieces[-1].append(w)
-                if len(own) > spans.LONG and chosen(w) and w is not own[-1]:
-                    pieces.append([])
-        pieces = [p for p in pieces if p]
-        cut[doc] = sentences = [q for p in pieces for q in ([p[k : k + spans.STEP] for k in range(0, len(p), spans.STEP)] if len(p) > spans.LONG else [p])]
-        for i in range(len(sentences)):
-            j, n = i, len(sentences[i])
-            while j < len(sentences) and (j - i + 1 < spans.MIN_SENTENCES or n < spans.MIN_WORDS):
-                j += 1
-                n += len(sentences[j]) if j < len(sentences) else 0
-            if j < len(sentences):
-                seen.setdefault(tuple(brute.low(w) for s in sentences[i : j + 1] for w in s), []).append((doc, i, j))
+                words.append(w)
+                if re.search(r"[.!?][\"')\]}]?$", w) or chosen(w):
+                    firm.add(len(words))
+            soft.add(len(words))
+        firm |= {len(words)} - {0}
+        for lo, hi in zip([0, *sorted(firm)], sorted(firm), strict=False):
+            if hi - lo > spans.LONG:
+                firm |= set(range(lo + spans.STEP, hi, spans.STEP))
+        edges = [0, *sorted((firm | soft) - {0})]
+        cut[doc] = sentences = list(zip(edges, edges[1:], strict=False))
+        for i, (lo, _) in enumerate(sentences):
+            ends = sorted(e for e in firm if e > lo)
+            ends = [e for k, e in enumerate(ends) if k >= spans.MIN_SENTENCES - 1 and e - lo >= spans.MIN_WORDS]
+            if ends:
+                seen.setdefault(tuple(brute.low(w) for w in words[lo : ends[0]]), []).append((doc, i, edges.index(ends[0]) - 1))
     gone = defaultdict(set)
     for v in seen.values():
         for doc, i, j in sorted(v)[1:]:
             gone[doc] |= set(range(i, j + 1))
-    return [(d, len(s), len(gone[d]), sum(map(len, s)), sum(len(s[k]) for k in gone[d])) for d, s in cut.items()]
+    size = lambda x: x[1] - x[0]
+    return [(d, len(s), len(gone[d]), sum(map(size, s)), sum(size(s[k]) for k in gone[d])) for d, s in cut.items()]
+
+
+def test_spans_in_the_middle_and_wrapped(spark):
+    """Passages of 60 words that begin and end within sentences, wrapped in one text and not in the other."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) + ("." if rng.random() < 0.06 else "")
+    texts = []
+    for k in range(150):
+        passage = [word() for _ in range(60)]
+        wrapped = "\n".join(" ".join(passage[i : i + 7]) for i in range(0, 60, 7))
+        texts += [(2 * k, " ".join([*[word() for _ in range(33)], *passage, *[word() for _ in range(20)]])), (2 * k + 1, " ".join([word() for _ in range(12)]) + f" {wrapped} " + " ".join([word() for _ in range(40)]))]
+    texts += [(1000 + k, " ".join(word() for _ in range(200))) for k in range(100)]
+    got = spans.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"))
+    same(got.select("doc_id", "n_sentences", "n_removed", "n_words", "n_removed_words").collect(), brute_spans(texts))
+    removed = {r["doc_id"]: r["n_removed_words"] for r in got.collect()}
+    second = [removed[2 * k + 1] for k in range(150)]
+    assert sum(n > 0 for n in second) >= 149 and sum(second) >= 0.8 * 60 * 150
+    assert all(not n for d, n in removed.items() if d % 2 == 0 or d >= 1000)
 
 
 def test_spans_on_table(spark, sf_dir):
@@ -338,6 +439,25 @@ def test_prefixes_fuzz():
     check()
 
 
+def test_prefixes_of_long_pieces():
+    """Pieces of 600 to 5000 characters with marks to be composed, special strings, runs of signs, Hangul letters."""
+    import random
+
+    rng = random.Random(6)
+    bits = ["e\u0301", "a", "b", "\u0301\u0323", "<|endoftext|>", "<|endoftext|", "'", "'re", "re\u0301", "\u1112\u1161\u11ab", "!", "...", "7", "\u3000", "\u0130", "\u03a3", "\u00e9", "\U0001f469\u200d", "\u0378", "<|startoftext|>"]
+    own = tokens.counter(Q.tokenizer_path())
+    pieces = ["e\u0301ab" * 300, "x<|endoftext|>" + "abc" * 300, "z" + "\u0301\u0323\u0316" * 40, "!" * 700 + "\u0338" * 3 + "=\u0338" * 20]
+    pieces += ["".join(rng.choice(bits) for _ in range(n)) for n in (600, 1500, 2500)]
+    pieces += ["".join(rng.choice(bits[:k]) for _ in range(900)) for k in (1, 4, 8)] + ["".join(rng.choices(bits, k=12)) for _ in range(60)]
+    for piece in pieces:
+        text = f"Before {piece} after"
+        index, n = own.index(text)
+        got = tokens.prefix_counts(index)
+        cuts = sorted({*rng.sample(range(1, len(text) + 1), min(250, len(text))), len(text)})
+        assert [int(got[k - 1]) for k in cuts] == library_counts([text[:k] for k in cuts]), piece[:40]
+        assert n == got[-1] and len(got) == len(text)
+
+
 def test_sharding(docs, empty, odd, spark, tmp_path):
     for frame in (docs, odd):
         out = sharding.shard(frame, 3, keep=False)
@@ -356,6 +476,14 @@ def test_sharding(docs, empty, odd, spark, tmp_path):
     assert {"text", "lang", "shard", "slot"} <= set(kept.columns) and len(set(kept.columns)) == len(kept.columns)
 
 
+def test_sharding_without_ids(spark):
+    """Rows that share an id, or have none, are spread by their texts."""
+    frame = spark.createDataFrame([(None if k % 2 else 7, f"text number {k} " + "x" * (k % 9)) for k in range(4000)], "doc_id long, text string")
+    per = sharding.shard(frame, 8, keep=False).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    load = [r["b"] for r in per]
+    assert len(load) == 8 and max(load) <= 1.02 * sum(load) / 8
+
+
 def test_slot_map_versions(spark, tmp_path):
     load = {s: (s * 37) % 101 + 1 for s in range(512)}
     first = sharding.make_map(load, 8, 512)
