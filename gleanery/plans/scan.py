@@ -129,9 +129,8 @@ def scan_directory(spark: SparkSession, path: str, config: ScanConfig | None = N
 
     c = report.config
     phase()
-    issues, stats = walker.walk_issues(spark, path, c.exclude)
+    listed, issues, stats = walker.walk_parts(_kept(report, walker.walk_all(spark, path, c.exclude), True))
     report.sections |= {"walk_issues": issues, "walk_stats": stats}
-    listed = walker.list_files(spark, path, c.exclude)
     if stats.first()["n_files"] == 0:
         report.empty = True
         return report

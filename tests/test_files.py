@@ -94,6 +94,26 @@ def test_walk(spark, tree):
         walker.walk(str(tree / "doc.txt"))
 
 
+def test_walk_in_parts(spark, tmp_path, monkeypatch):
+    """Files, loops and counts are the same however the tree is dealt out; a directory whose name begins like another's is no ancestor."""
+    for name in ("a/b/one.txt", "a/bc/two.txt", "d/e/f/g/three.txt", "d/x.bin", "z/four.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "hollow").mkdir()
+    for link, target in (("a/bc/near", "a/b"), ("a/b/later", "a/bc"), ("d/e/up", "d"), ("z/back", "a"), ("a/b/z", "z"), ("d/out", "/usr")):
+        os.symlink(tmp_path / target, tmp_path / link)
+    os.symlink(tmp_path / "a/b", tmp_path / "a/bc/deep")
+    want = walker.walk(str(tmp_path), ("*.bin",))
+    loops = {os.path.relpath(p, tmp_path) for p, kind in want.issues}
+    assert loops == {"a/bc/near", "a/bc/deep", "d/e/up", "z/back"} and want.excluded == 1
+    for parts in (1, 5, 64):
+        monkeypatch.setattr(walker, "PARTS", parts)
+        files, issues, stats = walker.walk_parts(walker.walk_all(spark, str(tmp_path), ("*.bin",)))
+        assert sorted(r["relative_path"] for r in files.collect()) == sorted(f[1] for f in want.files)
+        assert sorted(tuple(r) for r in issues.collect()) == sorted(want.issues)
+        assert tuple(stats.first()) == (want.total_dirs, want.empty_dirs, 1, len(want.files), len(want.files))
+
+
 def test_health_of_files(report):
     got = {r["id"]: r["status"] for r in report["health"].collect()}
     want = {
