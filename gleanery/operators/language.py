@@ -28,22 +28,22 @@ SCRIPTS = {
 # The most frequent words of each language, in the order in which ties are
 # settled. A fuller table can be given wherever ``profiles`` is a parameter.
 LATIN_PROFILES = {
-    "English": "the of and to in is that for it with was are this from",
-    "Spanish": "de la que el en los se del las por un con una para es",
-    "French": "de la le et les des en un du une que est pour dans qui",
-    "German": "der die und in den von zu das mit sich des auf ist nicht ein",
-    "Portuguese": "de que e do da em um para com uma os no se na mais",
-    "Italian": "di che e la il un a per in una sono mi del non della",
-    "Dutch": "de het een van en in is dat op te zijn met voor niet aan",
-    "Swedish": "och det att i en jag hon som han med var sig om ett",
-    "Norwegian": "og i jeg det at en den til er som med han av ikke",
-    "Danish": "og i jeg det at en den til er som af med han ikke",
-    "Finnish": "ja on ei se oli että hän mutta kun niin ovat olla joka myös",
-    "Polish": "i w nie na z do to się że jest jak ale po co tak",
-    "Czech": "a se v na je že s z do i jako ale pro tak byl",
-    "Hungarian": "a az és hogy nem is egy ez van meg csak volt már de",
-    "Romanian": "și de la în a cu nu pe care este un o din mai",
-    "Turkish": "ve bir bu da de için ile çok gibi daha ama ne kadar olarak",
+    "English": "the of and to a in is that for it with was are this from on as at be by have not or but you",
+    "Spanish": "de la que el en y a los se del las un por con no una su para es al lo como más pero sus",
+    "French": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce avec",
+    "German": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus",
+    "Portuguese": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas ao",
+    "Italian": "di e il la che è un a per in una sono mi del non della le con si da dei alla più anche come",
+    "Dutch": "de van het een en in is dat op te zijn met voor niet aan er om ook als dan maar bij uit nog door",
+    "Swedish": "och i att det som en på är av för med den till inte har de om ett han men var jag sig från vi",
+    "Norwegian": "og i det er på til som en å for av at med de ikke den har jeg om et men var han fra vi",
+    "Danish": "og i at det er en til på de for af med som den der ikke har jeg et om men var han fra vi",
+    "Finnish": "ja on ei se oli että hän mutta kun niin ovat olla joka myös kuin tai jos vain mitä nyt sen hänen ole sitä voi",
+    "Polish": "i w nie na z do się to że jest jak ale po co tak od za o jego przez dla by tylko już ma",
+    "Czech": "a se v na je že s z do i to jako ale pro tak by o k za jsem co jeho ve které po",
+    "Hungarian": "a az és hogy nem is egy ez van meg csak volt már de ha mint el még vagy ki azt be kell lesz ezt",
+    "Romanian": "și de la în a cu nu pe care este un o din mai să au ce pentru sunt că fi se lui fost prin după",
+    "Turkish": "ve bir bu da de için ile çok gibi daha ama ne kadar olarak o var mi en sonra her ben olan değil ya ki",
 }
 OTHER_PROFILES = {"Cyrillic": ("Russian", "и в не на что он как это по но"), "Devanagari": ("Hindi", "के का में है की से को और पर यह"), "Arabic": ("Arabic", "في من على إلى أن هذا التي عن مع لا")}
 UNKNOWN, LATIN_UNKNOWN, MIXED = "Unknown", "Latin (Unknown)", "Mixed Script"
