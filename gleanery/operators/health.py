@@ -44,11 +44,15 @@ def begins(content: Column, *values: bytes) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def text_status() -> Column:
+    """The status of a text by the size rules, from columns text and size."""
+    return F.when(F.col("text").isNull(), "unreadable").when(F.col("size") == 0, "empty").when(F.col("size") <= NEAR_EMPTY, "near_empty").otherwise("ok")
+
+
 def text_health(corpus: DataFrame) -> DataFrame:
     """id, status, is_degraded of texts: the size rules, and over a tenth of replacement characters."""
-    lost = F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))
-    status = F.when(F.col("text").isNull(), "unreadable").when(F.col("size") == 0, "empty").when(F.col("size") <= NEAR_EMPTY, "near_empty").otherwise("ok")
-    return corpus.select("id", status.alias("status"), F.coalesce(lost > 0.1 * F.length("text"), F.lit(False)).alias("is_degraded"))
+    lost = F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    return corpus.select("id", text_status().alias("status"), F.coalesce(lost > 0.1 * F.length("text"), F.lit(False)).alias("is_degraded"))
 
 
 def file_health(files: DataFrame) -> DataFrame:

@@ -85,14 +85,14 @@ def _best(pairs: list[tuple[str, Column]], least: Column | int, other: str) -> C
     return out.otherwise(other)
 
 
-def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES, max_chars: int | None = None) -> DataFrame:
-    """id, language, script, and the votes of the Latin profiles as an array in their order.
+def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES, max_chars: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, columns to ``keep``, language, script, and the votes of the Latin profiles as an array in their order.
 
     Latin words are counted in the first ``max_chars`` characters, or in the
     whole text. Those in no profile go first, so that each profile looks at few.
     """
-    rows = corpus.select("id", F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("t"))
-    rows = rows.select("id", "t", *[c.alias(_column(n)) for n, c in script_counts(F.col("t")).items()])
+    rows = corpus.select("id", *keep, F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("t"))
+    rows = rows.select("id", *keep, "t", *[c.alias(_column(n)) for n, c in script_counts(F.col("t")).items()])
     n = {name: F.col(_column(name)) for name in SCRIPTS}
     total = sum(n.values(), F.lit(0).cast("long"))
     rows = rows.withColumn("total", total)
@@ -119,7 +119,7 @@ def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES, max_
     )
     shown = F.when((F.length("t") < MIN_CHARS) | (F.col("total") == 0), UNKNOWN).when(F.col("share") < 0.5, MIXED).otherwise(F.col("dominant"))
     # out of a generator, so that filters on the result stay above it (the optimizer would otherwise take the nested cases apart)
-    return rows.select("id", F.inline(F.array(F.struct(language.alias("language"), shown.alias("script"), F.col("latin_votes").alias("latin_votes")))))
+    return rows.select("id", *keep, F.inline(F.array(F.struct(language.alias("language"), shown.alias("script"), F.col("latin_votes").alias("latin_votes")))))
 
 
 def refine(detected: DataFrame, corpus: DataFrame, model: Callable[[str], str | None], max_chars: int | None = None) -> DataFrame:

@@ -125,21 +125,21 @@ def patterns_with(custom: tuple[tuple[str, str], ...] = ()) -> list[Pattern]:
     return [*PATTERNS, *[Pattern(n, n, r) for n, r in custom]]
 
 
-def count_matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
-    """id, pattern, n of texts and patterns with a match.
-
-    Lines are matched one at a time, as a pattern may not run over a line's
-    end; nothing is shuffled, the counts of a text are made in its row.
-    """
-    use = patterns or PATTERNS
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+def found_in(text: Column, patterns: list[Pattern] | None = None) -> Column:
+    """Array of (pattern, n) of the patterns with a match in a text, each line by itself, as a pattern may not run over its end."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
 
     def total(p: Pattern) -> Column:
         some = F.filter(lines, lambda x: x.rlike(needs(p)))
         return F.aggregate(some, F.lit(0), lambda n, x: n + F.size(matches_of(p, x))).cast("long")
 
-    per = [F.struct(F.lit(p.name).alias("pattern"), total(p).alias("n")) for p in use]
-    return corpus.select("id", F.inline(F.array(*per)).alias("pattern", "n")).where("n > 0")
+    per = [F.struct(F.lit(p.name).alias("pattern"), total(p).alias("n")) for p in patterns or PATTERNS]
+    return F.filter(F.array(*per), lambda e: e["n"] > 0)
+
+
+def count_matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
+    """id, pattern, n of texts and patterns with a match; nothing is shuffled, the counts of a text are made in its row."""
+    return corpus.select("id", F.inline(found_in(F.col("text"), patterns)).alias("pattern", "n"))
 
 
 def matches(corpus: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:

@@ -25,6 +25,14 @@ def damage(text: Column) -> dict[str, Column]:
     return {name: text.rlike(regex) for name, regex in DAMAGE.items()}
 
 
+def is_damaged(text: Column) -> Column:
+    """Any kind of damage, in texts long enough to tell."""
+    any_of = F.lit(False)
+    for c in damage(text).values():
+        any_of = any_of | c
+    return F.coalesce((F.length(text) >= MOJIBAKE_MIN) & any_of, F.lit(False))
+
+
 def mojibake(corpus: DataFrame, max_chars: int | None = None) -> DataFrame:
     """id, a flag for each kind of damage, is_damaged, of texts long enough to tell; of their first ``max_chars`` characters, or in whole."""
     rows = corpus.where(F.length("text") >= MOJIBAKE_MIN).select("id", head(F.col("text"), max_chars).alias("t"))

@@ -679,11 +679,10 @@ def semantic_clusters(spark, sf_dir):
 # -------------------------------------------------------------------- reports
 
 
-def _report_parts(spark, sf_dir, names):
+def _report_parts(spark, sf_dir, names, with_language=False):
+    """The facts that rows hold themselves, and the members of duplicate groups."""
     c = docs(spark, sf_dir)
-    h = dedup.hashed(c)
-    counts = pii.count_matches(c, [pii.BY_NAME[n] for n in names])
-    return c, dedup.members(h), health.text_health(c), pii.file_rollup(counts), language.detect(c), h
+    return tables.row_facts(c, [pii.BY_NAME[n] for n in names], with_language), dedup.members(dedup.hashed(c))
 
 
 _REPORT = (
@@ -701,8 +700,7 @@ def _file_sql(sep: str = ",") -> str:
 
 @query("file_report", _file_sql())
 def file_report(spark, sf_dir, names=ALL_PATTERNS):
-    c, members, status, files, languages, _ = _report_parts(spark, sf_dir, names)
-    return tables.file_report(c, members, status, files, languages)
+    return tables.file_rows(*_report_parts(spark, sf_dir, names, True))
 
 
 @query("csv_report", _file_sql(";"))
@@ -723,26 +721,22 @@ FINDINGS = f"""{_REPORT}, fi AS (SELECT id, 'FC004' AS rule_id, 'warning' AS lev
   UNION ALL SELECT id, 'FC007', 'note', 'File contains encoding damage (mojibake)' FROM (SELECT id, text AS t FROM docs WHERE length(text) >= 20) WHERE {' OR '.join(_FLAGS.values())})"""
 
 
-def _findings(spark, sf_dir, names):
-    c, members, status, files, _, _ = _report_parts(spark, sf_dir, names)
-    return c, tables.findings(status, files, members, text_quality.mojibake(c))
-
-
 @query("sarif_findings", f"{FINDINGS} SELECT * FROM fi")
 def sarif_findings(spark, sf_dir, names=ALL_PATTERNS):
-    return _findings(spark, sf_dir, names)[1]
+    return tables.row_findings(*_report_parts(spark, sf_dir, names))
 
 
 @query("junit_cases", f"{FINDINGS} SELECT docs.id, count(*) FILTER (rule_id IN ('FC001', 'FC002'))::BIGINT AS n_errors, count(*) FILTER (rule_id IN ('FC003', 'FC004', 'FC005', 'FC006'))::BIGINT AS n_failures FROM docs LEFT JOIN fi USING (id) GROUP BY 1")
 def junit_cases(spark, sf_dir, names=ALL_PATTERNS):
-    return tables.junit_cases(*_findings(spark, sf_dir, names))
+    return tables.row_cases(*_report_parts(spark, sf_dir, names))
 
 
 @query("gate", f"""{_REPORT}, x AS (SELECT 1 AS ord, 'duplicate' AS metric, (SELECT duplicate_pct / 100 FROM ({DEDUP_SQL})) AS rate, 0.1::DOUBLE AS threshold UNION ALL SELECT 2, 'corrupt', 0::DOUBLE, 0.01
   UNION ALL SELECT 3, 'pii', (SELECT count(*) FROM pf) / (SELECT count(*) FROM docs)::DOUBLE, 0.05) SELECT ord, metric, round(rate, 6)::DOUBLE AS rate, threshold::DOUBLE AS threshold, rate >= threshold AS breached FROM x""")
 def gate(spark, sf_dir, names=ALL_PATTERNS):
-    c, _, status, files, _, h = _report_parts(spark, sf_dir, names)
-    out = tables.gate(dedup.dedup_summary(h), status, files, c.agg(F.count(F.lit(1)).alias("n")))
+    c = docs(spark, sf_dir)
+    facts, _ = _report_parts(spark, sf_dir, names)
+    out = tables.gate(dedup.dedup_summary(dedup.hashed(c)), facts.select("status"), facts.where("pii_types is not null"), c.agg(F.count(F.lit(1)).alias("n")))
     return out.withColumn("rate", F.round("rate", 6))
 
 
