@@ -55,6 +55,8 @@ BLOCK, LEAST, CROWD = 1 << 17, 256, 64
 #: Words of the bitmap of bucket keys that occur more than once: 2 MB.
 FILTER_WORDS = 2**18
 U = np.uint64
+#: A member of a bucket as a possible centre: the one that meets most others is the greatest.
+OWN = ("w", "id", "row", "n")
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -121,11 +123,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces text with set, the sorted distinct shingle hashes as bytes."""
     for whole in batches:
         for batch in B.pieces(whole, "text"):
             sets = shingle_sets(batch.column("text"))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), B.binaries(np.concatenate(sets) if sets else np.zeros(0, U), at)], ["id", "row", "set"])
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], B.binaries(np.concatenate(sets) if sets else np.zeros(0, U), at)], [*names, "set"])
 
 
 def _set(value: pa.Scalar) -> np.ndarray:
@@ -237,7 +241,7 @@ def _crowd_links(rows: DataFrame, sets: DataFrame, total: int) -> DataFrame:
     two = x.join(y, "key").where((F.col("block_x") <= F.col("block_y")) & fits).select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
     sides = two.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     members = blocks.join(sides, ["key", "block"]).select("key", "x", "y", F.col("block").alias("side"), "id", "row", "root")
-    members = members.join(sets, ["id", "row"]).select("key", "x", "y", "side", "id", "root", "set")
+    members = members.join(_needed(sets, blocks.join(two, "key", "left_semi")), ["id", "row"]).select("key", "x", "y", "side", "id", "root", "set")
     return members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id").mapInArrow(_compare_blocks, "a long, b long")
 
 
@@ -265,17 +269,34 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
-    """The ``total`` pairs (a, row_a, b, row_b) whose sets are alike, as links (a, b)."""
+def _deal(pairs: DataFrame, total: int) -> DataFrame:
+    """The ``total`` pairs (a, row_a, b, row_b) with fan: a centre's partners, dealt into groups of some ``FAN``."""
     fans = pairs.groupBy("a", "row_a").agg(F.count(F.lit(1)).alias("m"))
     dealt = join_hot(pairs, fans, ["a", "row_a"], total).withColumn("fan", F.pmod(F.xxhash64("b", "row_b"), F.ceil(F.col("m") / FAN)))
-    dealt = cut(dealt.select("a", "row_a", "fan", "b", "row_b"), "dealt")
-    heads = dealt.select("a", "row_a", "fan").distinct().join(sets.select(F.col("id").alias("a"), F.col("row").alias("row_a"), "set"), ["a", "row_a"]).withColumn("b", F.lit(None).cast("long"))
-    tails = dealt.join(sets.select(F.col("id").alias("b"), F.col("row").alias("row_b"), "set"), ["b", "row_b"]).drop("row_b")
+    return cut(dealt.select("a", "row_a", "fan", "b", "row_b"), "dealt")
+
+
+def _needed(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, row, set of ``nodes`` (id, row), and some others; most sets that are not needed stay where they are."""
+    return maybe_in(sets.select("id", "row", "set"), nodes, ["id", "row"])
+
+
+def _alike_to_centre(dealt: DataFrame, tails: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of tails (a, row_a, fan, b, set) whose sets are like that of their centre."""
+    centres = dealt.select("a", "row_a", "fan").distinct()
+    own = _needed(sets, centres.select(F.col("a").alias("id"), F.col("row_a").alias("row"))).withColumnsRenamed({"id": "a", "row": "row_a"})
+    heads = centres.join(own, ["a", "row_a"]).withColumn("b", F.lit(None).cast("long"))
     both = heads.unionByName(tails).repartition("a", "row_a", "fan").sortWithinPartitions("a", "row_a", "fan", F.col("b").asc_nulls_first())
     return both.select("a", "b", "set").mapInArrow(_compare, "a long, b long")
 
 
+def _confirm(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """The ``total`` pairs (a, row_a, b, row_b) whose sets are alike, as links (a, b)."""
+    dealt = _deal(pairs, total)
+    own = _needed(sets, dealt.select(F.col("b").alias("id"), F.col("row_b").alias("row"))).withColumnsRenamed({"id": "b", "row": "row_b"})
+    return _alike_to_centre(dealt, dealt.join(own, ["b", "row_b"]).drop("row_b"), sets)
+
+
 def _fits(n: str, m: str) -> Column:
     """Sets of these sizes can be as similar as ``PERCENT``."""
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
@@ -297,16 +318,19 @@ def _nearest(met: DataFrame) -> DataFrame:
     return best.select("best.a", "best.row_a", F.col("id").alias("b"), F.col("row").alias("row_b"))
 
 
-def _roots(buckets: DataFrame, sets: DataFrame, given: DataFrame, total: int) -> DataFrame:
-    """id, root over all links found in buckets (key, id, row, n, w) of ``total`` rows, and those ``given``."""
-    own = F.struct("w", "id", "row", "n")
-    centres = buckets.groupBy("key").agg(F.max(own).alias("centre"), F.count(F.lit(1)).alias("m"))
+def _star(buckets: DataFrame, total: int) -> DataFrame:
+    """One pair for each text that meets a centre in buckets (key, id, row, n, w) of ``total`` rows."""
+    centres = buckets.groupBy("key").agg(F.max(F.struct(*OWN)).alias("centre"), F.count(F.lit(1)).alias("m"))
     met = join_hot(buckets, centres, ["key"], total).where((F.struct("id", "row") != F.struct("centre.id", "centre.row")) & _fits("n", "centre.n"))
-    pairs, seen = cut_with(_nearest(met), "pairs", n=F.count(F.lit(1)))
-    roots, tried = cut(components(_confirm(pairs, sets, seen["n"]).unionByName(given)), "roots"), pairs
+    return _nearest(met)
+
+
+def _roots(buckets: DataFrame, sets: DataFrame, links: DataFrame, tried: DataFrame, total: int) -> DataFrame:
+    """id, root over all links found in buckets (key, id, row, n, w) of ``total`` rows, from those known and the pairs ``tried``."""
+    roots = cut(components(links), "roots")
     for turn in range(ROUNDS + 1):
         rows = cut(buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.max(own).alias("c"))
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct(*OWN)).alias("c"))
         whole = parts.groupBy("key").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root", "c")).alias("big")).where("roots > 1")
         together = F.when(2 * F.col("big.m") >= F.col("m"), F.col("big.root")).otherwise(F.col("key"))
         whole = cut(whole.select("key", "m", F.col("big.root").alias("big"), F.col("big.c").alias("centre"), together.alias("group")), "open")
@@ -362,17 +386,23 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = join_hot(maybe_in(rows, many, ["key"], FILTER_WORDS), many, ["key"], BANDS * seen["n"])
     met = shared.groupBy("id", "row").agg(F.first("n").alias("n"), F.sum("m").alias("w"), F.collect_list("key").alias("keys"))  # BANDS keys at most
     buckets, seen = cut_with(met.select("id", "row", "n", "w", F.explode("keys").alias("key")), "buckets", **count)
-    wanted = met.select(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).distinct().withColumn("seen", F.lit(True))
+    # the star's pairs come first, so that a set goes to its centre from where it is made
+    tried, star = cut_with(_star(buckets, seen["n"]), "star", **count)
+    dealt = _deal(tried, star["n"])
+    nodes = buckets.select("id", "row").distinct().join(dealt.withColumnsRenamed({"b": "id", "row_b": "row"}), ["id", "row"], "left")
+    wanted = cut(nodes.select(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row"), "a", "row_a", "fan", F.lit(True).alias("seen")), "wanted")
     sets = join_few(texts.withColumnsRenamed({"id": "__gl_id", "row": "__gl_row"}), wanted).where("seen").drop("seen")
     twice, again = cut_with(full.groupBy(F.col("id").alias("__gl_id"), F.col("row").alias("__gl_row")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "twice", **count)
     if again["n"]:  # rows that repeat a row: one set is enough
         marked = join_few(sets, twice)
-        sets = marked.where(F.col("copies").isNull()).unionByName(marked.where("copies > 1").dropDuplicates(KEYS))
-    sets = cut(sets.select(F.col("__gl_id").alias("id"), F.col("__gl_row").alias("row"), "text").mapInArrow(_sets, "id long, row long, set binary"), "sets")
+        sets = marked.where(F.col("copies").isNull()).unionByName(marked.where("copies > 1").dropDuplicates(KEYS)).drop("copies")
+    sets = sets.select(F.col("__gl_id").alias("id"), F.col("__gl_row").alias("row"), "a", "row_a", "fan", "text").mapInArrow(_sets, "id long, row long, a long, row_a long, fan long, set binary")
+    sets = cut(sets, "sets")
+    links = _alike_to_centre(dealt, sets.where("a is not null").select("a", "row_a", "fan", F.col("id").alias("b"), "set"), sets)
     # an id with several texts joins their components
     split = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("a != last")
     given = join_hot(named.select("id", "rep"), split, ["id"], total).where("rep != a").select("a", F.col("rep").alias("b"))
-    roots = _roots(buckets, sets, given, seen["n"])
+    roots = _roots(buckets, sets, links.unionByName(given), tried, seen["n"])
     reps = classes.groupBy("rep").agg(F.sum("m").alias("m")).join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     reps = cut(reps.select("rep", "m", F.coalesce("root", "rep").alias("root")), "reps")
     out = join_hot(named, reps, ["rep"], total).select("id", "row", "n", "root")
