@@ -159,7 +159,14 @@ def join_hot(rows: DataFrame, few: DataFrame, keys: Sequence[str], total: int, c
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
+def set_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that have an internal name renamed, and how they are named back."""
+    back = {f"own{c}": c for c in docs.columns if c.lower().startswith("__gl_")}
+    return docs.withColumnsRenamed({c: own for own, c in back.items()}), back
+
+
 def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less the rows whose ``row_keys`` are in ``bad``."""
+    """``docs`` less the rows whose ``row_keys`` are in ``bad``; columns may have any names."""
     gone = bad.select(*KEYS).distinct().withColumn("__gl_gone", F.lit(1))
-    return join_few(docs.withColumns(row_keys(id_col, text_col)), gone).where(F.col("__gl_gone").isNull()).select(*docs.columns)
+    own, back = set_apart(docs)
+    return join_few(own.withColumns(row_keys(id_col, text_col)), gone).where(F.col("__gl_gone").isNull()).select(*own.columns).withColumnsRenamed(back)

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm._shared import KEYS, cut, row_keys, words
+from gleanery.llm._shared import KEYS, cut, row_keys, set_apart, words
 
 CELL_BITS = 12
 #: Weights of the sources in order, repeating, and how far each class's weight
@@ -109,8 +109,9 @@ def in_training_order(docs: DataFrame, assigned: DataFrame, id_col: str = "doc_i
     them go to one of the rows.
     """
     keys = [*KEYS, "__gl_source"]
-    named = docs.withColumns({**row_keys(id_col, text_col), "__gl_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))})
+    own, back = set_apart(docs)
+    named = own.withColumns({**row_keys(id_col, text_col), "__gl_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))})
     if not assigned.groupBy(*KEYS, "sk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         named = named.dropDuplicates(keys)
     takes = assigned.where("n_takes > 0").select(*KEYS, F.col("sk").alias("__gl_source"), F.explode("positions").alias("__gl_at"))
-    return named.join(takes, keys).repartitionByRange("__gl_at", *KEYS).sortWithinPartitions("__gl_at", *KEYS).select(*docs.columns)
+    return named.join(takes, keys).repartitionByRange("__gl_at", *KEYS).sortWithinPartitions("__gl_at", *KEYS).select(*own.columns).withColumnsRenamed(back)

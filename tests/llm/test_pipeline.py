@@ -59,3 +59,23 @@ def test_repeated_rows_collapse(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     twice = docs.unionByName(docs)
     assert near_dup.keep_firsts(twice).count() == near_dup.keep_firsts(docs).count()
+
+
+def test_odd_documents(spark, sf_dir, tmp_path):
+    """Null ids, languages and sources, very long texts and words, and columns with internal names go through all stages."""
+    from pyspark.sql import functions as F
+
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    long = " ".join(f"word{k % 4999}" for k in range(60_000))
+    more = [(None, f"A text without an id, the {k}th of some, about {'rain' if k else 'wind'} and {k * 7} other things that happen in a long year by the sea and the hills.", None, None, 10) for k in range(4)]
+    more += [(9001, long, "en", "s", 10), (9002, "x" * 700_000 + " and then " + " ".join(f"own{k}" for k in range(200)), "en", None, 10), (9003, None, "en", "s", 0), (9004, "", None, "s", 0)]
+    docs = frame.unionByName(spark.createDataFrame(more, frame.schema)).withColumn("__gl_id", F.lit("mine")).withColumn("__gl_row", F.lit(5))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert set(docs.columns) <= set(out.columns), name
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        assert docs.where("__gl_id != 'mine' or __gl_row != 5").count() == 0, name
+    kept = docs.select("doc_id", F.length("text").alias("n")).collect()
+    assert {9001, 9003, 9004} & {r["doc_id"] for r in kept} <= {9001}
+    assert len([1 for r in kept if r["doc_id"] is None]) <= 3  # one document, repeated up to the cap by mixing

@@ -219,6 +219,26 @@ def test_near_dup_reopens_buckets(spark):
     same(got.collect(), brute.near_dup(rows))
 
 
+def test_texts_of_one_long_word_or_line(spark):
+    """No operator depends on words or lines being short; chunks cut such words."""
+    word, line = "x" * 1_200_000, "one two three four five six seven " * 60_000
+    texts = [(1, word), (2, word), (3, line), (4, line + "eight"), (5, f"{word} tail of words"), (6, "plain words in a short text")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = near_dup.cluster(frame).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute.near_dup(texts)
+    assert {tuple(r) for r in got} == {r[:3] for r in want}
+    bench = spark.createDataFrame([("w", word), ("l", "five six seven one two three four five six seven one"), ("z", "tail of words")], "item_id string, text string")
+    found = {r["doc_id"]: sorted(r["items"]) for r in decontaminate.match(frame, bench, slop=1).collect()}
+    assert found == {1: ["w"], 2: ["w"], 3: ["l"], 4: ["l"], 5: ["w", "z"], 6: []}
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(frame).collect()} == {d: len(t.split()) for d, t in texts}
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed_words"]) for r in spans.remove_repeats(frame).collect()}
+    assert removed[1] == (1, 0) and removed[6] == (6, 0) and removed[4][1] > 0.99 * removed[4][0]
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(frame).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert licenses.scan(frame).count() == 6 and sharding.shard(frame, 2).count() == 6
+    index, n = tokens.counter(Q.tokenizer_path()).index(word[:50_000])
+    assert n == library_counts([word[:50_000]])[0] and len(tokens.prefix_counts(index)) == 50_000
+
+
 def least_linked(texts):
     """The links between texts and the least place that links reach, by all pairs."""
     import numpy as np
