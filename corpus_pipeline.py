@@ -2,6 +2,13 @@
 
 Each stage works on what the one before kept and returns the columns of
 ``documents``; the last adds where a row goes.
+
+Edge cases, for all stages: null or empty texts fail the base rules of the
+first stage; rows with a null id are one document to near-duplicates, so of
+those that are linked through the shared id one stays; rows that repeat a row
+become one; texts and words may be of any length; null languages and sources
+are values of their own; extra columns go along (the last stage replaces those
+that have the names of its own); an empty table gives an empty result.
 """
 
 from __future__ import annotations
