@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CONFIG_FILE = ".gleanery.yaml"
+NEAR_METHODS = ("simhash", "minhash")
 DEFAULT_EXCLUDES = (".git", "__pycache__", "node_modules", ".venv", ".env")
 
 
@@ -28,6 +29,7 @@ class ScanConfig:
     pii_min_confidence: float = 0.0
     simhash_threshold: int = 5
     simhash_bits: int = 64
+    near_method: str = "simhash"
     pii_critical: float = 0.05
     duplicate_critical: float = 0.10
     corrupt_critical: float = 0.01
@@ -71,6 +73,8 @@ def from_mapping(raw: Any, base: ScanConfig | None = None) -> ScanConfig:
     out = replace(out, pii_custom_patterns=tuple(custom), show_pii_samples=bool(pii.get("show_samples", out.show_pii_samples)), pii_min_confidence=clamp(pii.get("min_confidence", out.pii_min_confidence)))
     bits = int(simhash.get("bits", out.simhash_bits))
     bits = bits if bits in (64, 128) else out.simhash_bits
+    if section("near_duplicates").get("method") in NEAR_METHODS:
+        out = replace(out, near_method=section("near_duplicates")["method"])
     out = replace(out, simhash_bits=bits, simhash_threshold=int(clamp(simhash.get("threshold", out.simhash_threshold), 0, bits)))
     return replace(
         out, pii_critical=clamp(limits.get("pii_critical", out.pii_critical)), duplicate_critical=clamp(limits.get("duplicate_critical", out.duplicate_critical)),
@@ -86,7 +90,7 @@ def from_flat(raw: Any, base: ScanConfig | None = None) -> ScanConfig:
     if not isinstance(raw, dict):
         raise ValueError("config is not a mapping")
     out = from_mapping(raw, base)
-    known = {"sampling_rate", "show_pii_samples", "pii_min_confidence", "simhash_bits", "simhash_threshold", "exclude", "sampling", "pii", "simhash", "thresholds"}
+    known = {"sampling_rate", "show_pii_samples", "pii_min_confidence", "simhash_bits", "simhash_threshold", "exclude", "sampling", "pii", "simhash", "thresholds", "near_duplicates"}
     if unknown := sorted(set(map(str, raw)) - known):
         warnings.warn(f"unknown settings are left out: {', '.join(unknown)}", stacklevel=2)
     number = {}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.config import ScanConfig
-from gleanery.operators import dedup, encoding, health, inventory, language, pii, sampling, simhash, text_quality
+from gleanery.operators import dedup, encoding, health, inventory, language, minhash, pii, sampling, simhash, text_quality
 from gleanery.report import tables
 from gleanery.sources import files as file_source
 from gleanery.sources import walker
@@ -89,6 +89,8 @@ def _sections(report: CorpusReport, corpus: DataFrame, texts: DataFrame, hashes:
     s["readability_summary"] = text_quality.readability_summary(s["readability"])
     tell()
     s["fingerprints"] = _kept(report, simhash.fingerprints(texts, c.simhash_bits), now)
+    if c.near_method == "minhash":
+        s["signatures"] = _kept(report, minhash.signatures(texts), now)
     s["files"] = tables.file_report(corpus, s["duplicate_members"], status, s["pii_files"], detected, encodings)
     s["findings"] = tables.findings(status, s["pii_files"], s["duplicate_members"], s["mojibake"])
     s["cases"] = tables.junit_cases(corpus, s["findings"])
@@ -97,6 +99,8 @@ def _sections(report: CorpusReport, corpus: DataFrame, texts: DataFrame, hashes:
 
 def near_duplicate_members(report: CorpusReport) -> DataFrame:
     """id, cluster_id of near duplicates; runs the links and components once."""
+    if "near_duplicate_members" not in report.sections and report.config.near_method == "minhash":
+        report.sections["near_duplicate_members"] = _kept(report, minhash.clusters(minhash.candidate_pairs(report["signatures"])), False)
     if "near_duplicate_members" not in report.sections:
         links = simhash.pairs(report["fingerprints"], simhash.scaled_threshold(report.config.simhash_threshold, report.config.simhash_bits))
         report.sections["near_duplicate_members"] = _kept(report, simhash.clusters(links), False)
@@ -105,6 +109,8 @@ def near_duplicate_members(report: CorpusReport) -> DataFrame:
 
 def near_duplicates(report: CorpusReport) -> DataFrame:
     """cluster_id, n_members, similarity."""
+    if report.config.near_method == "minhash":
+        return minhash.cluster_similarity(near_duplicate_members(report), report["signatures"])
     return simhash.cluster_similarity(near_duplicate_members(report), report["fingerprints"], report.config.simhash_bits)
 
 

@@ -87,7 +87,7 @@ def _clusters(report: CorpusReport) -> dict[str, Any]:
         known = members.sparkSession.createDataFrame([(r["cluster_id"],) for r in top], members.select("cluster_id").schema)
         named = {r["cluster_id"]: r["members"] for r in _rows(first_members(members, known, MAX_MEMBERS))}
     total = _one(members.agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.lit(1)).alias("n_files")))
-    return total | {"threshold": report.config.simhash_threshold, "bits": report.config.simhash_bits, "clusters": [r | {"members": named.get(r["cluster_id"], [])} for r in top]}
+    return total | {"method": report.config.near_method, "threshold": report.config.simhash_threshold, "bits": report.config.simhash_bits, "clusters": [r | {"members": named.get(r["cluster_id"], [])} for r in top]}
 
 
 def to_json(report: CorpusReport) -> str:

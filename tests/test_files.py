@@ -272,6 +272,17 @@ def test_intervals_and_cluster_members(spark):
         own.close()
 
 
+def test_near_duplicates_by_minhash(spark):
+    words = [f"term{k}" for k in range(120)]
+    texts = [(f"d{k}", " ".join([*words[:60], f"x{k}", *words[61:]])) for k in range(3)] + [(f"e{k}", " ".join(f"w{k}x{j}" for j in range(80))) for k in range(3)]
+    frame = spark.createDataFrame(texts, "id string, text string").selectExpr("id", "cast(length(text) AS long) AS size", "'text/plain' AS mime", "'.' AS cluster", "text")
+    config = from_flat({"near_duplicates": {"method": "minhash"}})
+    own = scan_table(frame, config)
+    near = json.loads(render.to_json(own))["summary"]["near_duplicates"]
+    own.close()
+    assert config.near_method == near["method"] == "minhash" and [c["members"] for c in near["clusters"]] == [["d0", "d1", "d2"]] and 0.8 < near["clusters"][0]["similarity"] < 1
+
+
 def test_cancel(spark, tree):
     def stop(name, k, of):
         if k == 2:
