@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,8 @@ def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -78,6 +81,28 @@ def drop(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+#: The tables cut in each open ``scratch``.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was cut inside, but what the given function was called with.
+
+    For results that are cut themselves, so that nothing reads those tables any more.
+    """
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scopes.remove(own)
+        drop(*[df for df in own if not any(df is k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def cut_with(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
     """``cut``, and figures over the rows that were counted while they were written."""
     seen = Observation()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
-from gleanery.llm._shared import KEYS, NULL_ID, cut, row_keys, without
+from gleanery.llm._shared import KEYS, NULL_ID, cut, row_keys, scratch, without
 
 WINDOW, SEGMENT_WORDS, BLOCK_WORDS = 10, 1 << 18, 1 << 21
 #: Words of a part of an item, and pairs of a window and a place looked at together.
@@ -266,5 +266,6 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit."""
-    found = match(docs, benchmark, id_col, text_col)
-    return without(docs, cut(found.where("n_hit > 0").select(*KEYS), "leaks"), id_col, text_col)
+    with scratch() as keep:  # the index goes once the leaks stand
+        leaks = keep(cut(match(docs, benchmark, id_col, text_col).where("n_hit > 0").select(*KEYS), "leaks"))
+    return without(docs, leaks, id_col, text_col)

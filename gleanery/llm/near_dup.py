@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import _bytes as B
-from gleanery.llm._shared import KEYS, NULL_ID, cut, cut_with, drop, join_few, join_hot, key_of, maybe_in, row_keys, set_apart, without
+from gleanery.llm._shared import KEYS, NULL_ID, cut, cut_with, drop, join_few, join_hot, key_of, maybe_in, row_keys, scratch, set_apart, without
 
 SHINGLE, BINS, BANDS, PERCENT = 5, 128, 32, 75
 #: How often buckets are opened by centres before the rest is compared in whole, how
@@ -416,7 +416,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``cluster`` keeps; of rows that repeat a kept id, one."""
-    found = cut(cluster(docs, id_col, text_col).select(*KEYS, "kept"), "clusters")
+    with scratch() as keep:
+        found = keep(cut(cluster(docs, id_col, text_col).select(*KEYS, "kept"), "clusters"))
     rest = without(docs, found.where("not kept"), id_col, text_col)
     twice = cut(found.where("kept").groupBy("__gl_id").agg(F.count(F.lit(1)).alias("__gl_copies")).where("__gl_copies > 1"), "twice")
     if twice.isEmpty():

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm._shared import SPACE_CHARS, cut, cut_with, drop, join_hot, row_keys, without, words
+from gleanery.llm._shared import SPACE_CHARS, cut, cut_with, drop, join_hot, row_keys, scratch, without, words
 
 WINDOW_WORDS, SYMBOLS = 8, "#*$%&|<>"
 SUPPORT, STEPS, MIN_ROWS, MANY = 0.75, 5, 50, 10_000
@@ -208,5 +208,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps."""
-    judged = judge(docs, id_col, text_col, lang_col, source_col)
-    return without(docs, cut(judged.where(~F.col("kept")).select("__gl_id", "__gl_row"), "rejected"), id_col, text_col)
+    with scratch() as keep:
+        rejected = keep(cut(judge(docs, id_col, text_col, lang_col, source_col).where(~F.col("kept")).select("__gl_id", "__gl_row"), "rejected"))
+    return without(docs, rejected, id_col, text_col)
