@@ -48,7 +48,9 @@ SHINGLE, BINS, BANDS, PERCENT = 5, 128, 32, 75
 #: How often buckets are opened by centres before the rest is compared in whole, how
 #: many members a bucket has whose pairs are listed, and how many partners of a centre
 #: are compared together.
-ROUNDS, SMALL, FAN = 2, 8, 256
+ROUNDS, SMALL, FAN = 1, 8, 256
+#: Links that components are found of with plain joins: at most so many narrow rows meet in a task.
+FEW = 1 << 20
 #: Weight of a block of a bucket: its shingles, and LEAST more for each member. In
 #: groups of CROWD members pairs are left to the first bucket that they share.
 BLOCK, LEAST, CROWD = 1 << 17, 256, 64
@@ -249,21 +251,26 @@ def components(links: DataFrame) -> DataFrame:
     """id, root: the least id reachable over links (a, b), for each id in one.
 
     Alternating large-star and small-star rounds: the number of rows never
-    grows; ids with very many links are joined where their links are.
+    grows. Beyond ``FEW`` links, ids with very many are joined where their links
+    are, which takes more tables a round.
     """
     figures = {"n": F.count(F.lit(1)), "hash": F.bit_xor(F.xxhash64("u", "v"))}
     now, state = cut_with(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links", **figures)
     while state["n"]:
+        few = state["n"] <= FEW
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("u", "m")), "least")
-        large, seen = cut_with(join_hot(both, least, ["u"], 2 * state["n"], "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n=F.count(F.lit(1)))
-        drop(least)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "least")
-        hung = join_hot(large, least, ["u"], seen["n"], "c")
+        smallest = lambda rows: rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        least = smallest(both).withColumn("m", F.least("u", "m"))
+        least = least if few else cut(least, "least")
+        large = both.join(least, "u") if few else join_hot(both, least, ["u"], 2 * state["n"], "c")
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, seen = (large, None) if few else cut_with(large, "large", n=F.count(F.lit(1)))
+        last = smallest(large) if few else cut(smallest(large), "least")
+        hung = large.join(last, "u") if few else join_hot(large, last, ["u"], seen["n"], "c")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         before, old = state, now
         now, state = cut_with(small, "stars", **figures)
-        drop(old, least, large)
+        drop(old, least, large, last)
         if state == before:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -302,6 +302,7 @@ def test_near_dup_blocks_of_a_bucket(spark, monkeypatch):
     _, want = least_linked(texts)
     monkeypatch.setattr(near_dup, "BLOCK", 1 << 13)
     monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dup, "FEW", 0)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = near_dup.cluster(frame).select("doc_id", "component_id")
     same(got.collect(), enumerate(want.tolist()))
