@@ -309,6 +309,14 @@ def test_minhash(spark):
     assert minhash.band_shape() == (14, 9) and minhash.band_shape(128, 0.5) == (25, 5)
 
 
+def test_signatures_extract_words_once(spark):
+    """Also of long texts: words are not extracted again for each shingle, and texts without words have no signature."""
+    frame = texts(spark, "a b c d " * 20, "-" * 60)
+    sigs = minhash.signatures(frame)
+    assert sigs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r["id"] for r in sigs.collect()] == [0]
+
+
 @pytest.mark.parametrize("shape", [(7, 2), (9, 4)])
 def test_longer_keys_find_the_same_pairs(spark, monkeypatch, shape):
     assert simhash.key_shape(1000, 5) == (6, 1) and simhash.key_shape(10**9, 5)[0] > 8
