@@ -317,6 +317,15 @@ def test_signatures_extract_words_once(spark):
     assert [r["id"] for r in sigs.collect()] == [0]
 
 
+def test_minhash_buckets_hold_no_signatures(spark):
+    """What is shuffled by bucket are ids: the expanded rows have no array."""
+    frame = texts(spark, *(" ".join(f"w{k}" for k in range(j, 60 + j)) for j in range(3)))
+    plan = minhash.candidate_pairs(minhash.signatures(frame))._jdf.queryExecution().optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert lists and all("sig#" not in line.rpartition("[")[0].rpartition("[")[2] for line in lists)
+    assert not any("sig#" in line for line in plan.splitlines() if "Project [rep#" in line and "key#" in line)
+
+
 @pytest.mark.parametrize("shape", [(7, 2), (9, 4)])
 def test_longer_keys_find_the_same_pairs(spark, monkeypatch, shape):
     assert simhash.key_shape(1000, 5) == (6, 1) and simhash.key_shape(10**9, 5)[0] > 8
