@@ -309,6 +309,19 @@ def test_minhash(spark):
     assert minhash.band_shape() == (14, 9) and minhash.band_shape(128, 0.5) == (25, 5)
 
 
+def test_rows_by_key_are_not_broadcast(spark):
+    """A table in memory has a known small size, and rows by key are several times as many."""
+    prints = spark.range(2000).selectExpr("id", "xxhash64(id) AS fp").persist()
+    frame = texts(spark, *(" ".join(f"w{k}" for k in range(j, 60 + j)) for j in range(3)))
+    sigs = minhash.signatures(frame).persist()
+    for cached, made in ((prints, simhash.pairs), (sigs, minhash.candidate_pairs)):
+        cached.count()
+        lines = made(cached)._jdf.queryExecution().executedPlan().toString().splitlines()
+        joins = [line for line in lines if "Join" in line and "key#" in line]
+        assert joins and all("Broadcast" not in line for line in joins)
+        cached.unpersist()
+
+
 def test_signatures_extract_words_once(spark):
     """Also of long texts: words are not extracted again for each shingle, and texts without words have no signature."""
     frame = texts(spark, "a b c d " * 20, "-" * 60)
