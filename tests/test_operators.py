@@ -309,6 +309,19 @@ def test_minhash(spark):
     assert minhash.band_shape() == (14, 9) and minhash.band_shape(128, 0.5) == (25, 5)
 
 
+def test_digests_are_made_a_text_at_a_time(spark):
+    """Batches to Python hold words; of 0 to 4 words each shingle is there once, as in the shingles themselves."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for n in range(6):
+        w = [f"é{k}" for k in range(n)]
+        want = [" ".join(w[k : k + 3]) for k in range(n - 2)] if n > 2 else w
+        assert [bytes(r) for r in simhash.digests(pa.scalar(" ".join(w)))] == [hashlib.md5(x.encode()).digest() for x in want]
+    assert "md5" not in simhash.fingerprints(texts(spark, "a b c d " * 20))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_by_key_are_not_broadcast(spark):
     """A table in memory has a known small size, and rows by key are several times as many."""
     prints = spark.range(2000).selectExpr("id", "xxhash64(id) AS fp").persist()
