@@ -322,6 +322,14 @@ def test_digests_are_made_a_text_at_a_time(spark):
     assert "md5" not in simhash.fingerprints(texts(spark, "a b c d " * 20))._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("bits", [64, 128])
+def test_fingerprints_are_made_once_for_pairs(spark, bits):
+    frame = texts(spark, *["a b c d " * 20] * 2, "x y z " * 20)
+    found = simhash.pairs(simhash.fingerprints(frame, bits), simhash.scaled_threshold(5, bits))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(0, 1, 0)]
+
+
 def test_rows_by_key_are_not_broadcast(spark):
     """A table in memory has a known small size, and rows by key are several times as many."""
     prints = spark.range(2000).selectExpr("id", "xxhash64(id) AS fp").persist()
