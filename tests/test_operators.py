@@ -388,6 +388,28 @@ def test_semantic(spark):
     assert {(r["cluster_id"], r["id"]) for r in semantic.greedy_clusters(chain).collect()} == {(1, 1), (1, 2), (3, 3), (3, 4)}
 
 
+def test_semantic_clusters_without_all_pairs(spark, monkeypatch):
+    """Components and greedy clusters are those of all pairs, for dense and sparse links, however rows are cut."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(3 * k + 7, v.tolist()) for k, v in enumerate(rng.standard_normal((240, 8)))]
+    frame = spark.createDataFrame([*rows, (5000, [0.0] * 8)], "vec_id long, embedding array<double>").repartition(3)
+    set_of = lambda f: {(r["cluster_id"], r["id"]) for r in f.collect()}
+    monkeypatch.setattr(semantic, "TILE", (16, 32))
+    monkeypatch.setattr(semantic, "BATCH", 50)
+    for threshold in (0.4, 0.8):
+        pairs = semantic.similar_pairs(frame, threshold).cache()
+        by_pairs, linked = set_of(semantic.greedy_clusters(pairs)), set_of(simhash.clusters(pairs))
+        for prefix, block in ((20, 60), (1000, 20_000)):
+            assert set_of(semantic.clusters(frame, threshold, block_rows=block, prefix=prefix)) == by_pairs
+            assert set_of(semantic.components(frame, threshold, block_rows=block)) == linked
+        forest = semantic.similar_pairs(frame, threshold, links_only=True).count()
+        assert forest < 240 and (threshold > 0.5 or forest < pairs.count() / 10)
+    none = frame.where("vec_id < 0")
+    assert semantic.clusters(none).isEmpty() and semantic.components(none).isEmpty()
+
+
 def test_table_adapter(spark, sf_dir):
     frame = C.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source")
     assert frame.columns == ["id", "size", "mime", "cluster", "text"] and frame.count() == 200
