@@ -286,6 +286,22 @@ def test_wide_and_long_fingerprints(spark):
         assert {tuple(r) for r in simhash.pairs(frame.select(*cols), t).collect()} == want
 
 
+@pytest.mark.parametrize("n_parts, threshold", [(1, 17), (1, 20), (2, 36), (2, 40)])
+def test_wide_pairs_by_pieces_are_all_pairs(monkeypatch, n_parts, threshold):
+    """Each pair once, as without pieces; far fewer than all are compared at 17 of 64 bits."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    left = [rng.integers(0, 2**63, 400).astype(np.uint64) for _ in range(n_parts)]
+    right = [np.concatenate([x, x ^ rng.integers(0, 2**63, 400).astype(np.uint64) & rng.integers(0, 2**63, 400).astype(np.uint64)]) for x in left]
+    every = sum(np.bitwise_count(x[:, None] ^ y[None, :]).astype(int) for x, y in zip(left, right, strict=True))
+    want = sorted((i, j, every[i, j]) for i, j in zip(*np.nonzero(every <= threshold), strict=True))
+    compared, tiles = [], simhash._tiles
+    monkeypatch.setattr(simhash, "_tiles", lambda x, y, t: (compared.append(len(x[0]) * len(y[0])), tiles(x, y, t))[1])
+    assert sorted(tuple(map(int, z)) for found in simhash._near(left, right, threshold) for z in zip(*found, strict=True)) == want
+    assert threshold != 17 or sum(compared) < 0.4 * every.size
+
+
 def test_language_model_fills_gaps(spark):
     frame = texts(spark, SENTENCES["Latin (Unknown)"], SENTENCES["Thai"], SENTENCES["English"], "short")
     got = {r["id"]: r["language"] for r in language.refine(language.detect(frame), frame, lambda t: "Klingon" if t.isascii() else None).collect()}
