@@ -325,6 +325,23 @@ def test_minhash(spark):
     assert minhash.band_shape() == (14, 9) and minhash.band_shape(128, 0.5) == (25, 5)
 
 
+def test_shingles_are_counted_in_their_row(spark):
+    """Nothing is shuffled by shingle; texts that share an id, or have none, are counted together."""
+    a, b = "a b c d " * 20, "b c d é " * 20
+    rows = spark.createDataFrame([(1, a), (2, b), (2, a), (None, a), (None, a), (3, "-" * 60), (4, "x" * 60)], "id long, text string")
+    want = {tuple(r) for r in simhash.shingles(rows).groupBy("id").agg(F.count("*"), F.count_distinct("shingle"), F.min("shingle")).collect()}
+    assert {tuple(r) for r in simhash.shingle_counts(rows).collect()} == want and len(want) == 4
+    plan = simhash.shingle_counts(rows.where("id = 1"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_jaccard_sets_are_made_in_their_row(spark):
+    frame = texts(spark, "a b c d e " * 20, "a b c d x " * 20, "- " * 60)
+    found = minhash.jaccard(frame, spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0] and "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first()["jaccard"] == pytest.approx(2 / 8)
+
+
 def test_digests_are_made_a_text_at_a_time(spark):
     """Batches to Python hold words; of 0 to 4 words each shingle is there once, as in the shingles themselves."""
     import hashlib
