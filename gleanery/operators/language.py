@@ -54,9 +54,18 @@ def script_class(name: str) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in SCRIPTS[name]) + "]"
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    """Characters of each script: what is gone once its runs are taken out (no string is made for each character)."""
-    return {name: (F.length(text) - F.length(F.regexp_replace(text, script_class(name) + "+", ""))).cast("long") for name in SCRIPTS}
+def beyond_ascii(text: Column) -> Column:
+    return F.regexp_replace(text, "[\\x00-\\x7F]+", "")
+
+
+def script_counts(text: Column, beyond: Column) -> dict[str, Column]:
+    """Characters of each script: what is gone once its runs are taken out (no string is made for each character).
+
+    Scripts that have no ASCII are counted in what is ``beyond`` it, a column
+    of ``beyond_ascii(text)``, so that most texts are read once for all of them.
+    """
+    within = {name: text if min(SCRIPTS[name])[0] < 128 else beyond for name in SCRIPTS}
+    return {name: (F.length(t) - F.length(F.regexp_replace(t, script_class(name) + "+", ""))).cast("long") for name, t in within.items()}
 
 
 def _column(name: str) -> str:
@@ -65,7 +74,9 @@ def _column(name: str) -> str:
 
 def script_histogram(corpus: DataFrame) -> DataFrame:
     """id and the count of each script."""
-    return corpus.select("id", *[c.alias(_column(n)) for n, c in script_counts(F.coalesce("text", F.lit(""))).items()])
+    rows = corpus.select("id", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.withColumn("beyond", beyond_ascii(F.col("t")))
+    return rows.select("id", *[c.alias(_column(n)) for n, c in script_counts(F.col("t"), F.col("beyond")).items()])
 
 
 def latin_words(text: Column, max_chars: int | None = None) -> Column:
@@ -92,7 +103,8 @@ def detect(corpus: DataFrame, profiles: Mapping[str, str] = LATIN_PROFILES, max_
     whole text. Those in no profile go first, so that each profile looks at few.
     """
     rows = corpus.select("id", *keep, F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")).alias("t"))
-    rows = rows.select("id", *keep, "t", *[c.alias(_column(n)) for n, c in script_counts(F.col("t")).items()])
+    rows = rows.withColumn("beyond", beyond_ascii(F.col("t")))
+    rows = rows.select("id", *keep, "t", *[c.alias(_column(n)) for n, c in script_counts(F.col("t"), F.col("beyond")).items()])
     n = {name: F.col(_column(name)) for name in SCRIPTS}
     total = sum(n.values(), F.lit(0).cast("long"))
     rows = rows.withColumn("total", total)

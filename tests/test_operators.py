@@ -443,6 +443,18 @@ def test_semantic_clusters_without_all_pairs(spark, monkeypatch):
     assert semantic.clusters(none).isEmpty() and semantic.components(none).isEmpty()
 
 
+def test_scripts_are_counted_beyond_ascii(spark):
+    """Ten scripts do not read an ASCII text ten times: the part beyond it is cut out once, and counts are as they were."""
+    import re
+
+    rows = texts(spark, "plain words", "Straße и слово 漢字かな", "עברית ไทย ελ", "\x7f\x80é")
+    counts = language.script_histogram(rows)
+    for r in counts.join(rows, "id").collect():
+        assert all(r["n_" + n.lower().replace(" ", "_")] == len(re.findall("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in language.SCRIPTS[n]) + "]", r["text"])) for n in language.SCRIPTS)
+    for frame in (counts, language.detect(rows)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("x7F") == 1
+
+
 def test_table_adapter(spark, sf_dir):
     frame = C.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "lang", "source")
     assert frame.columns == ["id", "size", "mime", "cluster", "text"] and frame.count() == 200
